@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/planeprint-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _scratch.append(path)
+    # shuffle files of finished jobs go when the driver's references to them are collected; a long chain of jobs
+    # would otherwise keep all of them on the executors' disks
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -93,6 +98,26 @@ def key_filter(keys: DataFrame, column: str = "key", bits: int = FILTER_BITS):
     return spark.sparkContext.broadcast(bitset)
 
 
+def number_filter(numbers: DataFrame, column: str, bits: int = 4 * FILTER_BITS):
+    """The same for a column of 64-bit hashes, for many keys (4 MB)."""
+    rows = numbers.select(F.pmod(F.col(column), F.lit(bits)).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("b")).collect()
+    bitset = np.zeros(bits // 64, np.uint64)
+    bitset[[r.w for r in rows]] = np.array([r.b for r in rows], np.int64).view(np.uint64)
+    return spark_of(numbers).sparkContext.broadcast(bitset)
+
+
+def keep_numbers(df: DataFrame, numbers, column: str) -> DataFrame:
+    at = df.columns.index(column)
+
+    def run(batches):
+        bitset = numbers.value
+        for batch in batches:
+            slot = np.mod(batch.column(at).to_numpy(), len(bitset) * 64)
+            yield batch.filter(pa.array((bitset[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def in_filter(bitset: np.ndarray, key: bytes) -> bool:
     slot = int.from_bytes(key[:4], "big") % (len(bitset) * 64)
     return bool(int(bitset[slot >> 6]) >> (slot & 63) & 1)

@@ -7,15 +7,16 @@ given anew and nothing recurses; symbols may be any integers.
 
 A suffix array of all texts can't be in one task, so the texts are cut at content-defined anchors:
 
-1. The anchor of a 400-byte window is the 32-byte gram with the least hash in it, the last of equal ones. It depends on
+1. The anchor of a 400-byte window is the 64-byte gram with the least hash in it, the last of equal ones. It depends on
    the window alone, so equal windows have equal grams at equal offsets; each window has one anchor.
 2. Anchors whose gram occurs once in the corpus are dropped, and with them the windows they stand for.
-3. The rest meets in shards by gram. There the texts right of the anchors, in ranked blocks of 40 bytes, form one
-   string whose suffix array orders them; longest common prefixes of neighbours are then taken in bytes. The window
+3. The windows of an anchor cover a region. Equal regions become one with a number of copies; the rest meets in shards
+   by gram. There the texts right of the anchors, in ranked blocks of 40 bytes, form one string whose suffix array
+   orders them; longest common prefixes of neighbours are then taken in bytes. The window
    that starts d bytes before its anchor occurs again if another anchor in its interval of common prefixes of 400 - d
    bytes has the same d bytes to the left.
-4. A gram with more than MOST_ANCHORS occurrences would not fit a task. Its windows are counted exactly by a 128-bit
-   digest instead, summed up before they are dealt out.
+4. A gram with more than MOST_ANCHORS different regions would not fit a task. Its windows are counted exactly by a
+   128-bit digest instead, summed up before they are dealt out.
 
 Texts with the same SHA-256 are one text with several places: it is indexed once per task, and all its bytes
 go if it is long enough. Null text is empty text. Ids are never used as keys, so repeated and null ids are kept apart.
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 
 from . import common, vectext
 
-GRAM = 32
+GRAM = 64
 BLOCK = 40
-#: Anchors of a shard, about; and of one gram, beyond which its windows are counted by digest.
+#: Regions of a shard, about; and of one gram, beyond which its windows are counted by digest.
 SHARD_ANCHORS = 3000
 MOST_ANCHORS = 16384
 
@@ -201,39 +202,56 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
 
 # --- shards ---------------------------------------------------------------------------------------------
 
-_REGION = "shard long, gram long, key binary, at long, lo long, hi long, left binary, right binary"
-_WINDOW = "digest binary, key binary, at long"
-_RUNS = "key binary, first long, last long"
+_CUT = "digest binary, key binary, at long, gram long, left binary, right binary, copies long"
+_REGION = "shard long, gram long, digest binary, left binary, right binary, copies long"
+_RUNS = "digest binary, nearest long, farthest long"
 
 
-def _cut(texts: DataFrame, window: int, shards: int, hot: bool) -> DataFrame:
-    """texts(key, text, spots of gram, at, lo, hi, n) to the surroundings of its anchors, or for grams with more than
-    MOST_ANCHORS occurrences to digests of their windows."""
+def _cut(texts: DataFrame, window: int) -> DataFrame:
+    """texts(key, text, spots of gram, at, lo, hi) to two kinds of rows. For each anchor: digest of the region that its
+    windows cover, key, at. For each different region of a batch: digest, gram, copies and, the first time that the task
+    meets it, the text left and right of the anchor."""
+    names = [x.split()[0] for x in _CUT.split(", ")]
+    types = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
 
     def run(batches):
+        known: set[bytes] = set()
         for batch in batches:
-            out: list[tuple] = []
-            for key, text, spots in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                raw = text.encode()
-                for s in spots:
-                    a, lo, hi = s["at"], s["lo"], s["hi"]
-                    if hot:
-                        out += [(hashlib.blake2b(raw[w : w + window], digest_size=16).digest(), key, w) for w in range(lo, hi + 1)]
-                    else:
-                        out.append((s["gram"] % shards, s["gram"], key, a, lo, hi, raw[lo:a], raw[a : hi + window]))
-                if len(out) > 4000:
-                    yield _batch(out, hot)
-                    out = []
-            if out:
-                yield _batch(out, hot)
-
-    return texts.mapInArrow(run, _WINDOW if hot else _REGION)
+            keys, texts_, lists = (batch.column(i).to_pylist() for i in range(3))
+            for first in range(0, len(keys), 100):
+                out: list[tuple] = []
+                own: dict[bytes, list] = {}
+                for key, text, spots in zip(keys[first : first + 100], texts_[first : first + 100], lists[first : first + 100]):
+                    raw = text.encode()
+                    for s in spots:
+                        a, lo, hi = s["at"], s["lo"], s["hi"]
+                        digest = hashlib.blake2b(raw[lo : hi + window], digest_size=16, salt=(a - lo).to_bytes(8, "little")).digest()
+                        out.append((digest, key, a, None, None, None, None))
+                        if digest in own:
+                            own[digest][6] += 1
+                        else:
+                            new = digest not in known
+                            known.add(digest)
+                            own[digest] = [digest, None, None, s["gram"], raw[lo:a] if new else None, raw[a : hi + window] if new else None, 1]
+                out += own.values()
+                for k in range(0, len(out), 4000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 4000]), types)], names=names)
+
+    return texts.mapInArrow(run, _CUT)
+
+
+def _window_digests(regions: DataFrame, window: int) -> DataFrame:
+    """The windows of regions by digest: window, digest of the region, d, copies."""
 
+    def run(batches):
+        for batch in batches:
+            for digest, left, right, copies in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                raw, d = left + right, len(left)
+                rows = [hashlib.blake2b(raw[w : w + window], digest_size=16).digest() for w in range(len(raw) - window + 1)]
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array([digest] * n, pa.binary()), pa.array(range(d, d - n, -1), pa.int64()), pa.array([copies] * n, pa.int64())], names=["window", "digest", "d", "copies"])
 
-def _batch(rows: list[tuple], hot: bool) -> pa.RecordBatch:
-    long, blob = pa.int64(), pa.binary()
-    types, names = ((blob, blob, long), _WINDOW) if hot else ((long, long, blob, long, long, long, blob, blob), _REGION)
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=[x.split()[0] for x in names.split(", ")])
+    return regions.select("digest", "left", "right", "copies").mapInArrow(run, "window binary, digest binary, d long, copies long")
 
 
 def context_order(contexts: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -257,9 +275,12 @@ def context_order(contexts: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray,
     return order, common_
 
 
-def repeated(lefts: list[bytes], rights: list[bytes], los, ats, his, window: int) -> np.ndarray:
-    """For anchors by row and d by column, whether the window that starts d bytes before the anchor occurs twice or more."""
-    m, span = len(ats), window - GRAM + 1
+def repeated(lefts: list[bytes], rights: list[bytes], copies: np.ndarray, window: int, gram: int = GRAM) -> np.ndarray:
+    """For regions by row and d by column, whether the window that starts d bytes before the anchor occurs twice or more.
+
+    A region's text left of its anchor says how far its windows reach, the one to its right how near. Regions of other
+    grams never share an interval: their contexts differ within the gram."""
+    m, span = len(lefts), window - gram + 1
     right = np.zeros((m, window), np.uint8)
     left = np.zeros((m, span), np.uint8)  # from the anchor leftwards
     for i, (a, b) in enumerate(zip(lefts, rights)):
@@ -267,35 +288,31 @@ def repeated(lefts: list[bytes], rights: list[bytes], los, ats, his, window: int
         right[i, : len(b)] = np.frombuffer(b, np.uint8)
         left[i, : len(a)] = np.frombuffer(a, np.uint8)[::-1]
     order, shared = context_order(right)
-    left = left[order]
-    nearest, farthest = (ats - his)[order], (ats - los)[order]
+    left, copies = left[order], copies[order]
+    nearest = np.array([window - len(b) for b in rights])[order]
+    farthest = np.array([len(a) for a in lefts])[order]
     found = np.zeros((m, span), bool)
     h = np.zeros(m, np.uint64)
     for d in range(span):
         if d:
             h = vectext.mix(h * np.uint64(3) + vectext._VALUES[left[:, d - 1]])
         own = np.flatnonzero((nearest <= d) & (d <= farthest))
-        if len(own) < 2:
+        if not len(own):
             continue
         interval = np.concatenate([[0], np.cumsum(shared < window - d)]).astype(np.uint64)
-        _, back, count = np.unique(h[own] + vectext.mix(interval[own] + np.uint64(1)), return_inverse=True, return_counts=True)
-        found[order[own], d] = count[back] > 1
+        _, back = np.unique(h[own] + vectext.mix(interval[own] + np.uint64(1)), return_inverse=True)
+        found[order[own], d] = np.bincount(back, copies[own])[back] > 1
     return found
 
 
 def _shard(window: int):
     def run(t: pa.Table) -> pa.Table:
-        at, lo, hi = (t[c].to_numpy() for c in ("at", "lo", "hi"))
-        keys, first, last = [], [], []
-        if t.num_rows > 1:
-            # places of other grams never share an interval: their contexts differ
-            found = repeated(t["left"].to_pylist(), t["right"].to_pylist(), lo, at, hi, window)
-            edge = np.zeros((len(at), found.shape[1] + 2), bool)
-            edge[:, 1:-1] = found
-            row, begin = np.nonzero(edge[:, 1:] & ~edge[:, :-1])
-            _, end = np.nonzero(~edge[:, 1:] & edge[:, :-1])  # in d: begin to end - 1
-            keys, first, last = row, at[row] - (end - 1), at[row] - begin
-        return pa.table([t["key"].take(pa.array(keys, pa.int64())), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["key", "first", "last"])
+        found = repeated(t["left"].to_pylist(), t["right"].to_pylist(), t["copies"].to_numpy(), window)
+        edge = np.zeros((t.num_rows, found.shape[1] + 2), bool)
+        edge[:, 1:-1] = found
+        row, nearest = np.nonzero(edge[:, 1:] & ~edge[:, :-1])
+        _, end = np.nonzero(~edge[:, 1:] & edge[:, :-1])
+        return pa.table([t["digest"].take(pa.array(row, pa.int64())), pa.array(nearest, pa.int64()), pa.array(end - 1, pa.int64())], names=["digest", "nearest", "farthest"])
 
     return run
 
@@ -310,26 +327,27 @@ def repeated_runs(docs: DataFrame, window: int = 400) -> DataFrame:
     spark = common.spark_of(docs)
     common.prepare(spark)
     spots = common.stored(_anchor_rows(docs, window), "anchors")
-    often = spots.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    spots = common.stored(spots.join(often, "gram"), "spots")
-    count, most = spots.agg(F.count(F.lit(1)), F.max("n")).first()
-    shards = max(1, -(-count // SHARD_ANCHORS))
-    wanted = common.key_filter(spots)
+    often = common.stored(spots.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
+    spots = common.stored(common.keep_numbers(spots, common.number_filter(often, "gram"), "gram").join(often, "gram"), "spots")
     texts = docs.select(common.text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = _once_a_task(texts, wanted)
-
-    def cut(part: DataFrame, hot: bool) -> DataFrame:
-        lists = part.groupBy("key").agg(F.collect_list(F.struct("gram", "at", "lo", "hi")).alias("spots"))
-        return _cut(texts.join(lists, "key").select("key", "text", "spots"), window, shards, hot)
-
-    # a text that several tasks indexed comes from one of them here
-    spots = spots.groupBy("key", "at").agg(F.first("gram").alias("gram"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("n").alias("n"))
-    runs = cut(spots.where(F.col("n") <= MOST_ANCHORS), False).groupBy("shard").applyInArrow(_shard(window), _RUNS)
-    if most and most > MOST_ANCHORS:
-        windows = common.stored(cut(spots.where(F.col("n") > MOST_ANCHORS), True), "windows")
-        twice = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-        runs = runs.unionByName(windows.join(twice, "digest").select("key", F.col("at").alias("first"), F.col("at").alias("last")))
-    return runs
+    texts = _once_a_task(texts, common.key_filter(spots))
+    # a text that several tasks indexed has each anchor once here
+    lists = spots.groupBy("key").agg(F.collect_set(F.struct("gram", "at", "lo", "hi")).alias("spots"))
+    cut = common.stored(_cut(texts.join(lists, "key").select("key", "text", "spots"), window), "regions")
+    places = cut.where("key IS NOT NULL").select("digest", "key", "at")
+    regions = cut.where("key IS NULL").groupBy("digest").agg(F.first("gram").alias("gram"), F.first("left", True).alias("left"), F.first("right", True).alias("right"), F.sum("copies").alias("copies"))
+    regions = common.stored(regions, "distinct")
+    shards = max(1, -(-regions.count() // SHARD_ANCHORS))
+    hot = regions.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_ANCHORS).select("gram")
+    some_hot = hot.limit(1).count()
+    few = regions.join(hot, "gram", "left_anti") if some_hot else regions
+    few = few.select(F.pmod("gram", F.lit(shards)).alias("shard"), "gram", "digest", "left", "right", "copies")
+    runs = few.groupBy("shard").applyInArrow(_shard(window), _RUNS)
+    if some_hot:
+        windows = common.stored(_window_digests(regions.join(hot, "gram", "left_semi"), window), "windows")
+        twice = windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
+        runs = runs.unionByName(windows.join(twice, "window").select("digest", F.col("d").alias("nearest"), F.col("d").alias("farthest")))
+    return places.join(runs, "digest").select("key", (F.col("at") - F.col("farthest")).alias("first"), (F.col("at") - F.col("nearest")).alias("last"))
 
 
 def _once_a_task(texts: DataFrame, wanted) -> DataFrame:
