@@ -56,9 +56,9 @@ def lsh_key(w0: Column, w1: Column, positions: list[int]) -> Column:
 
 def size_text(n: Column) -> Column:
     """Bytes with two decimals and a unit, base 1024."""
-    out = F.format_string("%.2f TB", n / 1024.0**4)
+    out = F.format_string("%.2f TB", F.bround(n / 1024.0**4, 2))
     for k, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(n < 1024.0 ** (k + 1), F.format_string(f"%.2f {unit}", n / 1024.0**k)).otherwise(out)
+        out = F.when(n < 1024.0 ** (k + 1), F.format_string(f"%.2f {unit}", F.bround(n / 1024.0**k, 2))).otherwise(out)
     return out
 
 

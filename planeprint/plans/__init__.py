@@ -1,4 +1,183 @@
-"""Queries over the test tables, with their SQL."""
+"""Queries over the test tables, with their SQL for DuckDB.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Embeddings of 64 numbers are 8 x 8 blocks of coefficients, bytes of documents are planes. A table's rows are all used.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import native, numeric
+from ..operators import cover, hashing, similar
+from ..sources import tables
+
+#: The threshold of similar embeddings, whose hashes are never closer than 10.
+TAU = 20
+
+
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def embedding_hashes(spark, sf) -> DataFrame:
+    e = _read(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), native.median_word(F.col("embedding")).alias("w0"), F.lit(0).cast("long").alias("w1"))
+
+
+def embedding_hash(spark, sf):
+    return embedding_hashes(spark, sf).select("id", "w0", native.hash_hex(F.col("w0"), F.col("w1"), 64).alias("hash_hex"))
+
+
+def embedding_hash_popcount(spark, sf):
+    return embedding_hashes(spark, sf).select("id", F.bit_count("w0").cast("long").alias("bits"))
+
+
+def _stored_hashes(spark, sf):
+    return cover._cut(embedding_hashes(spark, sf))
+
+
+def embedding_similar_pairs(spark, sf):
+    return similar.exact_pairs(_stored_hashes(spark, sf), TAU).select("i", "j", F.col("dist").cast("long"))
+
+
+def embedding_lsh_keys(spark, sf):
+    return similar.lsh_keys(embedding_hashes(spark, sf)).select("id", F.col("tbl").cast("long"), "key")
+
+
+def embedding_lsh_buckets(spark, sf):
+    b = similar.lsh_buckets(similar.lsh_keys(_stored_hashes(spark, sf)))
+    return b.select("id", F.col("tbl").cast("long"), "key", "size", F.col("rank").cast("long"))
+
+
+def embedding_lsh_pairs(spark, sf):
+    return similar.lsh_pairs(_stored_hashes(spark, sf), TAU).select("i", "j", F.col("dist").cast("long"))
+
+
+def embedding_lsh_reference_pairs(spark, sf):
+    return similar.lsh_reference_pairs(_stored_hashes(spark, sf), TAU, cap=1 << 40).select("i", "j", F.col("dist").cast("long"))
+
+
+def edge_degree(spark, sf):
+    return cover.degrees(embedding_similar_pairs(spark, sf))
+
+
+def nearest_neighbour(spark, sf):
+    return cover.nearest(embedding_similar_pairs(spark, sf)).select("id", "neighbour", F.col("dist").cast("long"))
+
+
+def components(spark, sf):
+    return cover.components(embedding_similar_pairs(spark, sf))
+
+
+def greedy_cover(spark, sf):
+    return cover.greedy_cover(embedding_similar_pairs(spark, sf))
+
+
+def dct_basis(spark, sf):
+    i, j = spark.range(32).select(F.col("id").alias("i")), spark.range(32).select(F.col("id").alias("j"))
+    scale = F.when(F.col("i") == 0, math.sqrt(1 / 32)).otherwise(math.sqrt(2 / 32))
+    return i.crossJoin(F.broadcast(j)).select("i", "j", F.round(scale * F.cos((2 * F.col("j") + 1) * F.col("i") * math.pi / 64), 6).alias("v"))
+
+
+def resize_weights(spark, sf):
+    """The four taps of every output place, from 100 to 32."""
+    u = (F.col("i") + 0.5) / 32 * 100
+    rows = spark.range(32).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("k")).withColumn("tap", F.floor(u) - 1 + F.col("k"))
+    x = F.abs(u - F.col("tap"))
+    w = F.when(x <= 1, 1.5 * x * x * x - 2.5 * x * x + 1).when(x < 2, -0.5 * x * x * x + 2.5 * x * x - 4 * x + 2).otherwise(0.0)
+    return rows.select("i", "k", F.least(F.greatest("tap", F.lit(0)), F.lit(99)).cast("long").alias("tap"), F.round(w, 6).alias("w"))
+
+
+def document_planes(spark, sf):
+    return tables.text_planes(_read(spark, sf, "documents"), "doc_id", "text")
+
+
+def document_luma(spark, sf):
+    p = document_planes(spark, sf)
+    return p.select("path", F.col("width").cast("long"), F.col("height").cast("long"), F.octet_length("luma").cast("long").alias("bytes"), F.sha2("luma", 256).alias("sha"))
+
+
+def document_hashes(spark, sf):
+    return hashing.compute_hashes(document_planes(spark, sf))
+
+
+def document_hash(spark, sf):
+    return document_hashes(spark, sf).select("path", "w0", "hash_hex", "reason")
+
+
+def document_similar_pairs(spark, sf):
+    h = document_hashes(spark, sf).where("w0 IS NOT NULL").select(F.col("path").cast("long").alias("id"), "w0", "w1")
+    return similar.exact_pairs(cover._cut(h), 5).select("i", "j", F.col("dist").cast("long"))
+
+
+def similar_report(spark, sf):
+    h = document_hashes(spark, sf).where("w0 IS NOT NULL").select(F.col("path").cast("long").alias("id"), "path", "w0", "w1", F.lit(1).cast("long").alias("file_size"))
+    return cover.find_similar(cover._cut(h), 5)
+
+
+def document_coefficients(spark, sf):
+    cells = tables.square_cells(_read(spark, sf, "benchmark"), "item_id", "text")
+    return hashing.coefficients_relational(cells, 32, 8).select("id", F.col("t").cast("long"), F.round(F.col("c"), 3).alias("c"))
+
+
+def path_extension(spark, sf):
+    return _read(spark, sf, "pages").select("page_id", native.extension(F.col("url")).alias("extension"))
+
+
+def first_five(spark, sf):
+    return _read(spark, sf, "pages").orderBy("url", "page_id").limit(5).select("page_id", native.basename(F.col("url")).alias("name"))
+
+
+def size_format(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", native.size_text(F.col("n_chars") * 1000).alias("size"))
+
+
+def totals(spark, sf):
+    return _read(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("bytes"), F.count_if(F.col("n_chars") == 0).alias("failed"))
+
+
+def stage_counts(spark, sf):
+    p = _read(spark, sf, "pages").select(F.when(native.extension(F.col("url")) == "html", "hashed").otherwise("failed").alias("stage"))
+    return p.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (embedding_hash, embedding_hash_popcount, embedding_similar_pairs, embedding_lsh_keys, embedding_lsh_buckets, embedding_lsh_pairs, embedding_lsh_reference_pairs, edge_degree, nearest_neighbour, components, greedy_cover, dct_basis, resize_weights, document_luma, document_hash, document_similar_pairs, similar_report, document_coefficients, path_extension, first_five, size_format, totals, stage_counts)}
+
+
+# --- SQL ------------------------------------------------------------------------------------------------
+
+_HASH = """c AS (SELECT vec_id AS id, unnest(range(64)) AS t, unnest([0.0::DOUBLE] || embedding[2:64]::DOUBLE[]) AS v FROM embeddings),
+m AS (SELECT id, median(v) AS m FROM c GROUP BY id),
+h AS (SELECT id, bit_or(CASE WHEN v > m THEN CASE WHEN t = 63 THEN (-9223372036854775807 - 1)::BIGINT ELSE (1::BIGINT << least(t, 62)::INT) END ELSE 0::BIGINT END) AS w0 FROM c JOIN m USING (id) GROUP BY id)"""
+_EDGES = f"""{_HASH},
+e AS (SELECT a.id AS i, b.id AS j, bit_count(xor(a.w0, b.w0))::BIGINT AS dist FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.w0, b.w0)) < {TAU})"""
+_BOTH = "b AS (SELECT i AS id, j AS n, dist FROM e UNION ALL SELECT j, i, dist FROM e)"
+_POSITIONS = ", ".join(f"({t}, {b}, {p})" for t, row in enumerate(numeric.bit_positions(32, 8)) for b, p in enumerate(row))
+_KEYS = f"""{_HASH}, p(tbl, b, pos) AS (VALUES {_POSITIONS}),
+k AS (SELECT id, w0, tbl::BIGINT AS tbl, sum(CASE WHEN pos >= 64 THEN 0 WHEN pos = 63 THEN CASE WHEN w0 < 0 THEN 1 ELSE 0 END ELSE (w0 >> least(pos, 62)) & 1 END * (1 << b))::BIGINT AS key FROM h, p GROUP BY ALL)"""
+_BUCKETS = f"""{_KEYS}, s AS (SELECT id, w0, tbl, key, count(*) OVER (PARTITION BY tbl, key)::BIGINT AS size, (row_number() OVER (PARTITION BY tbl, key ORDER BY id) - 1)::BIGINT AS rank FROM k)"""
+_SUFFIX = "lower(regexp_extract(url, '[^/]\\.([^./]+)$', 1))"
+
+ORACLE_SQL = {
+    "embedding_hash": f"WITH {_HASH} SELECT id, w0, lower(lpad(to_hex(w0), 16, '0')) AS hash_hex FROM h",
+    "embedding_hash_popcount": f"WITH {_HASH} SELECT id, bit_count(w0)::BIGINT AS bits FROM h",
+    "embedding_similar_pairs": f"WITH {_EDGES} SELECT i, j, dist FROM e",
+    "embedding_lsh_keys": f"WITH {_KEYS} SELECT id, tbl, key FROM k",
+    "embedding_lsh_buckets": f"WITH {_BUCKETS} SELECT id, tbl, key, size, rank FROM s",
+    "embedding_lsh_pairs": f"WITH {_KEYS} SELECT DISTINCT a.id AS i, b.id AS j, bit_count(xor(a.w0, b.w0))::BIGINT AS dist FROM k a JOIN k b ON a.tbl = b.tbl AND a.key = b.key AND a.id < b.id WHERE bit_count(xor(a.w0, b.w0)) < {TAU}",
+    "embedding_lsh_reference_pairs": f"WITH {_BUCKETS} SELECT DISTINCT a.id AS i, b.id AS j, bit_count(xor(a.w0, b.w0))::BIGINT AS dist FROM s a JOIN s b ON a.tbl = b.tbl AND a.key = b.key AND a.rank < b.rank AND b.rank <= 2 * a.rank + 1 WHERE bit_count(xor(a.w0, b.w0)) < {TAU}",
+    "edge_degree": f"WITH {_EDGES}, {_BOTH} SELECT id, count(*)::BIGINT AS degree FROM b GROUP BY id",
+    "nearest_neighbour": f"WITH {_EDGES}, {_BOTH} SELECT id, n AS neighbour, dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, n) AS r FROM b) WHERE r = 1",
+    "components": f"WITH RECURSIVE {_EDGES}, {_BOTH}, r AS (SELECT DISTINCT id, id AS c FROM b UNION SELECT b.n, r.c FROM r JOIN b ON r.id = b.id) SELECT id, min(c) AS component FROM r GROUP BY id",
+    "dct_basis": "SELECT i, j, round(CASE WHEN i = 0 THEN sqrt(1 / 32.0::DOUBLE) ELSE sqrt(2 / 32.0::DOUBLE) END * cos((2 * j + 1) * i * pi() / 64), 6) AS v FROM range(32) a(i), range(32) b(j)",
+    "resize_weights": "WITH r AS (SELECT i, k, (i + 0.5::DOUBLE) / 32 * 100 AS u FROM range(32) a(i), range(4) b(k)), t AS (SELECT *, floor(u)::BIGINT - 1 + k AS tap, abs(u - (floor(u) - 1 + k)) AS x FROM r) SELECT i, k, least(greatest(tap, 0), 99)::BIGINT AS tap, round(CASE WHEN x <= 1 THEN 1.5 * x * x * x - 2.5 * x * x + 1 WHEN x < 2 THEN -0.5 * x * x * x + 2.5 * x * x - 4 * x + 2 ELSE 0 END, 6)::DOUBLE AS w FROM t",
+    "document_luma": "WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents), s AS (SELECT *, least(64, n) AS w, CASE WHEN n > 0 THEN ((n + least(64, n) - 1) // least(64, n)) ELSE 0 END AS h FROM d) SELECT lpad(doc_id::VARCHAR, 12, '0') AS path, w::BIGINT AS width, h::BIGINT AS height, (w * h)::BIGINT AS bytes, sha256(unhex(rpad(hex(b), (2 * w * h)::INT, '0'))) AS sha FROM s",
+    "path_extension": f"SELECT page_id, {_SUFFIX} AS extension FROM pages",
+    "first_five": "SELECT page_id, CASE WHEN split_part(url, '/', -1) = '' THEN '<unnamed>' ELSE split_part(url, '/', -1) END AS name FROM pages ORDER BY url, page_id LIMIT 5",
+    "size_format": "SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.2f B', n) WHEN n < 1048576 THEN printf('%.2f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576) WHEN n < 1099511627776 THEN printf('%.2f GB', n / 1073741824) ELSE printf('%.2f TB', n / 1099511627776) END AS size FROM (SELECT doc_id, n_chars::DOUBLE * 1000 AS n FROM documents)",
+    "totals": "SELECT count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS bytes, count_if(n_chars = 0)::BIGINT AS failed FROM documents",
+    "stage_counts": f"SELECT CASE WHEN {_SUFFIX} = 'html' THEN 'hashed' ELSE 'failed' END AS stage, count(*)::BIGINT AS n FROM pages GROUP BY 1",
+}
