@@ -38,7 +38,7 @@ from . import common, vectext
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a block and of a bucket of pairs, words of a bucket of words.
-BLOCK_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 4_000_000, 3_000_000, 1_000_000
+BLOCK_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 5_000_000, 4_000_000, 1_000_000
 #: A history with 1 / FREQUENT of all tokens is dealt out by pair.
 FREQUENT = 1000
 END, START = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -59,7 +59,7 @@ def packed(*arrays: np.ndarray) -> bytes:
         head.append(f"{a.dtype.str}:{len(a)}")
         body.append(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes())
     text = ";".join(head).encode()
-    return len(text).to_bytes(4, "little") + text + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
+    return len(text).to_bytes(4, "little") + text + zstandard.ZstdCompressor(level=3).compress(b"".join(body))
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
@@ -144,10 +144,11 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
         def block():
             tokens, lengths = np.concatenate(hashes), np.concatenate(sizes)
+            hashes.clear()
             out = np.concatenate(held)
             words, number, count = np.unique(tokens, return_inverse=True, return_counts=True)
             order = np.argsort(-count, kind="stable")
-            rank = np.empty(len(order), np.int64)
+            rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
             number = rank[number]
             train = np.bincount(number, np.repeat(~out, lengths), len(words)).astype(np.int64)
@@ -221,6 +222,11 @@ def _word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
 _PAIRS = "bucket int, block string, docs binary, pairs binary"
 
 
+def _split(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48 bits of the words' hashes, which tell a history's words apart, as two arrays."""
+    return (words >> np.uint64(16)).astype(np.uint32), (words >> np.uint64(48)).astype(np.uint16)
+
+
 def _pairs(buckets: int, word_buckets: int, total: int, types: int):
     """Of a block, its pairs by bucket; with bucket -1 - its number, what is known of its documents."""
 
@@ -228,13 +234,14 @@ def _pairs(buckets: int, word_buckets: int, total: int, types: int):
         block = t["block"][0].as_py()
         ids, nulls, out, lengths = unpacked(t["docs"][0].as_py())
         words, _ = unpacked(t["vocabulary"][0].as_py())
-        (number,) = unpacked(t["tokens"][0].as_py())
+        number = unpacked(t["tokens"][0].as_py())[0].astype(np.int32)
         c = np.zeros(len(words), np.int64)
         to = _word_bucket(words, word_buckets)
         for x in t["answers"][0].as_py():
             c[to == x["bucket"]] = unpacked(x["counts"])[0]
         first = np.cumsum(lengths) - lengths
         base = np.add.reduceat(np.log10((c + 0.1) / (total + 0.1 * (types + 1)))[number], first)
+        to = None
         known = np.add.reduceat((c > 0)[number].astype(np.int64), first)
         rows: list[tuple] = [(zlib.crc32(block.encode()) % buckets, block, packed(ids, nulls.astype(np.int64), out.astype(np.int64), lengths, known, base), None)]
         # histories: the start is a word of its own, with the count of ends
@@ -243,10 +250,11 @@ def _pairs(buckets: int, word_buckets: int, total: int, types: int):
         history = np.empty_like(number)
         history[1:] = number[:-1]
         history[first] = len(words) - 1
-        doc = np.repeat(np.arange(len(lengths)), lengths)
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         train = np.repeat(~out.astype(bool), lengths)
-        key = history * len(words) + number
-        order = np.argsort(key, kind="stable")  # documents ascend within a pair
+        key = history.astype(np.int64) * len(words) + number
+        del history, number
+        order = np.argsort(key, kind="stable").astype(np.int32)  # documents ascend within a pair
         key, doc, train = key[order], doc[order], train[order]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         times = np.diff(np.append(starts, len(key)))
@@ -261,7 +269,7 @@ def _pairs(buckets: int, word_buckets: int, total: int, types: int):
             ws, wn = np.unique(w[part], return_inverse=True)
             n = times[part]
             places = np.repeat(starts[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            rows.append((int(to[part[0]]), block, None, packed(words[hs], c[hs], sizes, words[ws], c[ws], wn, seen[part], n, doc[places])))
+            rows.append((int(to[part[0]]), block, None, packed(words[hs], c[hs], sizes, *_split(words[ws]), c[ws], wn, seen[part], n, doc[places])))
         return _table(rows, _PAIRS)
 
     return run
@@ -281,13 +289,15 @@ def _count_pairs(total: int, counts_of_counts):
         for b, x in zip(t["block"].to_pylist(), t["pairs"].to_pylist()):
             if x is not None:
                 names.append(b)
-                parts.append(unpacked(x))
+                h, c, sizes, low, high, *rest = unpacked(x)
+                parts.append((h, c, sizes, (high.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64), *rest))
         if not parts:
             return _table(rows, _PARTS)
         hs = np.concatenate([np.repeat(x[0], x[2]) for x in parts])
         ws = np.concatenate([x[3][x[5]] for x in parts])
         train = np.concatenate([x[6] for x in parts])
         _, first, pair = np.unique(vectext.mix(hs) + ws, return_index=True, return_inverse=True)
+        del ws
         r = np.bincount(pair, train, len(first)).astype(np.int64)
         histories, hist = np.unique(hs, return_inverse=True)
         c_hist = np.zeros(len(histories), np.int64)
