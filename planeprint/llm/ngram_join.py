@@ -40,6 +40,8 @@ MOST_FREQUENT = 1 << 17
 BUCKET_SHINGLES = 5_000_000
 LEAST_BUCKETS = 24
 BLOCK = 1024
+#: Bits of a bitmap for each shingle: at 4, differing shingles rarely fall on each other and the bound is close.
+WIDER = 4
 
 
 def overlap_least(n: int, num: int, den: int) -> int:
@@ -54,8 +56,8 @@ def prefix_lengths(n: int, num: int = 75, den: int = 100) -> tuple[int, int]:
 
 
 def width_of(n: int) -> int:
-    """Bits of a set's bitmap: its size rounded up to a power of two, 64 at least."""
-    return 1 << max(6, (n - 1).bit_length() if n > 1 else 0)
+    """Bits of a set's bitmap: WIDER times its size rounded up to a power of two, 64 at least."""
+    return max(64, WIDER << (n - 1).bit_length() if n > 1 else 0)
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -201,14 +203,15 @@ def _tile_has_first(ho: np.ndarray, fo: np.ndarray) -> np.ndarray:
     return (np.bincount(tile, fo) > 0)[tile]
 
 
-_PAIRS = "a binary, b binary, score double"
+_PAIRS = "a binary, b binary, score double, a_part binary, b_part binary"
 
 
 def _tiles(num: int, den: int, mode: str):
     """The tiles of a bucket to pairs that the bitmap bound lets through.
 
-    mode: "block" takes the best partner of each set within blocks of a tile, and looks through the whole tile only for
-    sets without one; "best" the best one in each other component; "all" takes all of them."""
+    Partners are in other components. mode: "block" takes the best one of each set within blocks of a tile, and looks
+    through the whole tile only for sets without one; "near" the best of the tile, "best" the best one in each other
+    component, "all" all of them."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -268,7 +271,7 @@ def _tiles(num: int, den: int, mode: str):
                     pick = ok
                 else:
                     score = most[ok] / (sizes[i] + sizes[lo:hi][ok] - most[ok])
-                    if mode == "block":
+                    if mode in ("block", "near"):
                         pick = ok[np.argsort(-score, kind="stable")[:1]]
                     else:
                         ranked = ok[np.lexsort((-score, c[lo:hi][ok]))]
@@ -283,10 +286,27 @@ def _tiles(num: int, den: int, mode: str):
                 near = min(hi, (i // BLOCK + 1) * BLOCK) if mode == "block" else hi
                 if not meet(i, i + 1, near) and near < hi:
                     meet(i, near, hi)
+            if mode == "block":  # sets that no smaller one chose, or met, look for a smaller one themselves
+                begins = np.searchsorted(sizes, -(-num * sizes // den))
+                for j in range(1, len(r)):
+                    if (int(r[j]), 0) in best:
+                        continue
+                    for w in np.unique(words[begins[j] : j]).tolist():
+                        own = np.flatnonzero(f[begins[j] : j] & (words[begins[j] : j] == w) & (c[begins[j] : j] != c[j])) + begins[j]
+                        if not len(own):
+                            continue
+                        m = at_width(int(w))
+                        most = bound(int(sizes[j]), m[j], sizes[own], m[own])
+                        ok = np.flatnonzero(enough(most, sizes[j], sizes[own], num, den))
+                        if len(ok):
+                            score = most[ok] / (sizes[j] + sizes[own][ok] - most[ok])
+                            k = int(score.argmax())
+                            offer(int(r[own[ok[k]]]), int(r[j]), float(score[k]))
         keys = t["key"].combine_chunks()
         found = list({(a, b): s for s, a, b in best.values()}.items())
+        own = t["component"].combine_chunks()
         a, b = (pa.array([x[0][i] for x in found], pa.int64()) for i in (0, 1))
-        return pa.table([keys.take(a), keys.take(b), pa.array([float(x[1]) for x in found], pa.float64())], names=["a", "b", "score"])
+        return pa.table([keys.take(a), keys.take(b), pa.array([float(x[1]) for x in found], pa.float64()), own.take(a), own.take(b)], names=["a", "b", "score", "a_part", "b_part"])
 
     return run
 
@@ -354,28 +374,38 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100)
         tiles = members.join(bits, "key")
         tiles = tiles.join(parts.withColumnRenamed("node", "key"), "key", "left") if parts is not None else tiles.withColumn("component", F.col("key"))
         tiles = tiles.select("bucket", "key", "n", "hashes", "first", "bits", F.coalesce("component", "key").alias("component"))
-        found = tiles.groupBy("bucket").applyInArrow(_tiles(num, den, mode), _PAIRS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
-        if mode == "block":  # the best partner over all tiles is enough for a start
-            both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-            found = both.groupBy("a").agg(F.max(F.struct("score", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
+        found = tiles.groupBy("bucket").applyInArrow(_tiles(num, den, mode), _PAIRS)
+        if mode != "all":  # over all buckets, each set's best partner; then that in each other component
+            if tried is not None:
+                done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                found = found.join(done, ["a", "b"], "left_anti")
+            both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "score", F.col("b_part").alias("a_part"), F.col("a_part").alias("b_part")))
+            both = both.groupBy("a", *(["b_part"] if mode == "best" else [])).agg(F.max(F.struct("score", "b")).alias("m"))
+            found = both.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
+        else:
+            found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = common.stored(found.select("a", "b").distinct(), "pairs")
         if not found.limit(1).count():
+            if mode in ("near", "best"):
+                mode = {"near": "best", "best": "all"}[mode]  # those of each bucket have been tried: now what is left
+                continue
             break
         keys = found.select(F.explode(F.array("a", "b")).alias("key"))
-        # whoever has a partner in another component has met one just now: the others are done
-        members = common.stored(common.keep_filtered(members, common.key_filter(keys)), "members")
-        pairs = found if tried is None else found.join(tried, ["a", "b"], "left_anti")
-        if sets is None:
+        if mode == "block":  # whoever may have a partner at all has met one just now: the others are done
+            members = common.stored(common.keep_filtered(members, common.key_filter(keys)), "members")
             sets = common.stored(_sets(docs, keys, size), "sets")
+        pairs = found if tried is None else found.join(tried, ["a", "b"], "left_anti")
         judged = common.stored(_verify(pairs, sets, num, den), "judged")
-        new = judged.limit(1).count()
-        if not new and mode == "all":
-            break
         tried = judged.select("a", "b") if tried is None else tried.unionByName(judged.select("a", "b"))
-        links = judged.where("links").select("a", "b") if links is None else links.unionByName(judged.where("links").select("a", "b"))
-        if new:
+        new = judged.where("links").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        if new.limit(1).count():
             parts = common.stored(common.components(links), "parts")
-        mode = "best" if mode == "block" else "all"
+        elif mode == "all":
+            break
+        else:
+            mode = {"block": "near", "near": "best", "best": "all"}[mode]
+        mode = "near" if mode == "block" else mode  # each set's best partner halves the components, until none is new
 
     # equal sets share a key; a key's rows are at one component, whose smallest id counts
     nodes = signatures.select("doc_id", "n", "key")
