@@ -58,7 +58,7 @@ class Scanner:
         import regex
 
         self.notices = [(label, f" {wording} " if not k else wording, k) for label, wording, k in notices]
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(w)}){{e<={k}}}") if k else regex.compile(regex.escape(w)) for _, w, k in self.notices]
+        self.patterns = [regex.compile(f"(?e)(?:{regex.escape(w)}){{e<={k}}}") if k else regex.compile(regex.escape(w)) for _, w, k in self.notices]
         places: dict[str, list[tuple[int, int]]] = {}
         for i, (_, wording, k) in enumerate(self.notices):
             for at, piece in pieces(wording, k):
@@ -70,7 +70,7 @@ class Scanner:
 
     def find(self, words: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, edits) in the normal form of a text, by start."""
-        near: dict[int, list[list[int]]] = {}
+        near: dict[int, list[tuple[int, int]]] = {}
         out: list[tuple[int, int, int, int]] = []
         for last, (size, uses) in self.automaton.iter(words):
             first = last - size + 1
@@ -81,12 +81,14 @@ class Scanner:
                     out.append((i, m.start() + 1, m.end() - 1, 0))
                     continue
                 a, b = max(0, first - at - k), min(len(words), first - at + len(wording) + k)
-                spans = near.setdefault(i, [])
+                near.setdefault(i, []).append((a, b))
+        for i, windows in near.items():
+            spans: list[list[int]] = []
+            for a, b in sorted(windows):  # a later hit of a later piece may begin before an earlier one's window
                 if spans and a <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], b)
                 else:
                     spans.append([a, b])
-        for i, spans in near.items():
             for a, b in spans:
                 out += [(i, m.start(), m.end(), sum(m.fuzzy_counts)) for m in self.patterns[i].finditer(words, a, b)]
         return sorted(out, key=lambda x: (x[1], x[0]))

@@ -157,6 +157,15 @@ def test_licenses(spark):
     assert got[1].labels == "mit" and 0 < got[8].score and "apache" in got[8].labels and got[4].labels == ""
 
 
+def test_license_windows_out_of_order():
+    """A later hit whose window begins before an earlier one's, and a notice right before a closer one."""
+    found = lambda text: [(x[0], x[3]) for x in licenses.scanner(licenses.NOTICES).find(licenses.normal(text)[0])]
+    gpl = next(i for i, (label, w, k) in enumerate(licenses.NOTICES) if w == "gnu general public license")
+    assert [x for x in found("gnu genral public license gnu general public license") if x[0] == gpl] == [(gpl, 1), (gpl, 0)]
+    bounds = licenses.pieces("gnu general public license", 3)
+    assert [x for x in found(f"gnX genXral pXblic {bounds[3][1]}") if x[0] == gpl] == [(gpl, 3)]
+
+
 def test_hnsw(spark, monkeypatch):
     monkeypatch.setattr(hnsw, "SHARD", 60)
     rng = np.random.default_rng(8)
