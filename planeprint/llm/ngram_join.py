@@ -13,8 +13,9 @@ sets is 0.75 or more; the result gives each document the smallest id that it rea
    al. 2020). Only the best partner of each document goes on.
 4. What the bound lets through is decided by intersecting the two sorted arrays.
 5. Verified links are united to components, and 3 and 4 are repeated for documents in different components, later
-   with all partners, until no pair is left that the bound lets through. So every link lies within a component, while
-   neither pairs within a component nor copies of a set are ever expanded.
+   with all partners, until no pair is left that the bound lets through. Sets without a partner in another component
+   leave, so rounds get smaller. Every link then lies within a component, while neither pairs within a component nor
+   copies of a set are ever expanded.
 
 Null or empty text: empty set, linked with nothing. Null id: takes part, its result is under a null id.
 Rows that repeat an id with other text are linked as if by a link. Other columns are ignored.
@@ -211,7 +212,8 @@ def _tiles(num: int, den: int, mode: str):
 
     Partners are in other components. mode: "block" takes the best one of each set within blocks of a tile, and looks
     through the whole tile only for sets without one; "near" the best of the tile, "best" the best one in each other
-    component, "all" all of them."""
+    component, "all" all of them. Besides, all but "block" return under a null b every set that has a partner: as
+    components only grow, the others never will."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -224,6 +226,7 @@ def _tiles(num: int, den: int, mode: str):
         cuts = np.flatnonzero(h[order][1:] != h[order][:-1]) + 1
         best: dict[tuple, tuple] = {}
         done: set[bytes] = set()
+        live = np.zeros(len(n), bool)
 
         def offer(x: int, y: int, score: float) -> None:
             a, b = (x, y) if x < y else (y, x)
@@ -267,6 +270,8 @@ def _tiles(num: int, den: int, mode: str):
                 ok = np.flatnonzero(enough(most, sizes[i], sizes[lo:hi], num, den) & (c[lo:hi] != c[i]))
                 if not len(ok):
                     return False
+                live[r[i]] = True
+                live[r[lo:hi][ok]] = True
                 if mode == "all":
                     pick = ok
                 else:
@@ -305,14 +310,15 @@ def _tiles(num: int, den: int, mode: str):
         keys = t["key"].combine_chunks()
         found = list({(a, b): s for s, a, b in best.values()}.items())
         own = t["component"].combine_chunks()
-        a, b = (pa.array([x[0][i] for x in found], pa.int64()) for i in (0, 1))
-        return pa.table([keys.take(a), keys.take(b), pa.array([float(x[1]) for x in found], pa.float64()), own.take(a), own.take(b)], names=["a", "b", "score", "a_part", "b_part"])
+        has = np.flatnonzero(live).tolist() if mode != "block" else []
+        a, b = (pa.array([x[0][i] for x in found] + rest, pa.int64()) for i, rest in ((0, has), (1, [None] * len(has))))
+        return pa.table([keys.take(a), keys.take(b), pa.array([float(x[1]) for x in found] + [None] * len(has), pa.float64()), own.take(a), own.take(b)], names=["a", "b", "score", "a_part", "b_part"])
 
     return run
 
 
 def _sets(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """(key, hashes) of the documents whose set has one of keys, once for each task and set; chance may add others."""
+    """(key, hashes) of the documents whose set has one of keys, once for each set; chance may add others."""
     wanted = common.key_filter(keys)
 
     def run(batches):
@@ -328,7 +334,7 @@ def _sets(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], names=["key", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "key binary, hashes binary")
+    return docs.select("text").mapInArrow(run, "key binary, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -347,8 +353,6 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 ok.append(bool(enough(both, len(x), len(y), num, den)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "links"])
 
-    # several tasks may hold the same set
-    sets = sets.groupBy("key").agg(F.first("hashes").alias("hashes"))
     x = sets.select(F.col("key").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, links boolean")
@@ -375,6 +379,14 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100)
         tiles = tiles.join(parts.withColumnRenamed("node", "key"), "key", "left") if parts is not None else tiles.withColumn("component", F.col("key"))
         tiles = tiles.select("bucket", "key", "n", "hashes", "first", "bits", F.coalesce("component", "key").alias("component"))
         found = tiles.groupBy("bucket").applyInArrow(_tiles(num, den, mode), _PAIRS)
+        if mode != "block":
+            found = common.stored(found, "met")
+            live = found.where("b IS NULL").select(F.col("a").alias("key"))
+            if not live.limit(1).count():
+                break
+            live = common.key_filter(live)
+            members, bits = (common.stored(common.keep_filtered(x, live), name) for x, name in ((members, "members"), (bits, "bits")))
+            found = found.where("b IS NOT NULL")
         if mode != "all":  # over all buckets, each set's best partner; then that in each other component
             if tried is not None:
                 done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -392,10 +404,13 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100)
             break
         keys = found.select(F.explode(F.array("a", "b")).alias("key"))
         if mode == "block":  # whoever may have a partner at all has met one just now: the others are done
-            members = common.stored(common.keep_filtered(members, common.key_filter(keys)), "members")
-            sets = common.stored(_sets(docs, keys, size), "sets")
+            met = common.key_filter(keys)
+            members, bits = (common.stored(common.keep_filtered(x, met), name) for x, name in ((members, "members"), (bits, "bits")))
+            sets = wanted = common.stored(_sets(docs, keys, size), "sets")
+        else:
+            wanted = common.keep_filtered(sets, common.key_filter(keys))
         pairs = found if tried is None else found.join(tried, ["a", "b"], "left_anti")
-        judged = common.stored(_verify(pairs, sets, num, den), "judged")
+        judged = common.stored(_verify(pairs, wanted, num, den), "judged")
         tried = judged.select("a", "b") if tried is None else tried.unionByName(judged.select("a", "b"))
         new = judged.where("links").select("a", "b")
         links = new if links is None else links.unionByName(new)
