@@ -2,12 +2,13 @@
 
 Vectors with the same label and number of components form a family. Equal ones are one vertex with a count. A family is
 dealt out into shards of bounded size; each gets a graph whose layers are drawn from hashes of the vertices, whose
-edges lead to near vertices that are not nearer to one chosen before, and back. Every vertex is then looked up in
+edges lead to near vertices that are not nearer to one chosen before, and back. A vertex that its nearest one has no
+room for hangs in a tree below that one, and one out of reach below the nearest within reach. Every vertex is then looked up in
 every shard of its family (each pair of shards once, for both sides): greedily through the upper layers, with a beam in
 the lowest one, and from what is near enough on to all its neighbours that are, so that a dense group is found as a
 whole whatever the beam. A part of the queries is audited against brute force in the shard, and the beam is doubled
-until the audit finds RECALL of all links; with a beam of the shard's size it finds them all. Pairs are verified by their
-cosine in double precision. A pair of shards returns sums of links and a spanning forest, never its pairs.
+until the audit finds RECALL of all links; a beam beyond a part of the shard (WIDEST) becomes the whole shard, which is
+brute force and finds them all. Pairs are verified by their cosine in double precision. A pair of shards returns sums of links and a spanning forest, never its pairs.
 
 Vectors that are null, zero or hold null or non-finite components, and vectors without a label, link with nothing. Null
 ids take part; rows that repeat an id are rows of their own that a result's id doesn't tell apart.
@@ -28,6 +29,10 @@ from . import common
 SHARD, EDGES, CHOICE, BEAM = 3000, 12, 48, 32
 #: Share of links that an audit must find, and queries that it takes of each pair of shards.
 RECALL, AUDITED = 0.999, 256
+#: The widest beam is the shard's size by this; beams expand their size by STEP vertices at once.
+WIDEST, STEP = 8, 16
+#: Most partitions that pairs of shards are dealt to.
+MOST_PARTS = 100_000
 #: Queries that move through a graph at once.
 TOGETHER = 512
 
@@ -96,6 +101,48 @@ def chosen(u: np.ndarray) -> np.ndarray:
     return out
 
 
+def hung(hosts: np.ndarray, below: np.ndarray, sims: np.ndarray, n: int) -> np.ndarray:
+    """Edges (three of each of n vertices) by which every vertex of below is reached from its host: binary trees, the
+    most similar first. A vertex is in one tree, and a host of one, so three edges are enough."""
+    out = np.full((n, 3), -1, np.int64)
+    order = np.lexsort((below, -sims, hosts))
+    hosts, below = hosts[order], below[order]
+    begin = np.searchsorted(hosts, hosts)
+    place = np.arange(len(hosts)) - begin + 1
+    root = place == 1
+    out[hosts[root], 0] = below[root]
+    at = np.flatnonzero(~root)
+    out[below[begin[at] + place[at] // 2 - 1], 1 + place[at] % 2] = below[at]
+    return out
+
+
+def reached(neighbours: np.ndarray) -> np.ndarray:
+    """Marks of the vertices that edges lead to from the first one."""
+    seen = np.zeros(len(neighbours), bool)
+    new = np.array([0])
+    while len(new):
+        seen[new] = True
+        near = neighbours[new]
+        near = np.unique(near[near >= 0])
+        new = near[~seen[near]]
+    return seen
+
+
+def connected(u: np.ndarray, forth: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
+    """neighbours (by place) with edges that lead to each vertex from its nearest one, and to all from the first."""
+    n = len(u)
+    nearest = forth[:, 0]
+    lost = np.flatnonzero((nearest >= 0) & ~(neighbours[nearest] == np.arange(n)[:, None]).any(axis=1))
+    neighbours = np.concatenate([neighbours, hung(nearest[lost], lost, np.einsum("ed,ed->e", u[lost], u[nearest[lost]]), n)], axis=1)
+    seen = reached(neighbours)
+    far, near = np.flatnonzero(~seen), np.flatnonzero(seen)
+    hosts, sims = np.zeros(len(far), np.int64), np.zeros(len(far))
+    for first in range(0, len(far), TOGETHER):
+        s = u[far[first : first + TOGETHER]] @ u[near].T
+        hosts[first : first + TOGETHER], sims[first : first + TOGETHER] = near[s.argmax(axis=1)], s.max(axis=1)
+    return np.concatenate([neighbours, hung(hosts, far, sims, n)], axis=1)
+
+
 def build(keys: np.ndarray, u: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(vertices, neighbours of these by place, -1 where there are fewer) of each layer, the lowest first."""
     top = layers_of(keys)
@@ -114,9 +161,10 @@ def build(keys: np.ndarray, u: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]
         a, b = a[order], b[order]
         rank = np.arange(len(a)) - np.searchsorted(a, a)
         keep = rank < 2 * EDGES
-        neighbours = np.full((len(own), 2 * EDGES), -1, np.int32)
-        neighbours[a[keep], rank[keep]] = own[b[keep]]
-        out.append((own.astype(np.int32), neighbours))
+        neighbours = np.full((len(own), 2 * EDGES), -1, np.int64)
+        neighbours[a[keep], rank[keep]] = b[keep]
+        neighbours = connected(u[own], forth, neighbours)
+        out.append((own.astype(np.int32), np.where(neighbours >= 0, own[neighbours], -1).astype(np.int32)))
     return out
 
 
@@ -145,6 +193,7 @@ def search(graph, u: np.ndarray, q: np.ndarray, beam: int, least: float) -> np.n
     found = np.zeros((m, n), bool)
     neighbours = graph[0][1]
     beam = min(beam, n)
+    wide = max(1, beam // STEP)
     for first in range(0, m, TOGETHER):
         own = q[first : first + TOGETHER]
         k = len(own)
@@ -159,11 +208,13 @@ def search(graph, u: np.ndarray, q: np.ndarray, beam: int, least: float) -> np.n
         hits = [(np.arange(k)[sims[:, 0] >= least], ids[:, 0][sims[:, 0] >= least])]
         live = np.arange(k)
         while len(live):
-            best = np.where(open_[live], sims[live], -3).argmax(axis=1)
-            at = ids[live, best]
-            open_[live, best] = False
-            near = neighbours[at].astype(np.int64)
+            best = np.argpartition(-np.where(open_[live], sims[live], -3), wide - 1, axis=1)[:, :wide]
+            at = np.where(open_[live[:, None], best], ids[live[:, None], best], -1)
+            open_[live[:, None], best] = False
+            near = np.where(at[:, :, None] >= 0, neighbours[at], -1).reshape(len(live), -1).astype(np.int64)
+            near.sort(axis=1)
             new = (near >= 0) & ~seen[live[:, None], near]
+            new[:, 1:] &= near[:, 1:] != near[:, :-1]
             x, y = np.nonzero(new)
             v = near[x, y]
             seen[live[x], v] = True
@@ -215,8 +266,8 @@ def _graph(blob: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
     head = np.frombuffer(blob, np.int32)
     out, at = [], 1 + head[0]
     for n in head[1 : 1 + head[0]].tolist():
-        out.append((head[at : at + n], head[at + n : at + n + n * 2 * EDGES].reshape(n, 2 * EDGES)))
-        at += n + n * 2 * EDGES
+        out.append((head[at : at + n], head[at + n : at + n + n * (2 * EDGES + 6)].reshape(n, 2 * EDGES + 6)))
+        at += n + n * (2 * EDGES + 6)
     return out
 
 
@@ -226,13 +277,14 @@ def links_between(queries: np.ndarray, vectors: np.ndarray, graph, least: float,
     audit = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDITED)).astype(np.int64))
     truth = q[audit] @ u.T >= least
     while True:
+        if beam > len(u) // WIDEST:  # the whole shard
+            beam = len(u)
+            found = np.concatenate([q[first : first + TOGETHER] @ u.T >= least - 1e-9 for first in range(0, len(q), TOGETHER)])
+            break
         found = search(graph, u, q, beam, least - 1e-9)
-        if beam >= len(u) or (found[audit] & truth).sum() >= RECALL * truth.sum():
+        if (found[audit] & truth).sum() >= RECALL * truth.sum():
             break
         beam *= 2
-    if beam >= len(u):  # a beam of everything is brute force
-        for first in range(0, len(q), TOGETHER):
-            found[first : first + TOGETHER] |= q[first : first + TOGETHER] @ u.T >= least - 1e-9
     x, v = np.nonzero(found)
     dots = np.einsum("ed,ed->e", queries[x], vectors[v])
     sizes = np.sqrt((queries * queries).sum(axis=1))[x] * np.sqrt((vectors * vectors).sum(axis=1))[v]
@@ -292,6 +344,9 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
     index = common.stored(dealt.drop("shards").groupBy("label", "dim", "shard").applyInArrow(_index, _SHARD), "index")
     queries = index.select("label", "dim", *(F.col(c).alias(f"q_{c}") for c in ("shard", "keys", "counts", "vectors")))
     pairs = queries.join(index, ["label", "dim"]).where("q_shard <= shard")
+    # few bytes but much work: as many partitions as pairs of shards
+    parts = families.agg(F.sum(F.expr("bigint(shards) * (shards + 1) div 2"))).first()[0] or 1
+    pairs = pairs.repartition(max(1, min(parts, MOST_PARTS)), "label", "dim", "q_shard", "shard")
     found = common.stored(pairs.groupBy("label", "dim", "q_shard", "shard").applyInArrow(_query(least), _LINKS), "links")
     parts = common.components(found.select("key", "root"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))

@@ -190,6 +190,21 @@ def test_hnsw(spark, monkeypatch):
     assert hnsw.near_duplicates(df.where("false")).count() == 0
 
 
+def test_graph_reaches_every_vertex():
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(900, 16))
+    v[:400] = v[0] + rng.normal(size=(400, 16)) * 0.03  # one dense group around a vertex
+    keys = np.array([hashlib.sha256(x.tobytes()).digest()[:16] for x in v], "V16")
+    u = hnsw.unit(v)
+    graph = hnsw.build(keys, u)
+    assert all(hnsw.reached(np.where(near >= 0, np.searchsorted(own, near), -1)).all() for own, near in graph)
+    truth = u @ u.T >= 0.98
+    found = hnsw.search(graph, u, u, hnsw.BEAM, 0.98)
+    assert not (found & ~truth).any() and (found & truth).sum() >= 0.99 * truth.sum()
+    marks, beam = hnsw.links_between(v, v, graph, 0.98, 1 << 10)
+    assert beam == 900 and (marks == truth).all()
+
+
 def test_chat(spark):
     texts = ["</s>[INST] ok [/INST]", "a\\b\\.c\\n", "<|image|> <s", "<s><s></s>\n", "", "<\\.s>", "é😀"]
     for t in texts:
