@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and works on all that the one before it
 columns of documents:
 
 1. quality rules: documents that the base rules or their host's verdict reject go;
-2. n-gram Jaccard join: of each group of near duplicates the document with the smallest id stays;
+2. n-gram Jaccard join: of each group of near duplicates one row stays, that with the smallest id;
 3. suffix-array dedup: what repeats, in strings of 400 bytes, is taken out of the texts; emptied documents go;
 4. mixing: the documents that the weights take of 80 % of the tokens, within one epoch, whole;
 5. packing: pieces of at most 2048 tokens with their place in sequences.

@@ -18,7 +18,7 @@ sets is 0.75 or more; the result gives each document the smallest id that it rea
    copies of a set are ever expanded.
 
 Null or empty text: empty set, linked with nothing. Null id: takes part, its result is under a null id.
-Rows that repeat an id with other text are linked as if by a link. Other columns are ignored.
+Rows that repeat an id with other text are not linked by it. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, vectext
@@ -113,31 +113,31 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return np.sort(np.array([r.h for r in top.select("h").collect()], np.int64).view(np.uint64)), total
 
 
-_SIGNATURES = "doc_id long, n long, key binary, bits binary, bucket int, keys binary, sizes binary, counts binary, hashes binary, first binary"
+_SIGNATURES = "doc_id long, row binary, n long, key binary, bits binary, bucket int, keys binary, sizes binary, counts binary, hashes binary, first binary"
 
 
 def _signatures(docs: DataFrame, size: int, num: int, den: int, frequent, buckets: int) -> DataFrame:
-    """Two kinds of rows. For each document doc_id, n, key (128 bits of its set) and, for the first of equal sets of a
+    """Two kinds of rows. For each document doc_id, row (of docs, or null), n, key (128 bits of its set) and, for the first of equal sets of a
     batch of a task, bits. For each bucket that the prefixes of a batch reach: keys and sizes of the sets, counts of
     their prefix shingles there, the shingles (32 bits of their hash besides those that choose the bucket), and marks
     of those in the shorter prefix."""
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), *(pa.binary(),) * 5)
+    types = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), *(pa.binary(),) * 5)
     names = [x.split()[0] for x in _SIGNATURES.split(", ")]
 
     def run(batches):
         last = frequent.value
         seen: set[bytes] = set()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, own_rows = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             rows: list[tuple] = []
             fresh: list[tuple] = []
             for i, s in enumerate(vectext.shingles(*vectext.buffers(batch.column(1)), size)):
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 if key is None or key in seen:
-                    rows.append((ids[i], len(s), key, None, None, None, None, None, None, None))
+                    rows.append((ids[i], own_rows[i], len(s), key, None, None, None, None, None, None, None))
                     continue
                 seen.add(key)
-                rows.append((ids[i], len(s), key, bitmap(s).tobytes(), None, None, None, None, None, None))
+                rows.append((ids[i], own_rows[i], len(s), key, bitmap(s).tobytes(), None, None, None, None, None, None))
                 probe, index = prefix_lengths(len(s), num, den)
                 if len(last):
                     at = np.searchsorted(last, s)
@@ -154,11 +154,12 @@ def _signatures(docs: DataFrame, size: int, num: int, den: int, frequent, bucket
                 keys, sizes = np.array([x[0] for x in fresh], "V16"), np.array([x[1] for x in fresh], np.int32)
                 for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
                     own, counts = np.unique(who[part], return_counts=True)
-                    rows.append((None, None, None, None, int(to[part[0]]), keys[own].tobytes(), sizes[own].tobytes(), counts.astype(np.int32).tobytes(), h[part].astype(np.uint32).tobytes(), np.packbits(first[part]).tobytes()))
+                    rows.append((None, None, None, None, None, int(to[part[0]]), keys[own].tobytes(), sizes[own].tobytes(), counts.astype(np.int32).tobytes(), h[part].astype(np.uint32).tobytes(), np.packbits(first[part]).tobytes()))
             for k in range(0, len(rows), common.ARROW_ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + common.ARROW_ROWS]), types)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SIGNATURES)
+    row = F.col("row") if "row" in docs.columns else F.lit(None).cast("binary").alias("row")
+    return docs.select(F.col("doc_id").cast("long"), "text", row).mapInArrow(run, _SIGNATURES)
 
 
 _MEMBERS = "bucket int, key binary, n long, hashes binary, first binary"
@@ -358,8 +359,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, links boolean")
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs(doc_id, text). See the module's text."""
+def _linked(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """doc_id, row, n and key of every row of docs(doc_id, text) or docs(doc_id, text, row). key is that of the component,
+    null for an empty set; row goes through as it is."""
     spark = common.spark_of(docs)
     common.prepare(spark)
     top, total = _frequent(docs, size)
@@ -367,7 +369,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100)
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_SHINGLES))
     signatures = common.stored(_signatures(docs, size, num, den, frequent, buckets), "signatures")
     dealt = signatures.where("bucket IS NOT NULL").select("bucket", "keys", "sizes", "counts", "hashes", "first")
-    signatures = signatures.where("bucket IS NULL").select("doc_id", "n", "key", "bits")
+    signatures = signatures.where("bucket IS NULL").select("doc_id", "row", "n", "key", "bits")
     members = common.stored(dealt.groupBy("bucket").applyInArrow(_reduce(num, den), _MEMBERS), "members")
     bits = signatures.where("bits IS NOT NULL").select("key", "bits")
     bits = common.keep_filtered(bits, common.key_filter(members)).groupBy("key").agg(F.first("bits").alias("bits"))
@@ -422,18 +424,34 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100)
             mode = {"block": "near", "near": "best", "best": "all"}[mode]
         mode = "near" if mode == "block" else mode  # each set's best partner halves the components, until none is new
 
-    # equal sets share a key; a key's rows are at one component, whose smallest id counts
-    nodes = signatures.select("doc_id", "n", "key")
+    # equal sets share a key; a key's rows are at one component
+    nodes = signatures.select("doc_id", "row", "n", "key")
     if parts is not None:
-        nodes = nodes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", F.coalesce("component", "key").alias("key"))
+        nodes = nodes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "row", "n", F.coalesce("component", "key").alias("key"))
+    return nodes
+
+
+def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs(doc_id, text). See the module's text."""
+    nodes = _linked(docs.select("doc_id", "text"), size, num, den)
     least = nodes.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("component_id"))
     return nodes.join(least, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the row with the smallest doc_id stays.
-
-    A row without an id stays unless an equal or similar one with an id exists; documents without words stay."""
-    found = common.stored(jaccard_join(docs.select("doc_id", "text"), size, num, den), "joined")
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    """The rows of docs without near duplicates: of each component exactly one row stays.
+
+    It is that with the smallest doc_id; rows without an id come last. Of several texts under this id the one with the
+    smallest text key stays, of rows that repeat both the first by their other columns. Documents without words all stay."""
+    row = common.text_key(F.col("text"))
+    linked = _linked(docs.select("doc_id", "text", row.alias("row")), size, num, den).where("key IS NOT NULL")
+    linked = common.stored(linked.select("key", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "row"), "joined")
+    stay = linked.groupBy("key").agg(F.min(F.struct("none", "id", "row")).alias("m"))
+    stay = stay.select(F.col("m.none").alias("__none"), F.col("m.id").alias("__id"), F.col("m.row").alias("__row"))
+    words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    at, number = ["__none", "__id", "__row"], F.col("doc_id").cast("long")
+    rows = docs.where(words).withColumn("__none", number.isNull()).withColumn("__id", F.coalesce(number, F.lit(0))).withColumn("__row", row)
+    # tasks drop repeats of a row before they are dealt out, so many of one row are no large group
+    order = Window.partitionBy(*at).orderBy(*([c for c in docs.columns if c not in ("doc_id", "text")] or ["__row"]))
+    rows = rows.withColumn("__k", F.row_number().over(order)).where("__k <= 1")
+    return rows.join(stay, at, "left_semi").select(*docs.columns).unionByName(docs.where(~words))

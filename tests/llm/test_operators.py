@@ -94,6 +94,50 @@ def test_jaccard(spark, docs, monkeypatch):
     assert links and ngram_join.jaccard_join(docs.where("false")).count() == 0
 
 
+def jaccard_parts(rows):
+    """Component of each row by brute force, None without words."""
+    sets = []
+    for r in rows:
+        w = re.findall(WORDS, lower(r.text))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    links = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    return [p if s else None for p, s in zip(classes(len(rows), links), sets)]
+
+
+def one_a_part(rows):
+    """Of each component the row with the smallest id (none: last), then text key; all rows without words."""
+    best, out = {}, []
+    for r, p in zip(rows, jaccard_parts(rows)):
+        rank = (r.doc_id is None, r.doc_id or 0, hashlib.sha256((r.text or "").encode()).digest()[:16], tuple(map(str, r)))
+        if p is None:
+            out.append(r)
+        elif p not in best or rank < best[p][0]:
+            best[p] = (rank, r)
+    return out + [r for _, r in best.values()]
+
+
+def unlike(k, n=120):
+    return " ".join(f"w{k}x{i}" for i in range(n))
+
+
+def test_one_row_of_each_component(spark, docs):
+    a, b, c, d, e = (unlike(k) for k in "abcde")
+    near = a.replace("x60", "y60")
+    rows = [(3, a), (None, a), (7, a), (7, b), (1, c), (1, c), (None, d), (None, d), (9, e), (9, e + " z"), (None, near), (20, None), (20, None), (21, " "), (None, "")]
+    rows = spark.createDataFrame([(i, t, "en", f"src{k % 2}", len(t or ""), "k", 1) for k, (i, t) in enumerate(rows)], DOCS).repartition(3)
+    got = ngram_join.one_of_each(rows)
+    assert got.columns == rows.columns
+    have = got.collect()
+    assert sorted(x.doc_id for x in have if x.text and x.text.strip() and x.doc_id) == [1, 3, 7, 9] and len(have) == 9
+    both = rows.unionByName(docs)
+    for df, out in ((rows, have), (both, ngram_join.one_of_each(both).collect())):
+        assert sorted(map(str, out)) == sorted(map(str, one_a_part(df.collect())))
+    # the suffix stage then finds no two equal texts, so no group leaves as a whole
+    left = {r.text for r in suffix.without_repeats(got).collect()}
+    assert {b, c, d} <= left and ({e, e + " z"} & left) and a in left
+    assert ngram_join.one_of_each(rows.where("false")).count() == 0
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(3)
     for _ in range(100):
