@@ -109,21 +109,31 @@ def words(coef: np.ndarray, kind: str = "true") -> np.ndarray:
     return np.packbits(padded, axis=1, bitorder="little").view("<i8")
 
 
-def hash_planes(items, options) -> list[tuple[int, int] | None]:
-    """(w0, w1) of each (luma bytes, width, height); None where these don't fit. Equal sides go through together."""
+def plane_coefficients(items, h: int, factor: int, transform: str = "reference") -> list[np.ndarray | None]:
+    """Coefficients of each (luma bytes, width, height); None where these don't fit. Equal sides go through together."""
     groups: dict[tuple[int, int], list[int]] = {}
     for i, (luma, width, height) in enumerate(items):
         if luma is not None and width and height and width > 0 and height > 0 and len(luma) == width * height:
             groups.setdefault((height, width), []).append(i)
-    out: list[tuple[int, int] | None] = [None] * len(items)
+    out: list[np.ndarray | None] = [None] * len(items)
     for (height, width), members in groups.items():
         step = max(1, 4_000_000 // (height * width))
         for first in range(0, len(members), step):
             own = members[first : first + step]
             planes = np.stack([np.frombuffer(items[i][0], np.uint8).reshape(height, width) for i in own])
-            found = words(coefficients(planes, options.hash_size, options.freq_factor, options.transform), options.median)
-            for i, w in zip(own, found.tolist()):
-                out[i] = (w[0], w[1])
+            for i, c in zip(own, coefficients(planes, h, factor, transform)):
+                out[i] = c
+    return out
+
+
+def hash_planes(items, options) -> list[tuple[int, int] | None]:
+    """(w0, w1) of each (luma bytes, width, height); None where these don't fit."""
+    found = plane_coefficients(items, options.hash_size, options.freq_factor, options.transform)
+    out: list[tuple[int, int] | None] = [None] * len(items)
+    own = [i for i, c in enumerate(found) if c is not None]
+    if own:
+        for i, w in zip(own, words(np.stack([found[i] for i in own]), options.median).tolist()):
+            out[i] = (w[0], w[1])
     return out
 
 

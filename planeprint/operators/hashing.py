@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,25 @@ def compute_hashes(planes: DataFrame, options: HashOptions = HashOptions()) -> D
     return out.withColumn("n_bits", F.lit(options.bits)).withColumn("hash_hex", native.hash_hex(F.col("w0"), F.col("w1"), options.bits))
 
 
+def compute_coefficients(planes: DataFrame, key: str, options: HashOptions = HashOptions()) -> DataFrame:
+    """planes(key, luma, width, height) to key, t and c: of each row the coefficients of its whole plane, resampled and
+    transformed. A row whose plane does not match its sides, or has none, has null coefficients."""
+    kind = planes.schema[key].dataType.simpleString()
+    n, h = options.bits, options.hash_size
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            items = list(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))))
+            found = numeric.plane_coefficients(items, h, options.freq_factor, options.transform)
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(items)), n)))
+            c = [x for f in found for x in ([None] * n if f is None else f.tolist())]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(list(range(n)) * len(items), pa.int32()), pa.array(c, pa.float64())], names=[key, "t", "c"])
+
+    return planes.select(key, "luma", "width", "height").mapInArrow(run, f"`{key}` {kind}, t int, c double")
+
+
 def coefficients_relational(cells: DataFrame, side: int, h: int, transform: str = "reference") -> DataFrame:
     """cells(id, y, x, v) of side x side planes to coefficients (id, t, c), by two joins with the basis and two sums.
 

@@ -119,8 +119,9 @@ def similar_report(spark, sf):
 
 
 def document_coefficients(spark, sf):
-    cells = tables.square_cells(_read(spark, sf, "benchmark"), "item_id", "text")
-    return hashing.coefficients_relational(cells, 32, 8).select("id", F.col("t").cast("long"), F.round(F.col("c"), 3).alias("c"))
+    docs = _read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    planes = tables.text_planes(docs, "id", "text", 64, "id")
+    return hashing.compute_coefficients(planes, "id").select("id", F.col("t").cast("long"), F.round(F.col("c"), 3).alias("c"))
 
 
 def path_extension(spark, sf):

@@ -6,18 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def text_planes(rows: DataFrame, key: str, text: str, width: int = 64) -> DataFrame:
-    """path, luma, width, height: the UTF-8 bytes of a text, width a row, the last row filled up with zeros."""
+def text_planes(rows: DataFrame, key: str, text: str, width: int = 64, *also: str) -> DataFrame:
+    """path, luma, width, height, and columns also of rows: the UTF-8 bytes of a text, width a row, the last row filled up with zeros."""
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     n = F.octet_length(data)
     w = F.least(F.lit(width), n)
     h = F.when(n > 0, F.ceil(n / w)).otherwise(F.lit(0)).cast("int")
     full = F.unhex(F.rpad(F.hex(data), F.when(n > 0, 2 * w * h).otherwise(F.lit(0)).cast("int"), F.lit("0")))
-    return rows.select(F.lpad(F.col(key).cast("string"), 12, "0").alias("path"), full.alias("luma"), w.cast("int").alias("width"), h.alias("height"))
-
-
-def square_cells(rows: DataFrame, key: str, text: str, side: int = 32) -> DataFrame:
-    """id, y, x, v: the first side * side bytes of a text as a square, 0 beyond its end."""
-    data = F.hex(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    cells = rows.select(F.col(key).alias("id"), F.rpad(F.substring(data, 1, 2 * side * side), 2 * side * side, "0").alias("h")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
-    return cells.select("id", F.floor(F.col("p") / side).cast("int").alias("y"), (F.col("p") % side).cast("int").alias("x"), F.conv(F.substring(F.col("h"), 2 * F.col("p") + 1, F.lit(2)), 16, 10).cast("double").alias("v"))
+    return rows.select(F.lpad(F.col(key).cast("string"), 12, "0").alias("path"), full.alias("luma"), w.cast("int").alias("width"), h.alias("height"), *also)

@@ -184,6 +184,32 @@ def test_relational_hash(spark):
     assert hashed[9].w0 is None and hashed[9].reason and hashed[0].reason is None
 
 
+def test_document_coefficients_of_whole_texts(spark, tmp_path):
+    from planeprint import plans
+
+    rng = np.random.default_rng(9)
+    long = "".join(map(chr, rng.integers(32, 1000, 5000)))
+    texts = {0: long, 1: long[:700] + "X" * 2000, 2: long[:700] + "Y" * 2000, 3: "", 4: None, 5: "short é", 10**13: "x" * 1024 + "tail"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in plans.document_coefficients(spark, str(tmp_path)).collect():
+        got.setdefault(r.id, {})[r.t] = r.c
+    assert got.keys() == texts.keys() and all(sorted(x) == list(range(64)) for x in got.values())
+    d = numeric.dct_basis(32)
+    for i, text in texts.items():
+        raw = (text or "").encode()
+        if not raw:
+            assert set(got[i].values()) == {None}
+            continue
+        width = min(64, len(raw))
+        plane = np.frombuffer(raw + bytes(-len(raw) % width), np.uint8).reshape(-1, width)
+        full = (d.T @ numeric.resize(plane, 32) @ d)[:8, :8].ravel()
+        full[0] = 0
+        own = [got[i][t] for t in range(64)]
+        assert np.allclose(own, full, atol=1e-3) and np.allclose(own, numeric.coefficients(plane[None], 8, 4)[0], atol=6e-4)
+    assert got[1] != got[2]
+
+
 def test_dense_ids(spark):
     df = spark.createDataFrame([(f"p{i:03d}", i if i % 7 else None) for i in range(50)], "path string, w0 long")
     rows = hashing.with_dense_ids(df).orderBy("path").collect()
