@@ -7,7 +7,7 @@ columns of documents:
 2. n-gram Jaccard join: of each group of near duplicates one row stays, that with the smallest id;
 3. suffix-array dedup: what repeats, in strings of 400 bytes, is taken out of the texts; emptied documents go;
 4. mixing: the documents that the weights take of 80 % of the tokens, within one epoch, whole;
-5. packing: pieces of at most 2048 tokens with their place in sequences.
+5. packing: pieces of at most 2048 tokens, their ids and their place in sequences.
 """
 
 from __future__ import annotations

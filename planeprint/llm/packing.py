@@ -6,7 +6,8 @@ pack with the most room (Krell et al. 2021), many equal pieces at a time: packs
 a count. A new pack is opened while fewer are open than all tokens need; after that a length that fits nowhere is cut at
 the room of the shortest pack and its tail goes back into the histogram, so that less than one sequence of padding is
 left. The result is a table of placements whose size depends on the sequence length alone. Pieces are ranked within
-their length by sums over salts, so that no length is sorted in one task, and look their placement up by rank.
+their length by sums over salts, so that no length is sorted in one task, and look their placement up by rank. Every
+piece carries its ids; a sequence is its pieces' ids in the order of their offsets.
 
 Null text is empty text: one piece that holds the end. Ids may be null or repeat; each row is packed.
 """
@@ -17,11 +18,11 @@ import json
 import os
 import re
 import sys
-import zlib
 from array import array
 from bisect import bisect_right
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,7 +186,9 @@ def locate(placements, firsts, length: int, rank: int):
 
 
 def _pieces(docs: DataFrame, tokenizer: str, most: int, end: int) -> DataFrame:
-    """doc_id, key, doc_tokens, start, length, crc: whole sequences off each document's front, then its rest."""
+    """doc_id, key, doc_tokens, start, length, ids: whole sequences off each document's front, then its rest.
+
+    The ids of a document that has none beyond 16 bits are 16-bit numbers, which _wide() undoes."""
     tail = id_bytes([end])
 
     def run(batches):
@@ -193,15 +196,21 @@ def _pieces(docs: DataFrame, tokenizer: str, most: int, end: int) -> DataFrame:
             ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
             rows = []
             for doc, key, raw in zip(ids, keys, encode(tokenizer, texts)):
-                view = memoryview(raw + tail)
-                n = len(view) // 4
-                rows += [(doc, key, n, s, min(most, n - s), zlib.crc32(view[4 * s : 4 * (s + most)])) for s in range(0, n, most)]
+                own = np.frombuffer(raw + tail, "<u4")
+                n = len(own)
+                own = own.astype("<u2") if own.max() < 1 << 16 else own
+                rows += [(doc, key, n, s, min(most, n - s), own[s : s + most].tobytes()) for s in range(0, n, most)]
             long = pa.int64()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (long, pa.binary(), long, long, long, long))], names=["doc_id", "key", "doc_tokens", "start", "length", "crc"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (long, pa.binary(), long, long, long, pa.binary()))], names=["doc_id", "key", "doc_tokens", "start", "length", "ids"])
 
     docs = docs.select(F.col("doc_id").cast("long"), common.text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    return docs.mapInArrow(run, "doc_id long, key binary, doc_tokens long, start long, length long, crc long")
+    return docs.mapInArrow(run, "doc_id long, key binary, doc_tokens long, start long, length long, ids binary")
+
+
+def _wide(ids: bytes, length: int) -> bytes:
+    """The ids of a piece of the length as 32-bit numbers."""
+    return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(ids) == 2 * length else ids
 
 
 def _ranked(pieces: DataFrame) -> DataFrame:
@@ -213,11 +222,13 @@ def _ranked(pieces: DataFrame) -> DataFrame:
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "key", "start")
     ranked = pieces.withColumn("r", F.row_number().over(order) - 1)
     at = (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))
-    return ranked.join(sums, at).select("doc_id", "key", "doc_tokens", "start", "length", "crc", (F.col("r") + F.col("before")).alias("rank"))
+    return ranked.join(sums, at).select("doc_id", "doc_tokens", "start", "length", "ids", (F.col("r") + F.col("before")).alias("rank"))
 
 
 def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end: int = 1) -> DataFrame:
-    """docs(doc_id, text) as pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """docs(doc_id, text) as pieces: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ids are little-endian 32-bit numbers. A piece that is cut has a row for each part, with the part's ids."""
     spark = common.spark_of(docs)
     common.prepare(spark)
     pieces = common.stored(_pieces(docs, tokenizer, most, end), "pieces")
@@ -227,41 +238,20 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end: int = 1) -> Dat
 
     def run(batches):
         where, firsts = table.value
-        names = ["doc_id", "key", "doc_tokens", "start", "length", "sequence_id", "offset", "crc"]
+        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
             rows = []
-            for doc, key, n, start, length, crc, rank in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for doc, n, start, length, ids, rank in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                ids = _wide(ids, length)
                 for s, part, sequence, offset in locate(where, firsts, length, rank):
-                    rows.append((doc, key, n, start + s, part, sequence, offset, crc if part == length else None))
+                    rows.append((doc, start + s, part, ids[4 * s : 4 * (s + part)], n, sequence, offset))
             long = pa.int64()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (long, pa.binary(), *(long,) * 6))], names=names)
-
-    schema = "doc_id long, key binary, doc_tokens long, start long, length long, sequence_id long, offset long, crc long"
-    placed = common.stored(_ranked(pieces).mapInArrow(run, schema), "placed")
-    # pieces that were cut need their ids once more
-    cut = placed.where("crc IS NULL")
-    wanted = common.key_filter(cut)
-    spots = cut.groupBy("key").agg(F.collect_set(F.struct("start", "length")).alias("spots"))
-    tail = id_bytes([end])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (*(long,) * 3, pa.binary(), *(long,) * 3))], names=names)
 
-    def again(batches):
-        for batch in batches:
-            rows = []
-            keys, texts, spots = (batch.column(i).to_pylist() for i in range(3))
-            for key, raw, own in zip(keys, encode(tokenizer, texts), spots):
-                view = memoryview(raw + tail)
-                rows += [(key, s["start"], s["length"], zlib.crc32(view[4 * s["start"] : 4 * (s["start"] + s["length"])])) for s in own]
-            long = pa.int64()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.binary(), long, long, long))], names=["key", "start", "length", "crc"])
-
-    texts = docs.select(common.text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = common.keep_filtered(texts, wanted).groupBy("key").agg(F.first("text").alias("text"))
-    sums = texts.join(spots, "key").select("key", "text", "spots").mapInArrow(again, "key binary, start long, length long, crc long")
-    cut = cut.drop("crc").join(sums, ["key", "start", "length"])
-    names = ["doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
-    return placed.where("crc IS NOT NULL").select(*names).unionByName(cut.select(*names))
+    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    placed = _ranked(pieces).mapInArrow(run, schema)
+    return placed.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def filled(pieces: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

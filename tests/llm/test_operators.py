@@ -352,6 +352,35 @@ def test_packing(spark, docs):
     assert packing.pack(docs.where("false"), path).count() == 0
 
 
+def test_packed_sequences_can_be_read(spark, docs):
+    """From the pieces alone: every sequence, and every document, token by token."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from planeprint.llm import queries
+
+    path = public.path(queries.TOKENIZER)
+    tokenizer = Tokenizer.from_file(path)
+    source = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    rows = packing.pack(source, path, 64).collect()
+    want = {r.doc_id: [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1] for r in source.collect()}
+    documents, sequences = collections.defaultdict(dict), collections.defaultdict(list)
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.length and zlib.crc32(r.ids) == r.ids_crc32
+        documents[r.doc_id][r.start] = ids
+        sequences[r.sequence_id].append((r.offset, ids, r.doc_id, r.start))
+    assert {i: [x for s in sorted(parts) for x in parts[s]] for i, parts in documents.items()} == want
+    assert any(r.start % 64 for r in rows)  # some piece was cut
+    for parts in sequences.values():
+        own = []
+        for at, ids, doc, start in sorted(parts):
+            assert at == len(own) and ids == want[doc][start : start + len(ids)]
+            own += ids
+        assert len(own) <= 64
+    assert "ids" in packing.pack(docs.where("false"), path).columns
+
+
 def test_quality(spark, docs):
     rows = docs.select("doc_id", "text", "source").collect()
     got = quality.judge(docs)
