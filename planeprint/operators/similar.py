@@ -9,6 +9,8 @@ from ..functions import native, numeric
 
 #: Beyond this threshold the chunks of the exact join are too short to tell hashes apart; blocks are compared instead.
 CHUNKED = 24
+#: The original's least number of pairs that it enumerates of a bucket.
+LEAST_CAP = 10_000
 
 
 def _near(a: str, b: str, threshold: int):
@@ -92,9 +94,13 @@ def lsh_pairs(hashes: DataFrame, threshold: int, tables: int = 32, bits: int = 8
     return near.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), dist.alias("dist")).distinct()
 
 
-def lsh_reference_pairs(hashes: DataFrame, threshold: int, tables: int = 32, bits: int = 8, cap: int = 10_000) -> DataFrame:
+def lsh_reference_pairs(hashes: DataFrame, threshold: int, tables: int = 32, bits: int = 8, cap: int | None = None) -> DataFrame:
     """The pairs that the original's enumeration reaches: of a bucket of s, index p = 0, step, 2 step ... below s(s-1)/2, with
-    step the number of indexes by cap, is the pair of ranks (i, p - i(i+1)/2 + i + 1), i being the root of p."""
+    step the number of indexes by cap, is the pair of ranks (i, p - i(i+1)/2 + i + 1), i being the root of p.
+
+    cap, unless given, is the original's: a tenth of the number of hashes, LEAST_CAP at least."""
+    if cap is None:
+        cap = max(LEAST_CAP, hashes.count() // 10)
     ranked = lsh_buckets(lsh_keys(hashes, tables, bits))
     pairs = F.col("size") * (F.col("size") - 1) / 2
     sizes = ranked.where("size > 1").select("tbl", "key", "size").distinct().withColumn("total", pairs.cast("long"))

@@ -1,6 +1,7 @@
 """Numeric and column functions, options, pairs, cover, files."""
 
 import itertools
+import math
 import os
 import random
 
@@ -160,6 +161,20 @@ def test_greedy_order():
     assert cover.greedy([(0, 1), (1, 2), (2, 3)]) == [2, 1]
 
 
+def test_reference_cap_grows_with_the_hashes(spark):
+    """200 000 hashes, 300 of them equal: their bucket has 44850 pairs, of which the original enumerates 20000."""
+    w0 = F.when(F.col("id") < 300, F.lit(0)).otherwise(F.xxhash64("id"))
+    df = spark.range(200_000).select("id", w0.cast("long").alias("w0"), F.lit(0).cast("long").alias("w1"))
+    got = {(r.i, r.j) for r in similar.find_pairs(df, 1, "lsh_reference", tables=1, bits_per_table=60).collect()}
+    want = set()
+    for p in range(0, 20_000 * (44850 // 20_000), 44850 // 20_000):
+        i = (math.isqrt(8 * p + 1) - 1) // 2
+        j = p - i * (i + 1) // 2 + i + 1
+        if j < 300:
+            want.add((i, j))
+    assert got == want
+
+
 def test_components_and_nearest(spark):
     e = spark.createDataFrame([(0, 1, 3), (1, 2, 1), (5, 6, 2), (4, 6, 2)], "i long, j long, dist int")
     assert {tuple(r) for r in cover.components(e).collect()} == {(0, 0), (1, 0), (2, 0), (4, 4), (5, 4), (6, 4)}
