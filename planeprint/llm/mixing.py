@@ -80,8 +80,11 @@ def budgets(leaves: DataFrame, total: float) -> DataFrame:
 def select_mix(docs: DataFrame, share: float = 0.5, weights=WEIGHTS, max_epochs: int = 2, seed: int = 7) -> DataFrame:
     """doc_id, epoch, domain, lang, source, n_tokens, take_tokens: a row for each time a document is taken.
 
-    The budget is the given share of all tokens of docs(doc_id, text, lang, source)."""
+    The budget is the given share of all tokens of docs(doc_id, text, lang, source). A column row of docs goes through; it
+    orders rows that the shuffle and their tokens leave equal."""
+    own = ["row"] if "row" in docs.columns else []
     rows = docs.select(
+        *own,
         F.col("doc_id").cast("long"),
         domain_of(F.col("source")).alias("domain"),
         "lang",
@@ -99,7 +102,7 @@ def select_mix(docs: DataFrame, share: float = 0.5, weights=WEIGHTS, max_epochs:
     for level in LEVELS:
         same = same & F.col(level).eqNullSafe(F.col(f"__{level}"))
     taken = rows.where("n_tokens > 0").join(plan.where("__budget > 0"), same)
-    names = ["doc_id", "epoch", *LEVELS, "n_tokens", "take_tokens"]
+    names = ["doc_id", "epoch", *LEVELS, "n_tokens", "take_tokens", *own]
     whole = taken.where("__whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__whole") - 1)))
     whole = whole.withColumn("take_tokens", F.col("n_tokens")).select(*names)
     part = taken.where("__rest > 0").withColumn("epoch", F.col("__whole"))
@@ -111,15 +114,20 @@ def select_mix(docs: DataFrame, share: float = 0.5, weights=WEIGHTS, max_epochs:
     at = F.col("__range") == F.col("r_range")
     for level in LEVELS:
         at = at & F.col(level).eqNullSafe(F.col(f"r_{level}"))
-    order = Window.partitionBy(*LEVELS, "__range").orderBy("__h", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*LEVELS, "__range").orderBy("__h", "n_tokens", *own).rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("__own", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).join(ranges, at)
     part = part.withColumn("take_tokens", F.least(F.col("n_tokens"), F.col("__rest") - F.col("before") - F.col("__own"))).where("take_tokens > 0")
     return whole.unionByName(part.select(*names))
 
 
 def mixed(docs: DataFrame, share: float, weights=WEIGHTS, seed: int = 7) -> DataFrame:
-    """The rows of docs whose id is taken, wholly or in part, within one epoch; whole texts, columns as before.
-
-    Rows that repeat a taken id stay with it, rows without an id are taken as one."""
-    ids = select_mix(docs, share, weights, 1, seed).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs.doc_id.cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of docs that are taken, wholly or in part, within one epoch; whole texts, columns as before.
+
+    Rows are told apart by id, text, language and source; of rows that repeat all of these as many stay as are taken."""
+    number = F.col("doc_id").cast("long").alias("doc_id")
+    row = common.text_key(F.to_json(F.struct(number, "lang", "source", F.hex(common.text_key(F.col("text"))).alias("text"))))
+    taken = select_mix(docs.select("doc_id", "text", "lang", "source", row.alias("row")), share, weights, 1, seed)
+    taken = taken.groupBy(F.col("row").alias("__row")).agg(F.count(F.lit(1)).alias("__n"))
+    order = Window.partitionBy("__row").orderBy(*([c for c in docs.columns if c not in ("doc_id", "text", "lang", "source")] or ["__row"]))
+    rows = docs.withColumn("__row", row).withColumn("__k", F.row_number().over(order))
+    return rows.join(taken, "__row").where("__k <= __n").select(*docs.columns)

@@ -413,6 +413,20 @@ def test_mixing(spark):
     assert mixing.mixed(df, 0.5).columns == df.columns and mixing.select_mix(df.where("false")).count() == 0
 
 
+def test_mixed_keeps_the_rows_that_are_taken(spark):
+    """With ids null or repeated: the kept rows are those taken, in number and in tokens of each leaf."""
+    rows = [(None, f"n{i} " * (i % 5 + 1), "en", f"src{i % 3}") for i in range(60)] + [(7, f"r{i} " * 4, ("en", "de", None)[i % 3], "src1") for i in range(40)]
+    rows += [(8, "same text", "en", "src2")] * 20 + [(i, "a b c", "fr", None) for i in range(100, 120)] + [(None, None, "en", "src0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    leaf = lambda r: str((r.doc_id, r.lang, r.source))
+    for share in (0.3, 0.5, 1.0):
+        taken = mixing.select_mix(df, share, max_epochs=1).collect()
+        want = sorted((leaf(r), r.n_tokens) for r in taken)
+        kept = mixing.mixed(df, share).collect()
+        assert sorted((leaf(r), len(r.text.split())) for r in kept) == want
+        assert not collections.Counter(map(tuple, kept)) - collections.Counter(rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
