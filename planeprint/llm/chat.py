@@ -122,7 +122,7 @@ def format_messages(messages: DataFrame) -> DataFrame:
             arrays = [ids, turns, roles, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array(loss, pa.int64()), pa.array([m[3] for m in made], kind), pa.array([m[4] for m in made], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "turn", "role", "segment", "loss_start", "loss_chars", "attachments", "expanded_tokens"])
 
-    return messages.select("conv_id", "turn", "role", "content").mapInArrow(run, SEGMENT)
+    return messages.select("conv_id", "turn", "role", "content").mapInArrow(common.lean(run), SEGMENT)
 
 
 def text_messages(rows: DataFrame) -> DataFrame:
@@ -172,4 +172,4 @@ def digest(segments: DataFrame) -> DataFrame:
 
     ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment")
     ordered = ordered.select("conv_id", "segment", "loss_start", "loss_chars", "expanded_tokens")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, expanded_tokens long")
+    return ordered.mapInArrow(common.lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, expanded_tokens long")

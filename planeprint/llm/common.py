@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
+import inspect
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows handed to Python at once. Texts are a few KB on average, so a batch is a few MB.
-ARROW_ROWS = 1000
+#: Rows and bytes handed to Python at once. Texts are a few KB on average, so a batch is a few MB.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 #: Edges that one union-find task may hold; beyond that the star rounds take over.
 UNION_FIND_EDGES = 500_000
 #: Bits of a key filter (1 MB), whatever the number of keys.
 FILTER_BITS = 1 << 23
 
-_scratch: list[str] = []
+#: The scratch tables of whoever called owned(), if anyone did.
+_owner: ContextVar[Scratch | None] = ContextVar("owner", default=None)
 
 
 def spark_of(df: DataFrame) -> SparkSession:
@@ -27,39 +34,106 @@ def spark_of(df: DataFrame) -> SparkSession:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, as whole documents travel in them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds the rows and bytes of an Arrow batch, as whole documents travel in them, unless they are set already.
+
+    Results are computed after an operator returns, so the bounds stay for as long as the session."""
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) in ("10000", "67108864b"):  # Spark's defaults
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where it is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Only a session of one machine may leave it unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="planeprint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+# --- scratch tables -------------------------------------------------------------------------------------
+
+
+class Scratch:
+    """Scratch tables of one owner, which says when nothing needs them any more."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def drop(self) -> None:
+        while self.paths:
+            delete(*self.paths.pop())
+
+
+@contextmanager
+def owned(scratch: Scratch) -> Iterator[Scratch]:
+    """Tables stored meanwhile belong to scratch. Others stay in the shared folder for as long as results may need them."""
+    token = _owner.set(scratch)
+    try:
+        yield scratch
+    finally:
+        _owner.reset(token)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path_ = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path_.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path_, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: cuts lineage, survives lost executors."""
     spark = spark_of(df)
     path = f"{shared_folder(spark)}/planeprint-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _scratch.append(path)
+    if (owner := _owner.get()) is not None:
+        owner.paths.append((spark, path))
     # shuffle files of finished jobs go when the driver's references to them are collected; a long chain of jobs
     # would otherwise keep all of them on the executors' disks
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that stored() returned and that no result which is still to be computed reads."""
+    for t in tables:
+        delete(spark_of(t), t._stored_at)
+
+
+# --- memory of Python workers ---------------------------------------------------------------------------
+
+
+def give_back() -> None:
+    """Memory that this process no longer uses goes back to the machine: workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def lean(run):
+    """run, the function of a mapInArrow or applyInArrow, which gives memory back whenever it ends."""
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def out(batches):
+            yield from run(batches)
+            give_back()
+    else:
 
+        @functools.wraps(run)
+        def out(t: pa.Table) -> pa.Table:
+            made = run(t)
+            give_back()
+            return made
 
-def drop_stored(spark: SparkSession) -> None:
-    """Deletes every scratch table made so far. Only for callers whose earlier results are written."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(conf).delete(path, True)
+    return out
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -115,7 +189,7 @@ def keep_numbers(df: DataFrame, numbers, column: str) -> DataFrame:
             slot = np.mod(batch.column(at).to_numpy(), len(bitset) * 64)
             yield batch.filter(pa.array((bitset[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def in_filter(bitset: np.ndarray, key: bytes) -> bool:
@@ -132,7 +206,7 @@ def keep_filtered(df: DataFrame, keys, column: str = "key") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([k is not None and in_filter(bitset, k) for k in batch.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 # --- connected components -------------------------------------------------------------------------------
@@ -198,9 +272,9 @@ def components(edges: DataFrame, most: int = UNION_FIND_EDGES) -> DataFrame:
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     names = ["node", "component"]
     edges = edges.toDF("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    stars = stored(edges.mapInArrow(_forest, schema), "forest")
+    stars = stored(edges.mapInArrow(lean(_forest), schema), "forest")
     if (n := stars.count()) <= most:
-        return stars.repartition(1).mapInArrow(_forest, schema).toDF(*names) if n else stars.toDF(*names)
+        return stars.repartition(1).mapInArrow(lean(_forest), schema).toDF(*names) if n else stars.toDF(*names)
     while True:
         # large star: the greater neighbours of a node go to the smallest of its neighbourhood
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -58,7 +58,7 @@ def _vertices(rows: DataFrame) -> DataFrame:
                 keys.append(None if v is None else hashlib.blake2b(v.tobytes() + b"%d" % label, digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary())], names=["vec_id", "label", "dim", "key", "vector"])
 
-    return rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(run, _ROWS)
+    return rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(common.lean(run), _ROWS)
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -341,13 +341,13 @@ def near_duplicates(rows: DataFrame, least: float = 0.98) -> DataFrame:
     distinct = valid.groupBy("label", "dim", "key").agg(F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
     families = distinct.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
     dealt = distinct.join(families, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
-    index = common.stored(dealt.drop("shards").groupBy("label", "dim", "shard").applyInArrow(_index, _SHARD), "index")
+    index = common.stored(dealt.drop("shards").groupBy("label", "dim", "shard").applyInArrow(common.lean(_index), _SHARD), "index")
     queries = index.select("label", "dim", *(F.col(c).alias(f"q_{c}") for c in ("shard", "keys", "counts", "vectors")))
     pairs = queries.join(index, ["label", "dim"]).where("q_shard <= shard")
     # few bytes but much work: as many partitions as pairs of shards
     parts = families.agg(F.sum(F.expr("bigint(shards) * (shards + 1) div 2"))).first()[0] or 1
     pairs = pairs.repartition(max(1, min(parts, MOST_PARTS)), "label", "dim", "q_shard", "shard")
-    found = common.stored(pairs.groupBy("label", "dim", "q_shard", "shard").applyInArrow(_query(least), _LINKS), "links")
+    found = common.stored(pairs.groupBy("label", "dim", "q_shard", "shard").applyInArrow(common.lean(_query(least)), _LINKS), "links")
     parts = common.components(found.select("key", "root"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     copies = distinct.select("key", "copies")

@@ -1,33 +1,36 @@
-"""LM scoring: a Katz backoff bigram model with Good-Turing discounts and exactly normalised backoff weights.
-
-Tokens are a text's words in lower case and one end; the first token's history is the start of the text. With c(w) the
-counts of N training tokens and r = c(h, w):
-
-    P(w)     = d1(c(w)) c(w) / N  for words of the training texts; what the discounts leave is the unknown word's
-    P(w | h) = d2(r) r / c(h)     if r > 0, else  a(h) P(w), with  a(h) = what is left of h / (1 - sum of P(w) for r > 0)
-
-d(r) is Good-Turing's for r <= 5 and 1 above; a history without counts of 5 or less is given one more count, which it
-leaves to others, and so is a frequent history (a thousandth of all tokens or more). An unseen history backs off with
-weight 1. Each distribution sums to 1 over the known words, the end and the unknown word.
-
-Nothing of the corpus' size is in one place. Texts become blocks: distinct words, and tokens as numbers of these. Then
-
-1. the blocks' words are dealt out by hash, counted, and each block gets the counts of its words;
-2. the blocks' word pairs, with the documents that hold them, are dealt out by history (frequent ones by pair). A bucket
-   counts its pairs, adds up the logarithms of seen pairs by document, and keeps for unseen pairs what their
-   history's weight depends on;
-3. once all buckets have counted how many pairs occur once, twice, ..., the discounts are known and the documents' parts
-   are completed and summed up by block.
-
-Tables are stored by block or bucket as compressed arrays. Only counts of counts, and sums of the at most 1000
-frequent histories, go to the driver. Null text is empty text: one token. A document is held out if crc32(doc_id as
-text) mod 10 is 0; so is one without an id. Rows that repeat an id are scored one by one.
+"""LM scoring: a Katz backoff model with Good-Turing discounts and exactly normalised backoff weights.
+
+Tokens are a text's words in lower case and one end; before the first stand starts. With c the counts of the training
+tokens, N their number, h a history of words and h' the same without its first word:
+
+    P(w)     = d(c(w)) c(w) / N  for words of the training texts; what the discounts leave is the unknown word's
+    P(w | h) = d(r) r / C(h)     if r = c(h, w) > 0, else  a(h) P(w | h')
+    a(h)     = what is left of h / (1 - sum of P(w | h') over the words seen after h);  1 if h was never seen
+
+d(r) is Good-Turing's for r <= 5, of each order's own counts of counts, and 1 above. C(h) is c(h), or c(h) + 1 if all
+counts after h are above 5, as nothing would be left otherwise. Each distribution sums to 1 over the known words, the
+end and the unknown word. Orders up to ORDER are counted one after the other, and a token is evaluated from the
+unigrams up.
+
+Nothing of the corpus' size is in one place. Texts become blocks of about a million tokens:
+
+1. The blocks' words are dealt out by hash, counted and numbered, frequent words low; each block gets its words' counts
+   and numbers. Numbers are exact: from here on no words are told apart by hashes.
+2. For each order, a block's different n-grams go as numbers, with their training counts, to the bucket of their
+   history. A bucket sums them up. It returns to each block the counts of its n-grams and, of histories that must back
+   off there, what their weight depends on. These tables (order, bucket, block) are stored; the next order reads them,
+   as an n-gram's history is an n-gram of the order before.
+3. With all discounts known, each block evaluates its tokens and sums up its documents.
+
+A history with a thousandth of all tokens or more is dealt out by n-gram, and its sums over the buckets go through the
+driver: at most 1000 histories an order. Besides, only counts of counts go there. Null text is empty text: one token. A
+document is held out if crc32(doc_id as text) mod 10 is 0; so is one without an id. Rows that repeat an id are scored
+one by one. Words are hashed to 64 bits before they are numbered: two of n different words fall together with odds of
+n * n / 2^65, which is 3e-8 for a million.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,13 +38,15 @@ from pyspark.sql import functions as F
 
 from . import common, vectext
 
+#: Order of the model in production.
+ORDER = 3
 #: Counts up to this are discounted.
 DISCOUNTED = 5
-#: Tokens of a block and of a bucket of pairs, words of a bucket of words.
-BLOCK_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 5_000_000, 4_000_000, 1_000_000
-#: A history with 1 / FREQUENT of all tokens is dealt out by pair.
+#: Tokens of a block, n-grams of a bucket, words of a bucket of words.
+BLOCK_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 1_000_000, 1_000_000, 1_000_000
+#: A history with 1 / FREQUENT of all tokens is dealt out by n-gram. This changes no result.
 FREQUENT = 1000
-END, START = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
+END = np.uint64(0x5BD1E9955BD1E995)
 
 
 # --- arrays in binary columns ---------------------------------------------------------------------------
@@ -78,6 +83,18 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(fields)], names=[x for x, _ in fields])
+
+
+def _groups(of: np.ndarray) -> list[np.ndarray]:
+    """The places of equal numbers, in the order of these and of the places."""
+    order = np.argsort(of, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(of) else []
+
+
 # --- the model ------------------------------------------------------------------------------------------
 
 
@@ -96,6 +113,10 @@ def discounts(counts_of_counts) -> np.ndarray:
     return out
 
 
+def discounted(r: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(r <= DISCOUNTED, d[np.minimum(r, DISCOUNTED)], 1.0) * r
+
+
 class Unigrams:
     """P(w) by the count of w; 0 stands for the unknown word."""
 
@@ -108,17 +129,11 @@ class Unigrams:
         self.unknown = left / tokens if left > 0 else 1 / self.all
 
     def __call__(self, c: np.ndarray) -> np.ndarray:
-        p = np.where(c <= DISCOUNTED, self.d[np.minimum(c, DISCOUNTED)], 1.0) * c / self.all
-        return np.where(c > 0, p, self.unknown)
-
-
-def denominator(c: np.ndarray, low: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """What a history's counts are divided by. low: whether it has counts that are discounted."""
-    return c + (often | ~low)
+        return np.where(c > 0, discounted(c, self.d) / self.all, self.unknown)
 
 
 def backoff(c, den, m, known, d) -> np.ndarray:
-    """a(h). m: by history and r from 1 the pairs that occur r times; known: sum of P(w) over the history's pairs."""
+    """a(h). m: by history and r from 1 the n-grams that occur r times; known: sum of the lower order's P over h's words."""
     left = den - c + (m * ((1 - d[1:]) * np.arange(1, DISCOUNTED + 1))).sum(axis=1)
     return np.where(c > 0, left / np.maximum(den, 1) / np.maximum(1 - known, 1e-15), 1.0)
 
@@ -134,7 +149,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _blocks(docs: DataFrame) -> DataFrame:
     """Blocks of documents. docs: ids (0 and a mark where null), held out, tokens of each; vocabulary: distinct words,
-    frequent first, and their training counts; tokens: their numbers."""
+    frequent first, and their training counts; tokens: their places in it."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -152,40 +167,32 @@ def _blocks(docs: DataFrame) -> DataFrame:
             rank[order] = np.arange(len(order))
             number = rank[number]
             train = np.bincount(number, np.repeat(~out, lengths), len(words)).astype(np.int64)
-            row = [f"{task}-{made}", packed(np.concatenate(ids), np.concatenate(nulls), out, lengths), packed(words[order], train), packed(number), len(tokens), len(words)]
-            types = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=[x.split()[0] for x in _BLOCK.split(", ")])
+            row = (f"{task}-{made}", packed(np.concatenate(ids), np.concatenate(nulls), out, lengths), packed(words[order], train), packed(number), len(tokens), len(words))
+            return _table([row], _BLOCK).to_batches()[0]
 
         for batch in batches:
             offsets, data = vectext.buffers(batch.column(1))
-            own = batch.column(0)
-            nulls.append(own.is_null().to_numpy(zero_copy_only=False))
-            ids.append(own.fill_null(0).to_numpy(zero_copy_only=False))
-            held.append(batch.column(2).to_numpy(zero_copy_only=False))
+            own, null, out = (batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_null().to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False))
             for first, last in vectext.slices(offsets):
                 w, begin = vectext.words(offsets[first : last + 1] - offsets[first], data[offsets[first] : offsets[last]])
                 hashes.append(np.insert(w, begin[1:], END))
                 sizes.append(np.diff(begin) + 1)
+                for held_, values in ((ids, own), (nulls, null), (held, out)):
+                    held_.append(values[first:last])
                 n += len(hashes[-1])
-            if n >= BLOCK_TOKENS:
-                yield block()
-                made += 1
-                ids, nulls, held, sizes, hashes, n = [], [], [], [], [], 0
+                if n >= BLOCK_TOKENS:
+                    yield block()
+                    made += 1
+                    ids, nulls, held, sizes, hashes, n = [], [], [], [], [], 0
         if n:
             yield block()
 
-    return docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id")).alias("held")).mapInArrow(run, _BLOCK)
+    return docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id")).alias("held")).mapInArrow(common.lean(run), _BLOCK)
 
 
-def _table(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}
-    fields = [x.split() for x in schema.split(", ")]
-    return pa.table([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(fields)], names=[x for x, _ in fields])
-
+# --- 1: words -------------------------------------------------------------------------------------------
 
-# --- 1: counts of words ---------------------------------------------------------------------------------
-
-_COUNTS = "block string, bucket int, counts binary"
+_ANSWERS = "block string, level int, bucket int, answer binary"
 
 
 def _word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -193,142 +200,213 @@ def _word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
-    """For each block and bucket the counts of the block's words there, in their order; under a null block, of each
-    bucket the tokens, the words and how many of these occur 1, 2, ... times."""
+    """For each block and bucket the counts and numbers (from 1) of the block's words there, in their order; under a null
+    block, of each bucket the tokens, the words and how many of these occur 1, 2, ... times."""
     ask = "block string, bucket int, words binary"
 
     def deal(t: pa.Table) -> pa.Table:
         block = t["block"][0].as_py()
         words, train = unpacked(t["vocabulary"][0].as_py())
         to = _word_bucket(words, buckets)
-        order = np.argsort(to, kind="stable")
-        return _table([(block, int(to[p[0]]), packed(words[p], train[p])) for p in np.split(order, np.flatnonzero(np.diff(to[order])) + 1)], ask)
+        return _table([(block, int(to[p[0]]), packed(words[p], train[p])) for p in _groups(to)], ask)
 
     def count(t: pa.Table) -> pa.Table:
-        parts = [unpacked(x) for x in t["words"].to_pylist()]
+        parts, bucket = [unpacked(x) for x in t["words"].to_pylist()], t["bucket"][0].as_py()
         words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         c = np.bincount(at, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
+        number = np.empty(len(words), np.int64)
+        number[np.argsort(-c, kind="stable")] = 1 + bucket + buckets * np.arange(len(words), dtype=np.int64)
         ends = np.cumsum([len(p[0]) for p in parts])
-        rows = [(b, None, packed(c[at[e - len(p[0]) : e]])) for b, p, e in zip(t["block"].to_pylist(), parts, ends)]
-        rows = [(b, t["bucket"][0].as_py(), x) for b, _, x in rows]
+        rows = [(b, 1, bucket, packed(c[at[e - len(p[0]) : e]], number[at[e - len(p[0]) : e]])) for b, p, e in zip(t["block"].to_pylist(), parts, ends)]
         stats = [c.sum(), (c > 0).sum(), *(int((c == r).sum()) for r in range(1, DISCOUNTED + 2))]
-        return _table([*rows, (None, t["bucket"][0].as_py(), packed(np.array(stats, np.int64)))], _COUNTS)
-
-    return blocks.select("block", "vocabulary").groupBy("block").applyInArrow(deal, ask).groupBy("bucket").applyInArrow(count, _COUNTS)
-
+        return _table([*rows, (None, 1, bucket, packed(np.array(stats, np.int64)))], _ANSWERS)
 
-# --- 2: pairs -------------------------------------------------------------------------------------------
+    asked = blocks.select("block", "vocabulary").groupBy("block").applyInArrow(common.lean(deal), ask)
+    return asked.groupBy("bucket").applyInArrow(common.lean(count), _ANSWERS)
 
-_PAIRS = "bucket int, block string, docs binary, pairs binary"
 
+_NUMBERED = "block string, docs binary, words binary, tokens binary"
 
-def _split(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """48 bits of the words' hashes, which tell a history's words apart, as two arrays."""
-    return (words >> np.uint64(16)).astype(np.uint32), (words >> np.uint64(48)).astype(np.uint16)
 
-
-def _pairs(buckets: int, word_buckets: int, total: int, types: int):
-    """Of a block, its pairs by bucket; with bucket -1 - its number, what is known of its documents."""
+def _numbered(buckets: int, total: int, types: int):
+    """A block with its words' numbers and counts, and with each document's known tokens and base score."""
 
     def run(t: pa.Table) -> pa.Table:
-        block = t["block"][0].as_py()
         ids, nulls, out, lengths = unpacked(t["docs"][0].as_py())
         words, _ = unpacked(t["vocabulary"][0].as_py())
-        number = unpacked(t["tokens"][0].as_py())[0].astype(np.int32)
-        c = np.zeros(len(words), np.int64)
-        to = _word_bucket(words, word_buckets)
+        tokens = unpacked(t["tokens"][0].as_py())[0]
+        c, number = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        to = _word_bucket(words, buckets)
         for x in t["answers"][0].as_py():
-            c[to == x["bucket"]] = unpacked(x["counts"])[0]
+            c[to == x["bucket"]], number[to == x["bucket"]] = unpacked(x["answer"])
         first = np.cumsum(lengths) - lengths
-        base = np.add.reduceat(np.log10((c + 0.1) / (total + 0.1 * (types + 1)))[number], first)
-        to = None
-        known = np.add.reduceat((c > 0)[number].astype(np.int64), first)
-        rows: list[tuple] = [(zlib.crc32(block.encode()) % buckets, block, packed(ids, nulls.astype(np.int64), out.astype(np.int64), lengths, known, base), None)]
-        # histories: the start is a word of its own, with the count of ends
-        end = int(np.flatnonzero(words == END)[0])
-        words, c = np.append(words, START), np.append(c, c[end])
-        history = np.empty_like(number)
-        history[1:] = number[:-1]
-        history[first] = len(words) - 1
-        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        train = np.repeat(~out.astype(bool), lengths)
-        key = history.astype(np.int64) * len(words) + number
-        del history, number
-        order = np.argsort(key, kind="stable").astype(np.int32)  # documents ascend within a pair
-        key, doc, train = key[order], doc[order], train[order]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        times = np.diff(np.append(starts, len(key)))
-        h, w = key[starts] // len(words), key[starts] % len(words)
-        seen = np.add.reduceat(train.astype(np.int64), starts)
-        often = c[h] * FREQUENT >= total
-        mixed = vectext.mix(words[h] + np.where(often, words[w], np.uint64(0)))
-        to = (mixed % np.uint64(buckets)).astype(np.int64)
-        own = np.argsort(to, kind="stable")
-        for part in np.split(own, np.flatnonzero(np.diff(to[own])) + 1):
-            hs, at, sizes = np.unique(h[part], return_index=True, return_counts=True)  # histories ascend already
-            ws, wn = np.unique(w[part], return_inverse=True)
-            n = times[part]
-            places = np.repeat(starts[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            rows.append((int(to[part[0]]), block, None, packed(words[hs], c[hs], sizes, *_split(words[ws]), c[ws], wn, seen[part], n, doc[places])))
-        return _table(rows, _PAIRS)
+        base = np.add.reduceat(np.log10((c + 0.1) / (total + 0.1 * (types + 1)))[tokens], first)
+        known = np.add.reduceat((c > 0)[tokens].astype(np.int64), first)
+        end = np.flatnonzero(words == END)
+        docs = packed(ids, nulls.astype(np.int64), out.astype(np.int64), lengths, known, base)
+        return _table([(t["block"][0].as_py(), docs, packed(number, c, c[end]), t["tokens"][0].as_py())], _NUMBERED)
 
     return run
 
 
-_PARTS = "block string, docs binary, parts binary, stats binary"
+# --- 2: n-grams -----------------------------------------------------------------------------------------
+
+
+class Level:
+    """A block's different n-grams of one order, and what is known of them.
+
+    gram: of each token the place of the n-gram that ends there; history: of each token the place of its history among
+    the n-grams of the order below, the last place being the starts before a document. h, w: those of each n-gram;
+    numbers: columns of its words' numbers. r: its training count, once known; den: C of each history, once known."""
+
+    def __init__(self, below: Level | None, tokens: np.ndarray, numbers: np.ndarray, starts: np.ndarray):
+        if below is None:
+            self.gram, self.numbers, self.n = tokens, [numbers], len(numbers)
+            return
+        self.history = np.empty(len(tokens), np.int64)
+        self.history[1:] = below.gram[:-1]
+        self.history[starts] = below.n
+        key = self.history * len(numbers) + tokens
+        key, self.at, self.gram = np.unique(key, return_index=True, return_inverse=True)
+        self.n = len(key)
+        self.h, self.w = key // len(numbers), key % len(numbers)
+        self.histories = [np.append(x, 0) for x in below.numbers]  # by place; the starts have the number 0
+        self.numbers = [*(x[self.h] for x in self.histories), numbers[self.w]]
+
+    def buckets(self, c: np.ndarray, often: int, buckets: int) -> list[np.ndarray]:
+        """The n-grams' places by bucket, in its order. c: the counts of histories by place; often: that of frequent ones."""
+        x = np.zeros(self.n, np.uint64)
+        for column in self.numbers[:-1]:
+            x = vectext.mix(x ^ column.astype(np.uint64))
+        x = np.where(c[self.h] >= often, vectext.mix(x + self.numbers[-1].astype(np.uint64)), x)
+        self.to = (x % np.uint64(buckets)).astype(np.int64)
+        return _groups(self.to)
+
+
+class Counted:
+    """What the driver knows once an order is counted: its discounts and, of its frequent histories, by their numbers the
+    sum of the lower order's P and the n-grams that occur 1, 2, ... times."""
+
+    def __init__(self) -> None:
+        self.of_counts = np.zeros(DISCOUNTED + 1, np.int64)
+        self.frequent: dict[tuple, tuple[float, np.ndarray]] = {}
+        self.d = discounts(self.of_counts)
+
+    def add(self, blob: bytes) -> None:
+        of_counts, known, m, *numbers = unpacked(blob)
+        self.of_counts += of_counts
+        m = m.reshape(-1, DISCOUNTED)
+        for i, h in enumerate(zip(*(x.tolist() for x in numbers))):
+            a, b = self.frequent.get(h, (0.0, np.zeros(DISCOUNTED, np.int64)))
+            self.frequent[h] = (a + float(known[i]), b + m[i])
+        self.d = discounts(self.of_counts)
+
+
+def _levels(row: dict, counted: list[Counted], often: int, buckets: int, upto: int):
+    """(docs, starts of documents, levels 1 to upto) of a block. The levels but the last have their counts r, of their
+    histories (by place) counts c and den, and for those that must back off known and m (else 0)."""
+    docs = unpacked(row["docs"])
+    numbers, c1, c_end = unpacked(row["words"])
+    tokens = unpacked(row["tokens"])[0]
+    starts = np.cumsum(docs[3]) - docs[3]
+    level = Level(None, tokens, numbers, starts)
+    level.r = c1
+    levels = [level]
+    answers = {(x["level"], x["bucket"]): x["answer"] for x in row["answers"] or ()}
+    answered = {k for k, _ in answers}
+    for k in range(2, upto + 1):
+        below, level = level, Level(level, tokens, numbers, starts)
+        level.c = np.append(below.r, c_end)  # every text has a start and an end
+        level.parts = level.buckets(level.c, often, buckets)
+        levels.append(level)
+        if k not in answered:
+            break  # the order that is counted now
+        size = len(level.c)
+        level.r, level.den = np.zeros(level.n, np.int64), np.zeros(size, np.int64)
+        level.known, level.m = np.zeros(size), np.zeros((size, DISCOUNTED), np.int64)
+        for p in level.parts:
+            level.r[p], plus, need, known, m = unpacked(answers[k, int(level.to[p[0]])])
+            hs = np.unique(level.h[p])
+            level.den[hs] = level.c[hs] + plus
+            level.known[hs[need]], level.m[hs[need]] = known, m.reshape(-1, DISCOUNTED)
+        for i in np.unique(level.h[level.c[level.h] >= often]).tolist():
+            known, m = counted[k].frequent.get(tuple(int(x[i]) for x in level.histories), (0.0, np.zeros(DISCOUNTED, np.int64)))
+            level.den[i], level.known[i], level.m[i] = level.c[i] + (not m.any()), known, m
+    return docs, starts, levels
+
+
+_GRAMS = "block string, bucket int, grams binary"
+
+
+def _deal(order: int, counted: list[Counted], often: int, buckets: int):
+    """Of a block, its n-grams of the order by bucket: histories, their counts, their number of n-grams and the C of the
+    histories below them; the n-grams' last words, training counts and counts one order below."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = []
+        for row in t.to_pylist():
+            docs, _, levels = _levels(row, counted, often, buckets, order)
+            level, below = levels[-1], levels[-2]
+            train = np.bincount(level.gram, np.repeat(docs[2] == 0, docs[3]), level.n).astype(np.int64)
+            lower = below.gram[level.at]  # the n-gram one order below that ends at the same token
+            for p in level.parts:
+                hs, at, sizes = np.unique(level.h[p], return_index=True, return_counts=True)
+                den = below.den[below.h[lower[p[at]]]] if order > 2 else np.zeros(0, np.int64)
+                blob = packed(level.c[hs], sizes, den, level.numbers[-1][p], train[p], below.r[lower[p]], *(x[hs] for x in level.histories))
+                rows.append((row["block"], int(level.to[p[0]]), blob))
+        return _table(rows, _GRAMS)
+
+    return run
 
 
-def _count_pairs(total: int, counts_of_counts):
-    """Of a bucket, the parts of the documents' scores, and under a null block how many pairs occur 1, 2, ... times and,
-    of each frequent history, its hash, sum of P(w) and pairs that occur 1, 2, ... times."""
-    p = Unigrams(total, counts_of_counts)
+def _places(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of numbers, given by column: (the first place of each different row, which of these each row is)."""
+    code = np.unique(columns[0], return_inverse=True)[1]
+    for x in columns[1:]:
+        values, at = np.unique(x, return_inverse=True)
+        code = np.unique(code * len(values) + at, return_inverse=True)[1]
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return first, code
+
+
+def _count(order: int, counted: list[Counted], unigrams: Unigrams, often: int):
+    """Of a bucket, each block's answer: counts of its n-grams, of its histories C - c, and for those that must back off
+    there (by place) the sum of the lower order's P and how many n-grams occur 1, 2, ... times. Under a null block what
+    Counted.add() takes."""
 
     def run(t: pa.Table) -> pa.Table:
-        rows: list[tuple] = [(b, d, None, None) for b, d in zip(t["block"].to_pylist(), t["docs"].to_pylist()) if d is not None]
-        names, parts = [], []
-        for b, x in zip(t["block"].to_pylist(), t["pairs"].to_pylist()):
-            if x is not None:
-                names.append(b)
-                h, c, sizes, low, high, *rest = unpacked(x)
-                parts.append((h, c, sizes, (high.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64), *rest))
-        if not parts:
-            return _table(rows, _PARTS)
-        hs = np.concatenate([np.repeat(x[0], x[2]) for x in parts])
-        ws = np.concatenate([x[3][x[5]] for x in parts])
-        train = np.concatenate([x[6] for x in parts])
-        _, first, pair = np.unique(vectext.mix(hs) + ws, return_index=True, return_inverse=True)
-        del ws
-        r = np.bincount(pair, train, len(first)).astype(np.int64)
-        histories, hist = np.unique(hs, return_inverse=True)
-        c_hist = np.zeros(len(histories), np.int64)
-        c_hist[hist] = np.concatenate([np.repeat(x[1], x[2]) for x in parts])
-        pw = p(np.concatenate([x[4][x[5]] for x in parts]))
-        of = hist[first]  # history of each pair
-        m = np.stack([np.bincount(of[r == k], minlength=len(histories)) for k in range(1, DISCOUNTED + 1)], axis=1)
-        known = np.bincount(of[r > 0], pw[first[r > 0]], len(histories))
-        often = c_hist * FREQUENT >= total if total else np.zeros(len(histories), bool)
-        den = denominator(c_hist, m.any(axis=1), often)
-        # each pair's part that needs no discount: unseen ones have P(w), and a(h) is yet to come
-        with np.errstate(divide="ignore"):
-            value = np.where(r[pair] > 0, np.log10(np.maximum(r[pair], 1)) - np.log10(np.maximum(den[hist], 1)), np.log10(pw))
-        at = 0
-        for b, x in zip(names, parts):
-            k = len(x[5])
-            docs, n = x[8], x[7]
-            own, rr = slice(at, at + k), r[pair[at : at + k]]
+        parts = [unpacked(x) for x in t["grams"].to_pylist()]
+        sizes = [len(p[3]) for p in parts]
+        own = np.concatenate([np.repeat(np.arange(len(p[0])), p[1]) for p in parts])  # history of each n-gram in its part
+        begin = np.cumsum([0] + [len(p[0]) for p in parts])
+        own += np.repeat(begin[:-1], sizes)
+        first_h, code = _places([np.concatenate([p[6 + i] for p in parts]) for i in range(order - 1)])
+        c = np.concatenate([p[0] for p in parts])[first_h]
+        hist = code[own]
+        words = np.concatenate([p[3] for p in parts])
+        _, w = np.unique(words, return_inverse=True)
+        _, first, pair = np.unique(hist * (int(w.max()) + 1) + w, return_index=True, return_inverse=True)
+        r = np.bincount(pair, np.concatenate([p[4] for p in parts]), len(first)).astype(np.int64)
+        of, seen = hist[first], r > 0
+        low = np.concatenate([p[5] for p in parts])[first]
+        if order == 2:
+            p_low = unigrams(low)
+        else:
+            below = np.concatenate([p[2] for p in parts])[first_h][of]
+            p_low = discounted(low, counted[order - 1].d) / np.maximum(below, 1)
+        m = np.stack([np.bincount(of[r == k], minlength=len(c)) for k in range(1, DISCOUNTED + 1)], axis=1).astype(np.int64)
+        known = np.bincount(of[seen], p_low[seen], len(c))
+        plus = (~m.any(axis=1)).astype(np.int64)
+        rows, at = [], 0
+        for i, (block, p) in enumerate(zip(t["block"].to_pylist(), parts)):
+            k = len(p[3])
+            rr, hs = r[pair[at : at + k]], code[begin[i] : begin[i + 1]]
+            need = np.unique(own[at : at + k][rr == 0] - begin[i])
+            rows.append((block, order, t["bucket"][0].as_py(), packed(rr, plus[hs], need, known[hs[need]], m[hs[need]].ravel())))
             at += k
-            seen, ids = np.unique(docs, return_inverse=True)
-            sums = np.bincount(ids, np.repeat(value[own], n), len(seen))
-            low = np.repeat(rr, n)
-            lows = [np.bincount(ids[low == j], minlength=len(seen)) for j in range(1, DISCOUNTED + 1)]
-            back = np.flatnonzero(low == 0)
-            back_h = np.repeat(hist[own], n)[back]
-            need, back_at = np.unique(back_h, return_inverse=True)
-            rows.append((b, None, packed(seen, sums, *lows, back_at, ids[back], histories[need], c_hist[need], den[need].astype(np.int64), often[need].astype(np.int64), known[need], *m[need].T), None))
-        stats = np.array([int((r == k).sum()) for k in range(1, DISCOUNTED + 2)], np.int64)
-        hot = np.flatnonzero(often)
-        rows.append((None, None, None, packed(stats, histories[hot], known[hot], *m[hot].T)))
-        return _table(rows, _PARTS)
+        hot = np.flatnonzero(c >= often)
+        stats = packed(np.array([int((r == k).sum()) for k in range(1, DISCOUNTED + 2)], np.int64), known[hot], m[hot].ravel(), *(np.concatenate([p[6 + j] for p in parts])[first_h[hot]] for j in range(order - 1)))
+        return _table([*rows, (None, order, t["bucket"][0].as_py(), stats)], _ANSWERS)
 
     return run
 
@@ -338,56 +416,60 @@ def _count_pairs(total: int, counts_of_counts):
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _finish(d: np.ndarray, frequent: dict[int, tuple[float, np.ndarray]]):
-    """A block's documents and the parts of their scores from all buckets to scores."""
-    log_d = np.log10(d[1:])
+def _evaluate(order: int, counted: list[Counted], unigrams: Unigrams, often: int, buckets: int):
+    """A block's documents to scores: each token's probability from the unigrams up to the order."""
 
     def run(t: pa.Table) -> pa.Table:
-        (docs,) = [x for x in t["docs"].to_pylist() if x is not None]
-        ids, nulls, out, lengths, known, base = unpacked(docs)
-        score = np.zeros(len(ids))
-        for x in t["parts"].to_pylist():
-            if x is None:
-                continue
-            seen, sums, *rest = unpacked(x)
-            lows, (back_at, back_doc, histories, c, den, often, of, *m) = rest[:DISCOUNTED], rest[DISCOUNTED:]
-            m = np.stack(m, axis=1).astype(np.float64)
-            of = of.copy()
-            for i in np.flatnonzero(often).tolist():
-                of[i], m[i] = frequent[int(histories[i])]
-            for j, n in enumerate(lows):
-                sums = sums + n * log_d[j]
-            if len(back_at):
-                sums = sums + np.bincount(back_doc, np.log10(backoff(c, den, m, of, d))[back_at], len(seen))
-            score[seen] += sums
+        docs, starts, levels = _levels(t.to_pylist()[0], counted, often, buckets, order)
+        ids, nulls, out, lengths, known, base = docs
+        p = unigrams(levels[0].r)[levels[0].gram]
+        for k, level in enumerate(levels[1:], 2):
+            d, r = counted[k].d, level.r[level.gram]
+            h = level.history
+            weight = backoff(level.c, level.den, level.m, level.known, d)
+            p = np.where(r > 0, discounted(r, d) / np.maximum(level.den[h], 1), weight[h] * p)
+        score = np.add.reduceat(np.log10(p), starts)
         arrays = [pa.array(ids, pa.int64(), mask=nulls.astype(bool)), pa.array(out.astype(bool)), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)]
         return pa.table(arrays, names=[x.split()[0] for x in _SCORES.split(", ")])
 
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
+def _answered(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """blocks with a list of what the buckets of all orders answered them, grouped by block."""
+    both = answers[0]
+    for x in answers[1:]:
+        both = both.unionByName(x)
+    lists = both.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("level", "bucket", "answer")).alias("answers"))
+    return blocks.join(lists, "block", "left").groupBy("block")
+
+
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs(doc_id, text).
 
     base_score is the text's log10 probability with each count raised by 0.1; score is the model's."""
     common.prepare(common.spark_of(docs))
-    blocks = common.stored(_blocks(docs), "blocks")
-    tokens, words = blocks.agg(F.sum("n_tokens"), F.sum("n_words")).first()
+    raw = common.stored(_blocks(docs), "blocks")
+    tokens, words = raw.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     word_buckets = max(12, -(-(words or 0) // BUCKET_WORDS))
     buckets = max(12, -(-(tokens or 0) // BUCKET_TOKENS))
-    counts = common.stored(_word_counts(blocks, word_buckets), "counts")
-    stats = sum((unpacked(x.counts)[0] for x in counts.where("block IS NULL").select("counts").toLocalIterator()), np.zeros(DISCOUNTED + 3, np.int64))
-    total, types, of_counts = int(stats[0]), int(stats[1]), [int(x) for x in stats[2:]]
-    answers = counts.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
-    pairs = blocks.select("block", "docs", "vocabulary", "tokens").join(answers, "block").groupBy("block").applyInArrow(_pairs(buckets, word_buckets, total, types), _PAIRS)
-    parts = common.stored(pairs.groupBy("bucket").applyInArrow(_count_pairs(total, of_counts), _PARTS), "parts")
-    of_pairs = np.zeros(DISCOUNTED + 1, np.int64)
-    frequent: dict[int, tuple[float, np.ndarray]] = {}
-    for x in parts.where("stats IS NOT NULL").select("stats").toLocalIterator():
-        n, hashes, known, *m = unpacked(x.stats)
-        of_pairs += n
-        for i, h in enumerate(hashes.tolist()):
-            a, b = frequent.get(h, (0.0, np.zeros(DISCOUNTED)))
-            frequent[h] = (a + float(known[i]), b + np.array([k[i] for k in m], float))
-    scored = parts.where("block IS NOT NULL").select("block", "docs", "parts").groupBy("block").applyInArrow(_finish(discounts(of_pairs), frequent), _SCORES)
+    answers = common.stored(_word_counts(raw, word_buckets), "words")
+    stats = sum((unpacked(x.answer)[0] for x in answers.where("block IS NULL").select("answer").toLocalIterator()), np.zeros(DISCOUNTED + 3, np.int64))
+    total, types = int(stats[0]), int(stats[1])
+    unigrams = Unigrams(total, [int(x) for x in stats[2:]])
+    often = max(1, -(-total // FREQUENT))
+    grouped = _answered(raw.select("block", "docs", "vocabulary", "tokens"), [answers])
+    blocks = common.stored(grouped.applyInArrow(common.lean(_numbered(word_buckets, total, types)), _NUMBERED), "numbered")
+    common.drop(raw, answers)
+    counted = [Counted() for _ in range(order + 1)]
+    answers_ = []
+    for k in range(2, order + 1):
+        grouped = _answered(blocks, answers_) if answers_ else blocks.withColumn("answers", F.lit(None).cast("array<struct<level:int,bucket:int,answer:binary>>")).groupBy("block")
+        grams = grouped.applyInArrow(common.lean(_deal(k, counted, often, buckets)), _GRAMS)
+        answers_.append(common.stored(grams.groupBy("bucket").applyInArrow(common.lean(_count(k, counted, unigrams, often)), _ANSWERS), f"order{k}"))
+        for x in answers_[-1].where("block IS NULL").select("answer").toLocalIterator():
+            counted[k].add(x.answer)
+    if not answers_:
+        answers_ = [blocks.select("block", F.lit(1).alias("level"), F.lit(0).alias("bucket"), F.lit(b"").alias("answer"))]
+    scored = _answered(blocks, answers_).applyInArrow(common.lean(_evaluate(order, counted, unigrams, often, buckets)), _SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -123,7 +123,7 @@ def scan(docs: DataFrame, notices=NOTICES) -> DataFrame:
                 found.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["doc_id", "n_words", "notices"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {SCAN}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.lean(run), f"doc_id long, {SCAN}")
 
 
 def digest(docs: DataFrame, notices=NOTICES) -> DataFrame:

@@ -107,7 +107,7 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
         if held:
             yield counted()
 
-    counts = common.stored(docs.select("text").mapInArrow(run, "h long, c long"), "frequent")
+    counts = common.stored(docs.select("text").mapInArrow(common.lean(run), "h long, c long"), "frequent")
     total = counts.where("h IS NULL").agg(F.sum("c")).first()[0] or 0
     top = counts.where("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(MOST_FREQUENT)
     return np.sort(np.array([r.h for r in top.select("h").collect()], np.int64).view(np.uint64)), total
@@ -159,7 +159,7 @@ def _signatures(docs: DataFrame, size: int, num: int, den: int, frequent, bucket
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + common.ARROW_ROWS]), types)], names=names)
 
     row = F.col("row") if "row" in docs.columns else F.lit(None).cast("binary").alias("row")
-    return docs.select(F.col("doc_id").cast("long"), "text", row).mapInArrow(run, _SIGNATURES)
+    return docs.select(F.col("doc_id").cast("long"), "text", row).mapInArrow(common.lean(run), _SIGNATURES)
 
 
 _MEMBERS = "bucket int, key binary, n long, hashes binary, first binary"
@@ -335,7 +335,7 @@ def _sets(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], names=["key", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "key binary, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes"))
+    return docs.select("text").mapInArrow(common.lean(run), "key binary, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -356,7 +356,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     x = sets.select(F.col("key").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, links boolean")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(common.lean(run), "a binary, b binary, links boolean")
 
 
 def _linked(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -370,7 +370,7 @@ def _linked(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     signatures = common.stored(_signatures(docs, size, num, den, frequent, buckets), "signatures")
     dealt = signatures.where("bucket IS NOT NULL").select("bucket", "keys", "sizes", "counts", "hashes", "first")
     signatures = signatures.where("bucket IS NULL").select("doc_id", "row", "n", "key", "bits")
-    members = common.stored(dealt.groupBy("bucket").applyInArrow(_reduce(num, den), _MEMBERS), "members")
+    members = common.stored(dealt.groupBy("bucket").applyInArrow(common.lean(_reduce(num, den)), _MEMBERS), "members")
     bits = signatures.where("bits IS NOT NULL").select("key", "bits")
     bits = common.keep_filtered(bits, common.key_filter(members)).groupBy("key").agg(F.first("bits").alias("bits"))
 
@@ -380,7 +380,7 @@ def _linked(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         tiles = members.join(bits, "key")
         tiles = tiles.join(parts.withColumnRenamed("node", "key"), "key", "left") if parts is not None else tiles.withColumn("component", F.col("key"))
         tiles = tiles.select("bucket", "key", "n", "hashes", "first", "bits", F.coalesce("component", "key").alias("component"))
-        found = tiles.groupBy("bucket").applyInArrow(_tiles(num, den, mode), _PAIRS)
+        found = tiles.groupBy("bucket").applyInArrow(common.lean(_tiles(num, den, mode)), _PAIRS)
         if mode != "block":
             found = common.stored(found, "met")
             live = found.where("b IS NULL").select(F.col("a").alias("key"))

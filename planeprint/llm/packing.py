@@ -205,7 +205,7 @@ def _pieces(docs: DataFrame, tokenizer: str, most: int, end: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (long, pa.binary(), long, long, long, pa.binary()))], names=["doc_id", "key", "doc_tokens", "start", "length", "ids"])
 
     docs = docs.select(F.col("doc_id").cast("long"), common.text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    return docs.mapInArrow(run, "doc_id long, key binary, doc_tokens long, start long, length long, ids binary")
+    return docs.mapInArrow(common.lean(run), "doc_id long, key binary, doc_tokens long, start long, length long, ids binary")
 
 
 def _wide(ids: bytes, length: int) -> bytes:
@@ -250,7 +250,7 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end: int = 1) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (*(long,) * 3, pa.binary(), *(long,) * 3))], names=names)
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    placed = _ranked(pieces).mapInArrow(run, schema)
+    placed = _ranked(pieces).mapInArrow(common.lean(run), schema)
     return placed.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -197,7 +197,7 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                     base = at[doc]
                     yield pa.RecordBatch.from_arrays([pa.array([keys[new[first + d]] for d in doc.tolist()], pa.binary()), pa.array(gram), pa.array(a - base), pa.array(lo - base), pa.array(hi - base)], names=["key", "gram", "at", "lo", "hi"])
 
-    return docs.select(common.text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "key binary, gram long, at long, lo long, hi long")
+    return docs.select(common.text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(common.lean(run), "key binary, gram long, at long, lo long, hi long")
 
 
 # --- shards ---------------------------------------------------------------------------------------------
@@ -237,7 +237,7 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
                 for k in range(0, len(out), 4000):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 4000]), types)], names=names)
 
-    return texts.mapInArrow(run, _CUT)
+    return texts.mapInArrow(common.lean(run), _CUT)
 
 
 def _window_digests(regions: DataFrame, window: int) -> DataFrame:
@@ -251,7 +251,7 @@ def _window_digests(regions: DataFrame, window: int) -> DataFrame:
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array([digest] * n, pa.binary()), pa.array(range(d, d - n, -1), pa.int64()), pa.array([copies] * n, pa.int64())], names=["window", "digest", "d", "copies"])
 
-    return regions.select("digest", "left", "right", "copies").mapInArrow(run, "window binary, digest binary, d long, copies long")
+    return regions.select("digest", "left", "right", "copies").mapInArrow(common.lean(run), "window binary, digest binary, d long, copies long")
 
 
 def context_order(contexts: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -342,7 +342,7 @@ def repeated_runs(docs: DataFrame, window: int = 400) -> DataFrame:
     some_hot = hot.limit(1).count()
     few = regions.join(hot, "gram", "left_anti") if some_hot else regions
     few = few.select(F.pmod("gram", F.lit(shards)).alias("shard"), "gram", "digest", "left", "right", "copies")
-    runs = few.groupBy("shard").applyInArrow(_shard(window), _RUNS)
+    runs = few.groupBy("shard").applyInArrow(common.lean(_shard(window)), _RUNS)
     if some_hot:
         windows = common.stored(_window_digests(regions.join(hot, "gram", "left_semi"), window), "windows")
         twice = windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
@@ -363,7 +363,7 @@ def _once_a_task(texts: DataFrame, wanted) -> DataFrame:
                 keep.append(new)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return texts.mapInArrow(run, "key binary, text string")
+    return texts.mapInArrow(common.lean(run), "key binary, text string")
 
 
 def spans_of(first, last, window: int) -> list[tuple[int, int]]:
@@ -395,7 +395,7 @@ def remove_repeats(docs: DataFrame, window: int = 400) -> tuple[DataFrame, DataF
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], names=["key", "text", "spans"])
 
-    return copies, cut.select("key", "text", "first", "last").mapInArrow(run, "key binary, text string, spans array<struct<start:long,end:long>>")
+    return copies, cut.select("key", "text", "first", "last").mapInArrow(common.lean(run), "key binary, text string, spans array<struct<start:long,end:long>>")
 
 
 def kept_bytes(text: str, spans) -> bytes:
@@ -417,7 +417,7 @@ def digest_removed(docs: DataFrame, window: int = 400) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.string()))], names=["key", "removed", "spans", "sha"])
 
-    cuts = cuts.mapInArrow(run, "key binary, removed long, spans long, sha string")
+    cuts = cuts.mapInArrow(common.lean(run), "key binary, removed long, spans long, sha string")
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long"), common.text_key(F.col("text")).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     rows = rows.join(copies, "key", "left").join(cuts, "key", "left")
@@ -443,7 +443,7 @@ def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
             left = [kept_bytes(t, x).decode("utf-8", "ignore") for t, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], names=["__key", "__left"])
 
-    cuts = cuts.mapInArrow(run, "__key binary, __left string")
+    cuts = cuts.mapInArrow(common.lean(run), "__key binary, __left string")
     gone = F.col("__places").isNotNull() & (F.octet_length("text") >= window)
     out = docs.withColumn("__key", common.text_key(F.col("text"))).join(copies.toDF("__key", "__places"), "__key", "left").join(cuts, "__key", "left")
     out = out.withColumn("text", F.when(gone, F.lit("")).otherwise(F.coalesce("__left", "text")))

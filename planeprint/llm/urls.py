@@ -95,7 +95,7 @@ def best_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
             keep = _may_hold(held, batch.column(2).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["url", "key"]).filter(pa.array(keep))
 
-    hits = keys.mapInArrow(run, "url string, key string")
+    hits = keys.mapInArrow(common.lean(run), "url string, key string")
     exact = hits.join(rules, hits.key == rules.name)
     return exact.groupBy("url").agg(F.max(F.struct(F.char_length("name").alias("n"), "name", "verdict")).alias("m")).select("url", "m.name", "m.verdict")
 

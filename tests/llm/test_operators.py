@@ -1,9 +1,11 @@
 """Operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeats and empty tables."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
 import zlib
@@ -284,40 +286,83 @@ def test_urls(spark):
         assert r.verdict == (rule[2] or ("block" if "cheap-pills" in host else "allow"))
 
 
-def test_katz(spark, docs, monkeypatch):
+def good_turing(counts):
+    """Discount factors of counts 1 to 5, from the formulas alone."""
+    n = [0] + [sum(v == k for v in counts.values()) for k in range(1, 7)]
+    fallback = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    d = {}
+    for r in range(1, 6):
+        d[r] = 1 - fallback / r
+        if n[r] and n[1] and 6 * n[6] < n[1]:
+            a = 6 * n[6] / n[1]
+            x = ((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a)
+            d[r] = x if 0 < x < 1 else d[r]
+    return d
+
+
+class KatzByHand:
+    def __init__(self, texts, order):
+        self.order, self.counts = order, [collections.Counter() for _ in range(order + 1)]
+        for w in texts:
+            padded = ["<start>"] * (order - 1) + w
+            for k in range(1, order + 1):
+                self.counts[k].update(tuple(padded[i - k + 1 : i + 1]) for i in range(order - 1, len(padded)))
+        self.total, self.d = sum(self.counts[1].values()), [None] + [good_turing(c) for c in self.counts[1:]]
+        self.after = collections.defaultdict(dict)
+        for c in self.counts[2:]:
+            for g, r in c.items():
+                self.after[g[:-1]][g[-1]] = r
+        left = sum((1 - self.d[1][r]) * r for r in self.counts[1].values() if r <= 5)
+        self.all, self.unknown = (self.total, left / self.total) if left > 0 else (self.total + 1, 1 / (self.total + 1))
+        self.seen, self.weight = functools.cache(self._seen), functools.cache(self._weight)
+
+    def cut(self, k, r):
+        return self.d[k].get(r, 1) * r
+
+    def _seen(self, h):
+        ws = self.after[h]
+        c = sum(ws.values()) + (min(ws.values()) > 5)
+        return {w: self.cut(len(h) + 1, r) / c for w, r in ws.items()}
+
+    def _weight(self, h):
+        return (1 - sum(self.seen(h).values())) / (1 - sum(self.p(w, h[1:]) for w in self.after[h]))
+
+    def p(self, w, h):
+        if not h:
+            r = self.counts[1][(w,)]
+            return self.cut(1, r) / self.all if r else self.unknown
+        if h not in self.after:
+            return self.p(w, h[1:])
+        return self.seen(h)[w] if w in self.after[h] else self.weight(h) * self.p(w, h[1:])
+
+
+@pytest.mark.parametrize(("order", "frequent"), [(1, 1000), (2, 1000), (3, 1000), (2, 1), (3, 20), (4, 50)])
+def test_katz(spark, docs, monkeypatch, order, frequent):
+    """Against a model by hand that shares no code; frequent histories are the same, wherever they begin."""
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 800)
+    monkeypatch.setattr(katz, "FREQUENT", frequent)
     rows = docs.select("doc_id", "text").collect()
-    tokens = [re.findall(WORDS, lower(r.text)) + ["\n"] for r in rows]
+    tokens = [[*re.findall(WORDS, lower(r.text)), "\n"] for r in rows]
     held = [zlib.crc32(str(r.doc_id).encode() if r.doc_id is not None else b"") % 10 == 0 for r in rows]
-    uni, bi = collections.Counter(), collections.Counter()
-    for w, h in zip(tokens, held):
-        if not h:
-            uni.update(w)
-            bi.update(zip(["\t", *w[:-1]], w))
-    total = sum(uni.values())
-    of = lambda c: [sum(v == k for v in c.values()) for k in range(1, 7)]
-    p, d = katz.Unigrams(total, of(uni)), katz.discounts(of(bi))
-    single = lambda w: float(p(np.array([uni[w]]))[0])
-    assert abs(sum(map(single, uni)) + p.unknown - 1) < 1e-9
-    after = collections.defaultdict(dict)
-    for (h, w), k in bi.items():
-        after[h][w] = k
-    seen, back = {}, {}
-    for h, ws in after.items():
-        c = sum(ws.values())
-        den = c + (c * katz.FREQUENT >= total or min(ws.values()) > 5)
-        seen[h] = {w: (d[k] if k <= 5 else 1) * k / den for w, k in ws.items()}
-        back[h] = (1 - sum(seen[h].values())) / (1 - sum(map(single, ws)))
-        assert abs(sum(seen[h].values()) + back[h] * (sum(single(w) for w in uni if w not in ws) + p.unknown) - 1) < 1e-9
+    model = KatzByHand([w for w, out in zip(tokens, held) if not out], order)
+    uni, total = model.counts[1], model.total
+    for h in [(), *random.Random(1).sample(sorted(model.after), min(40, len(model.after)))]:  # distributions sum to 1
+        assert abs(sum(model.p(w, h) for (w,) in uni) + model.p("unknown", h) - 1) < 1e-9
     want = []
     for r, w, out in zip(rows, tokens, held):
-        s = sum(np.log10(seen[h][x] if x in seen.get(h, {}) else back.get(h, 1.0) * single(x)) for h, x in zip(["\t", *w[:-1]], w))
-        base = sum(np.log10((uni[x] + 0.1) / (total + 0.1 * (len(uni) + 1))) for x in w)
-        want.append((str(r.doc_id), out, len(w), sum(x in uni for x in w), total, base, s))
-    got = sorted((str(r[0]), *r[1:]) for r in katz.score(docs).collect())
-    for a, b in zip(got, sorted(want)):
+        padded = ["<start>"] * (order - 1) + w
+        s = sum(math.log10(model.p(padded[i], tuple(padded[i - order + 1 : i]))) for i in range(order - 1, len(padded)))
+        base = sum(math.log10((uni[(x,)] + 0.1) / (total + 0.1 * (len(uni) + 1))) for x in w)
+        want.append((str(r.doc_id), out, len(w), sum((x,) in uni for x in w), total, base, s))
+    got = sorted((str(r[0]), *r[1:]) for r in katz.score(docs, order).collect())
+    for a, b in zip(got, sorted(want), strict=True):
         assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9)
+
+
+def test_katz_of_nothing(spark, docs):
     assert katz.score(docs.where("false")).count() == 0
+    one = katz.score(docs.sparkSession.createDataFrame([(0, "a b a")], "doc_id long, text string")).first()  # held out: no training text at all
+    assert (one.n_known, one.train_tokens) in ((0, 0), (4, 4))
 
 
 def test_packing(spark, docs):
