@@ -12,6 +12,8 @@ columns of documents:
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,28 +26,43 @@ from planeprint.llm.queries import tokenizer_path
 MIX_SHARE = 0.8
 
 
+_scratch = common.Scratch()
+
+
+def owning(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """stage, with scratch tables of its own. It first deletes those of the stage before, whose result is written by now."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _scratch.drop()
+        with common.owned(_scratch):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@owning
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.drop_stored(spark)
     return quality.keep_good(docs)
 
 
+@owning
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.drop_stored(spark)  # what the stage before needed; its result is written by now
     return ngram_join.one_of_each(docs)
 
 
+@owning
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.drop_stored(spark)
     return suffix.without_repeats(docs).where(F.coalesce("text", F.lit("")) != "")
 
 
+@owning
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.drop_stored(spark)
     return mixing.mixed(docs, MIX_SHARE)
 
 
+@owning
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.drop_stored(spark)
     return packing.pack(docs, tokenizer_path())
 
 
@@ -62,11 +79,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each result is written to the shared folder and read again."""
+    """The stages applied to documents; each result is written to the shared folder and read again, and deleted once the
+    next one is written. Packing reads its input while it is called, not later."""
     docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.shared_folder(spark)}/pipeline-{common.uuid.uuid4().hex}"
+    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            common.delete(spark, f"{folder}/{before}")
+        docs, before = spark.read.schema(out.schema).parquet(f"{folder}/{name}"), name
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    common.delete(spark, folder)
+    return packed
