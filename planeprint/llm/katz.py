@@ -12,18 +12,19 @@ counts after h are above 5, as nothing would be left otherwise. Each distributio
 end and the unknown word. Orders up to ORDER are counted one after the other, and a token is evaluated from the
 unigrams up.
 
-Nothing of the corpus' size is in one place. Texts become blocks of about a million tokens:
+Nothing of the corpus' size is in one place. Texts become blocks of about two million tokens:
 
 1. The blocks' words are dealt out by hash, counted and numbered, frequent words low; each block gets its words' counts
    and numbers. Numbers are exact: from here on no words are told apart by hashes.
 2. For each order, a block's different n-grams go as numbers, with their training counts, to the bucket of their
-   history. A bucket sums them up. It returns to each block the counts of its n-grams and, of histories that must back
+   history without its first word. A bucket sums them up. It returns to each block the counts of its n-grams and, of histories that must back
    off there, what their weight depends on. These tables (order, bucket, block) are stored; the next order reads them,
    as an n-gram's history is an n-gram of the order before.
 3. With all discounts known, each block evaluates its tokens and sums up its documents.
 
-A history with a thousandth of all tokens or more is dealt out by n-gram, and its sums over the buckets go through the
-driver: at most 1000 histories an order. Besides, only counts of counts go there. Null text is empty text: one token. A
+What a thousandth of all tokens or more have in common is dealt out by one word more: a history whose rest is frequent
+by itself, a frequent history by n-gram. The sums of the latter over the buckets go through the driver: at most 1000
+histories an order. Besides, only counts of counts go there. Null text is empty text: one token. A
 document is held out if crc32(doc_id as text) mod 10 is 0; so is one without an id. Rows that repeat an id are scored
 one by one. Words are hashed to 64 bits before they are numbered: two of n different words fall together with odds of
 n * n / 2^65, which is 3e-8 for a million.
@@ -43,8 +44,8 @@ ORDER = 3
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a block, n-grams of a bucket, words of a bucket of words.
-BLOCK_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 1_000_000, 1_000_000, 1_000_000
-#: A history with 1 / FREQUENT of all tokens is dealt out by n-gram. This changes no result.
+BLOCK_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 2_000_000, 2_000_000, 1_000_000
+#: What has 1 / FREQUENT of all tokens is dealt out by one word more. This changes no result.
 FREQUENT = 1000
 END = np.uint64(0x5BD1E9955BD1E995)
 
@@ -83,18 +84,51 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def risen(x: np.ndarray) -> np.ndarray:
+    """Differences to the number before, signs in the lowest bit: small and alike where numbers ascend or repeat."""
+    d = np.diff(x, prepend=0)
+    return (d << 1) ^ (d >> 63)
+
+
+def fallen(x: np.ndarray) -> np.ndarray:
+    return np.cumsum((x >> 1) ^ -(x & 1))
+
+
 def _table(rows: list[tuple], schema: str) -> pa.Table:
     kinds = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}
     fields = [x.split() for x in schema.split(", ")]
     return pa.table([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(fields)], names=[x for x, _ in fields])
 
 
+def places_by(*columns: np.ndarray) -> np.ndarray:
+    """The places of rows of numbers from 0, given by column, in their order; equal rows in the order of their places.
+
+    Sorts numbers and places in one word where they fit, which is much faster than an argsort."""
+    n = len(columns[0])
+    bits = n.bit_length()
+    order = None
+    for x in columns[::-1]:
+        x = x if order is None else x[order]
+        if n and int(x.max()).bit_length() + bits < 64:
+            at = np.sort((x.astype(np.int64) << bits) | np.arange(n)) & ((1 << bits) - 1)
+        else:
+            at = np.argsort(x, kind="stable")
+        order = at if order is None else order[at]
+    return order
+
+
 def _groups(of: np.ndarray) -> list[np.ndarray]:
     """The places of equal numbers, in the order of these and of the places."""
-    order = np.argsort(of, kind="stable")
+    order = places_by(of)
     return np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(of) else []
 
 
+def _distinct(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different words, which of these each is)."""
+    coded = pa.array(words).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+
+
 # --- the model ------------------------------------------------------------------------------------------
 
 
@@ -161,8 +195,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
             tokens, lengths = np.concatenate(hashes), np.concatenate(sizes)
             hashes.clear()
             out = np.concatenate(held)
-            words, number, count = np.unique(tokens, return_inverse=True, return_counts=True)
-            order = np.argsort(-count, kind="stable")
+            words, number = _distinct(tokens)
+            order = np.argsort(-np.bincount(number, minlength=len(words)), kind="stable")
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
             number = rank[number]
@@ -212,10 +246,10 @@ def _word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
 
     def count(t: pa.Table) -> pa.Table:
         parts, bucket = [unpacked(x) for x in t["words"].to_pylist()], t["bucket"][0].as_py()
-        words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        words, at = _distinct(np.concatenate([p[0] for p in parts]))
         c = np.bincount(at, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
         number = np.empty(len(words), np.int64)
-        number[np.argsort(-c, kind="stable")] = 1 + bucket + buckets * np.arange(len(words), dtype=np.int64)
+        number[np.lexsort((words, -c))] = 1 + bucket + buckets * np.arange(len(words), dtype=np.int64)
         ends = np.cumsum([len(p[0]) for p in parts])
         rows = [(b, 1, bucket, packed(c[at[e - len(p[0]) : e]], number[at[e - len(p[0]) : e]])) for b, p, e in zip(t["block"].to_pylist(), parts, ends)]
         stats = [c.sum(), (c > 0).sum(), *(int((c == r).sum()) for r in range(1, DISCOUNTED + 2))]
@@ -244,7 +278,10 @@ def _numbered(buckets: int, total: int, types: int):
         known = np.add.reduceat((c > 0)[tokens].astype(np.int64), first)
         end = np.flatnonzero(words == END)
         docs = packed(ids, nulls.astype(np.int64), out.astype(np.int64), lengths, known, base)
-        return _table([(t["block"][0].as_py(), docs, packed(number, c, c[end]), t["tokens"][0].as_py())], _NUMBERED)
+        order = np.argsort(number)  # from here on words are in the order of their numbers
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return _table([(t["block"][0].as_py(), docs, packed(risen(number[order]), c[order], c[end]), packed(rank[tokens]))], _NUMBERED)
 
     return run
 
@@ -253,7 +290,7 @@ def _numbered(buckets: int, total: int, types: int):
 
 
 class Level:
-    """A block's different n-grams of one order, and what is known of them.
+    """A block's different n-grams of one order, by last word and then by history, and what is known of them.
 
     gram: of each token the place of the n-gram that ends there; history: of each token the place of its history among
     the n-grams of the order below, the last place being the starts before a document. h, w: those of each n-gram;
@@ -266,21 +303,29 @@ class Level:
         self.history = np.empty(len(tokens), np.int64)
         self.history[1:] = below.gram[:-1]
         self.history[starts] = below.n
-        key = self.history * len(numbers) + tokens
-        key, self.at, self.gram = np.unique(key, return_index=True, return_inverse=True)
+        key = tokens * (below.n + 1) + self.history
+        order = places_by(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        self.gram = np.empty(len(order), np.int64)
+        self.gram[order] = np.cumsum(new) - 1
+        self.at, key = order[new], key[new]
         self.n = len(key)
-        self.h, self.w = key // len(numbers), key % len(numbers)
+        self.w, self.h = key // (below.n + 1), key % (below.n + 1)
         self.histories = [np.append(x, 0) for x in below.numbers]  # by place; the starts have the number 0
         self.numbers = [*(x[self.h] for x in self.histories), numbers[self.w]]
 
-    def buckets(self, c: np.ndarray, often: int, buckets: int) -> list[np.ndarray]:
-        """The n-grams' places by bucket, in its order. c: the counts of histories by place; often: that of frequent ones."""
+    def deal(self, rest: np.ndarray, often: int, buckets: int) -> list[np.ndarray]:
+        """The n-grams' places by bucket, in its order, by history and last word. rest: by place of a history, the count
+        of what it is without its first word; often: that of what is frequent."""
         x = np.zeros(self.n, np.uint64)
-        for column in self.numbers[:-1]:
+        for column in self.numbers[1:-1]:
             x = vectext.mix(x ^ column.astype(np.uint64))
-        x = np.where(c[self.h] >= often, vectext.mix(x + self.numbers[-1].astype(np.uint64)), x)
+        x = np.where(rest[self.h] >= often, vectext.mix(x + self.numbers[0].astype(np.uint64)), x)
+        x = np.where(self.c[self.h] >= often, vectext.mix(x + self.numbers[-1].astype(np.uint64)), x)
         self.to = (x % np.uint64(buckets)).astype(np.int64)
-        return _groups(self.to)
+        order = places_by(self.to, self.h)
+        return np.split(order, np.flatnonzero(np.diff(self.to[order])) + 1)
 
 
 class Counted:
@@ -307,7 +352,7 @@ def _levels(row: dict, counted: list[Counted], often: int, buckets: int, upto: i
     histories (by place) counts c and den, and for those that must back off known and m (else 0)."""
     docs = unpacked(row["docs"])
     numbers, c1, c_end = unpacked(row["words"])
-    tokens = unpacked(row["tokens"])[0]
+    numbers, tokens = fallen(numbers), unpacked(row["tokens"])[0]
     starts = np.cumsum(docs[3]) - docs[3]
     level = Level(None, tokens, numbers, starts)
     level.r = c1
@@ -317,7 +362,8 @@ def _levels(row: dict, counted: list[Counted], often: int, buckets: int, upto: i
     for k in range(2, upto + 1):
         below, level = level, Level(level, tokens, numbers, starts)
         level.c = np.append(below.r, c_end)  # every text has a start and an end
-        level.parts = level.buckets(level.c, often, buckets)
+        rest = np.append(levels[-2].r[_suffix(below, levels[-2])], c_end) if k > 2 else np.full(len(level.c), often)
+        level.parts = level.deal(rest, often, buckets)
         levels.append(level)
         if k not in answered:
             break  # the order that is counted now
@@ -326,7 +372,7 @@ def _levels(row: dict, counted: list[Counted], often: int, buckets: int, upto: i
         level.known, level.m = np.zeros(size), np.zeros((size, DISCOUNTED), np.int64)
         for p in level.parts:
             level.r[p], plus, need, known, m = unpacked(answers[k, int(level.to[p[0]])])
-            hs = np.unique(level.h[p])
+            hs = _runs(level.h[p])[0]
             level.den[hs] = level.c[hs] + plus
             level.known[hs[need]], level.m[hs[need]] = known, m.reshape(-1, DISCOUNTED)
         for i in np.unique(level.h[level.c[level.h] >= often]).tolist():
@@ -335,38 +381,57 @@ def _levels(row: dict, counted: list[Counted], often: int, buckets: int, upto: i
     return docs, starts, levels
 
 
+def _suffix(level: Level, below: Level) -> np.ndarray:
+    """Of each n-gram the place, one order below, of what it is without its first word."""
+    return below.gram[level.at]
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, first places, lengths) of runs of equal numbers."""
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x[first], first, np.diff(np.append(first, len(x)))
+
+
 _GRAMS = "block string, bucket int, grams binary"
 
 
 def _deal(order: int, counted: list[Counted], often: int, buckets: int):
-    """Of a block, its n-grams of the order by bucket: histories, their counts, their number of n-grams and the C of the
-    histories below them; the n-grams' last words, training counts and counts one order below."""
+    """Of a block, its n-grams of the order by bucket: histories' counts, their numbers of n-grams and the C of what they
+    are without their first word; the n-grams' last words, training counts and counts one order below; the histories."""
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = []
-        for row in t.to_pylist():
-            docs, _, levels = _levels(row, counted, often, buckets, order)
-            level, below = levels[-1], levels[-2]
-            train = np.bincount(level.gram, np.repeat(docs[2] == 0, docs[3]), level.n).astype(np.int64)
-            lower = below.gram[level.at]  # the n-gram one order below that ends at the same token
-            for p in level.parts:
-                hs, at, sizes = np.unique(level.h[p], return_index=True, return_counts=True)
-                den = below.den[below.h[lower[p[at]]]] if order > 2 else np.zeros(0, np.int64)
-                blob = packed(level.c[hs], sizes, den, level.numbers[-1][p], train[p], below.r[lower[p]], *(x[hs] for x in level.histories))
-                rows.append((row["block"], int(level.to[p[0]]), blob))
-        return _table(rows, _GRAMS)
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs, _, levels = _levels(row, counted, often, buckets, order)
+                level, below = levels[-1], levels[-2]
+                train = np.bincount(level.gram, np.repeat(docs[2] == 0, docs[3]), level.n).astype(np.int64)
+                lower = _suffix(level, below)
+                rows = []
+                for p in level.parts:
+                    hs, at, sizes = _runs(level.h[p])
+                    den = risen(below.den[below.h[lower[p[at]]]]) if order > 2 else np.zeros(0, np.int64)
+                    *others, last = (x[hs] for x in level.histories)
+                    rows.append((row["block"], int(level.to[p[0]]), packed(level.c[hs], sizes, den, level.numbers[-1][p], train[p], below.r[lower[p]], *others, risen(last))))
+                    if len(rows) == 500:
+                        yield from _table(rows, _GRAMS).to_batches()
+                        rows = []
+                if rows:
+                    yield from _table(rows, _GRAMS).to_batches()
 
     return run
 
 
-def _places(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows of numbers, given by column: (the first place of each different row, which of these each row is)."""
-    code = np.unique(columns[0], return_inverse=True)[1]
-    for x in columns[1:]:
-        values, at = np.unique(x, return_inverse=True)
-        code = np.unique(code * len(values) + at, return_inverse=True)[1]
-    _, first, code = np.unique(code, return_index=True, return_inverse=True)
-    return first, code
+def _same(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of numbers, given by column: (a place of each different row, which of these each row is)."""
+    order = places_by(*columns)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in columns:
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return order[new], code
 
 
 def _count(order: int, counted: list[Counted], unigrams: Unigrams, often: int):
@@ -376,37 +441,39 @@ def _count(order: int, counted: list[Counted], unigrams: Unigrams, often: int):
 
     def run(t: pa.Table) -> pa.Table:
         parts = [unpacked(x) for x in t["grams"].to_pylist()]
+        blocks, bucket = t["block"].to_pylist(), t["bucket"][0].as_py()
+        del t
         sizes = [len(p[3]) for p in parts]
         own = np.concatenate([np.repeat(np.arange(len(p[0])), p[1]) for p in parts])  # history of each n-gram in its part
         begin = np.cumsum([0] + [len(p[0]) for p in parts])
         own += np.repeat(begin[:-1], sizes)
-        first_h, code = _places([np.concatenate([p[6 + i] for p in parts]) for i in range(order - 1)])
+        columns = [np.concatenate([fallen(p[6 + i]) if i == order - 2 else p[6 + i] for p in parts]) for i in range(order - 1)]
+        first_h, code = _same(*columns)
+        columns = [x[first_h] for x in columns]
         c = np.concatenate([p[0] for p in parts])[first_h]
         hist = code[own]
-        words = np.concatenate([p[3] for p in parts])
-        _, w = np.unique(words, return_inverse=True)
-        _, first, pair = np.unique(hist * (int(w.max()) + 1) + w, return_index=True, return_inverse=True)
+        first, pair = _same(hist, np.concatenate([p[3] for p in parts]))
         r = np.bincount(pair, np.concatenate([p[4] for p in parts]), len(first)).astype(np.int64)
         of, seen = hist[first], r > 0
         low = np.concatenate([p[5] for p in parts])[first]
         if order == 2:
             p_low = unigrams(low)
         else:
-            below = np.concatenate([p[2] for p in parts])[first_h][of]
+            below = np.concatenate([fallen(p[2]) for p in parts])[first_h][of]
             p_low = discounted(low, counted[order - 1].d) / np.maximum(below, 1)
         m = np.stack([np.bincount(of[r == k], minlength=len(c)) for k in range(1, DISCOUNTED + 1)], axis=1).astype(np.int64)
         known = np.bincount(of[seen], p_low[seen], len(c))
         plus = (~m.any(axis=1)).astype(np.int64)
         rows, at = [], 0
-        for i, (block, p) in enumerate(zip(t["block"].to_pylist(), parts)):
-            k = len(p[3])
+        for i, block in enumerate(blocks):
+            k = sizes[i]
             rr, hs = r[pair[at : at + k]], code[begin[i] : begin[i + 1]]
-            need = np.unique(own[at : at + k][rr == 0] - begin[i])
-            rows.append((block, order, t["bucket"][0].as_py(), packed(rr, plus[hs], need, known[hs[need]], m[hs[need]].ravel())))
+            need = _runs(own[at : at + k][rr == 0] - begin[i])[0] if (rr == 0).any() else np.zeros(0, np.int64)
+            rows.append((block, order, bucket, packed(rr, plus[hs], need, known[hs[need]], m[hs[need]].ravel())))
             at += k
         hot = np.flatnonzero(c >= often)
-        stats = packed(np.array([int((r == k).sum()) for k in range(1, DISCOUNTED + 2)], np.int64), known[hot], m[hot].ravel(), *(np.concatenate([p[6 + j] for p in parts])[first_h[hot]] for j in range(order - 1)))
-        return _table([*rows, (None, order, t["bucket"][0].as_py(), stats)], _ANSWERS)
+        stats = packed(np.array([int((r == k).sum()) for k in range(1, DISCOUNTED + 2)], np.int64), known[hot], m[hot].ravel(), *(x[hot] for x in columns))
+        return _table([*rows, (None, order, bucket, stats)], _ANSWERS)
 
     return run
 
@@ -419,29 +486,32 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_scor
 def _evaluate(order: int, counted: list[Counted], unigrams: Unigrams, often: int, buckets: int):
     """A block's documents to scores: each token's probability from the unigrams up to the order."""
 
-    def run(t: pa.Table) -> pa.Table:
-        docs, starts, levels = _levels(t.to_pylist()[0], counted, often, buckets, order)
-        ids, nulls, out, lengths, known, base = docs
-        p = unigrams(levels[0].r)[levels[0].gram]
-        for k, level in enumerate(levels[1:], 2):
-            d, r = counted[k].d, level.r[level.gram]
-            h = level.history
-            weight = backoff(level.c, level.den, level.m, level.known, d)
-            p = np.where(r > 0, discounted(r, d) / np.maximum(level.den[h], 1), weight[h] * p)
-        score = np.add.reduceat(np.log10(p), starts)
-        arrays = [pa.array(ids, pa.int64(), mask=nulls.astype(bool)), pa.array(out.astype(bool)), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)]
-        return pa.table(arrays, names=[x.split()[0] for x in _SCORES.split(", ")])
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs, starts, levels = _levels(row, counted, often, buckets, order)
+                ids, nulls, out, lengths, known, base = docs
+                p = unigrams(levels[0].r)[levels[0].gram]
+                for k, level in enumerate(levels[1:], 2):
+                    d, r = counted[k].d, level.r[level.gram]
+                    weight = backoff(level.c, level.den, level.m, level.known, d)
+                    p = np.where(r > 0, discounted(r, d) / np.maximum(level.den[level.history], 1), weight[level.history] * p)
+                score = np.add.reduceat(np.log10(p), starts)
+                arrays = [pa.array(ids, pa.int64(), mask=nulls.astype(bool)), pa.array(out.astype(bool)), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _SCORES.split(", ")])
 
     return run
 
 
 def _answered(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
-    """blocks with a list of what the buckets of all orders answered them, grouped by block."""
+    """blocks with a list of what the buckets of all orders answered them."""
+    if not answers:
+        return blocks.withColumn("answers", F.lit(None).cast("array<struct<level:int,bucket:int,answer:binary>>"))
     both = answers[0]
     for x in answers[1:]:
         both = both.unionByName(x)
     lists = both.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("level", "bucket", "answer")).alias("answers"))
-    return blocks.join(lists, "block", "left").groupBy("block")
+    return blocks.join(lists, "block", "left")
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -458,18 +528,15 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     total, types = int(stats[0]), int(stats[1])
     unigrams = Unigrams(total, [int(x) for x in stats[2:]])
     often = max(1, -(-total // FREQUENT))
-    grouped = _answered(raw.select("block", "docs", "vocabulary", "tokens"), [answers])
-    blocks = common.stored(grouped.applyInArrow(common.lean(_numbered(word_buckets, total, types)), _NUMBERED), "numbered")
+    asked = _answered(raw.select("block", "docs", "vocabulary", "tokens"), [answers]).groupBy("block")
+    blocks = common.stored(asked.applyInArrow(common.lean(_numbered(word_buckets, total, types)), _NUMBERED), "numbered")
     common.drop(raw, answers)
     counted = [Counted() for _ in range(order + 1)]
-    answers_ = []
+    orders: list[DataFrame] = []
     for k in range(2, order + 1):
-        grouped = _answered(blocks, answers_) if answers_ else blocks.withColumn("answers", F.lit(None).cast("array<struct<level:int,bucket:int,answer:binary>>")).groupBy("block")
-        grams = grouped.applyInArrow(common.lean(_deal(k, counted, often, buckets)), _GRAMS)
-        answers_.append(common.stored(grams.groupBy("bucket").applyInArrow(common.lean(_count(k, counted, unigrams, often)), _ANSWERS), f"order{k}"))
-        for x in answers_[-1].where("block IS NULL").select("answer").toLocalIterator():
+        grams = _answered(blocks, orders).mapInArrow(common.lean(_deal(k, counted, often, buckets)), _GRAMS)
+        orders.append(common.stored(grams.groupBy("bucket").applyInArrow(common.lean(_count(k, counted, unigrams, often)), _ANSWERS), f"order{k}"))
+        for x in orders[-1].where("block IS NULL").select("answer").toLocalIterator():
             counted[k].add(x.answer)
-    if not answers_:
-        answers_ = [blocks.select("block", F.lit(1).alias("level"), F.lit(0).alias("bucket"), F.lit(b"").alias("answer"))]
-    scored = _answered(blocks, answers_).applyInArrow(common.lean(_evaluate(order, counted, unigrams, often, buckets)), _SCORES)
+    scored = _answered(blocks, orders).mapInArrow(common.lean(_evaluate(order, counted, unigrams, often, buckets)), _SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
