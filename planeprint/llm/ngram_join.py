@@ -38,11 +38,12 @@ LOCAL_FREQUENT = 8
 MOST_FREQUENT = 1 << 17
 #: Shingles of documents for a bucket (an eighth to a quarter are in prefixes), least number of buckets, and documents
 #: of a tile that meet at once in the first round.
-BUCKET_SHINGLES = 5_000_000
+BUCKET_SHINGLES = 2_000_000
 LEAST_BUCKETS = 24
 BLOCK = 1024
-#: Bits of a bitmap for each shingle: at 4, differing shingles rarely fall on each other and the bound is close.
-WIDER = 4
+#: Bits of a bitmap for each shingle, rounded up. Unlike sets then differ in about half of them, those that may link in less
+#: than a third; more bits cost bytes in every bucket and spare little.
+WIDER = 1
 
 
 def overlap_least(n: int, num: int, den: int) -> int:
@@ -248,7 +249,7 @@ def _tiles(num: int, den: int, mode: str):
             c, sizes = comp[r], n[r]
             if (c == c[0]).all() or not f.any():
                 continue
-            # each smaller set i meets the larger ones of its band; sizes ascend
+            # a set meets the larger ones of its band, if the shingle is in its shorter prefix; sizes ascend
             ends = np.searchsorted(sizes, (den * sizes) // num, "right")
             words = width[r]
             matrix: dict[int, np.ndarray] = {}
@@ -263,51 +264,55 @@ def _tiles(num: int, den: int, mode: str):
                         matrix[w][k] = folded(bits[r[k]], w)
                 return matrix[w]
 
-            def meet(i: int, lo: int, hi: int) -> bool:
-                if hi <= lo:
-                    return False
-                m = at_width(int(words[i]))
-                most = bound(int(sizes[i]), m[i], sizes[lo:hi], m[lo:hi])
-                ok = np.flatnonzero(enough(most, sizes[i], sizes[lo:hi], num, den) & (c[lo:hi] != c[i]))
-                if not len(ok):
-                    return False
-                live[r[i]] = True
-                live[r[lo:hi][ok]] = True
-                if mode == "all":
-                    pick = ok
-                else:
-                    score = most[ok] / (sizes[i] + sizes[lo:hi][ok] - most[ok])
-                    if mode in ("block", "near"):
-                        pick = ok[np.argsort(-score, kind="stable")[:1]]
+            def meet(i: int, js: np.ndarray) -> bool:
+                """Set i with sets js, all smaller or all larger, of its band and of other components."""
+                hit = False
+                for w in np.unique(np.minimum(words[i], words[js])).tolist():
+                    own = js[np.minimum(words[i], words[js]) == w]
+                    m = at_width(w)
+                    most = bound(int(sizes[i]), m[i], sizes[own], m[own])
+                    ok = np.flatnonzero(enough(most, sizes[i], sizes[own], num, den))
+                    if not len(ok):
+                        continue
+                    hit = True
+                    live[r[i]] = True
+                    live[r[own[ok]]] = True
+                    score = most[ok] / (sizes[i] + sizes[own[ok]] - most[ok])
+                    if mode == "all":
+                        pick = np.arange(len(ok))
+                    elif mode == "best":
+                        ranked = np.lexsort((-score, c[own[ok]]))
+                        pick = ranked[np.concatenate([[True], np.diff(c[own[ok]][ranked]) != 0])]
                     else:
-                        ranked = ok[np.lexsort((-score, c[lo:hi][ok]))]
-                        pick = ranked[np.concatenate([[True], np.diff(c[lo:hi][ranked]) != 0])]
-                for k in pick.tolist():
-                    over = int(most[k])
-                    offer(int(r[i]), int(r[lo + k]), over / int(sizes[i] + sizes[lo + k] - over))
-                return True
-
-            for i in np.flatnonzero(f).tolist():
-                hi = int(ends[i])
-                near = min(hi, (i // BLOCK + 1) * BLOCK) if mode == "block" else hi
-                if not meet(i, i + 1, near) and near < hi:
-                    meet(i, near, hi)
-            if mode == "block":  # sets that no smaller one chose, or met, look for a smaller one themselves
-                begins = np.searchsorted(sizes, -(-num * sizes // den))
+                        pick = [int(score.argmax())]
+                    for k in pick:
+                        offer(int(r[i]), int(r[own[ok[k]]]), float(score[k]))
+                return hit
+
+            def others(i: int, lo: int, hi: int) -> np.ndarray:
+                return lo + np.flatnonzero(c[lo:hi] != c[i])
+
+            begins = np.searchsorted(sizes, -(-num * sizes // den))
+            if mode == "block":
+                for i in np.flatnonzero(f).tolist():
+                    hi = int(ends[i])
+                    near = min(hi, (i // BLOCK + 1) * BLOCK)
+                    if not meet(i, others(i, i + 1, near)) and near < hi:
+                        meet(i, others(i, near, hi))
+                # sets that no smaller one chose, or met, look for a smaller one themselves
                 for j in range(1, len(r)):
-                    if (int(r[j]), 0) in best:
-                        continue
-                    for w in np.unique(words[begins[j] : j]).tolist():
-                        own = np.flatnonzero(f[begins[j] : j] & (words[begins[j] : j] == w) & (c[begins[j] : j] != c[j])) + begins[j]
-                        if not len(own):
-                            continue
-                        m = at_width(int(w))
-                        most = bound(int(sizes[j]), m[j], sizes[own], m[own])
-                        ok = np.flatnonzero(enough(most, sizes[j], sizes[own], num, den))
-                        if len(ok):
-                            score = most[ok] / (sizes[j] + sizes[own][ok] - most[ok])
-                            k = int(score.argmax())
-                            offer(int(r[own[ok[k]]]), int(r[j]), float(score[k]))
+                    if (int(r[j]), 0) not in best:
+                        own = others(j, int(begins[j]), j)
+                        meet(j, own[f[own]])
+            else:
+                # sets of the tile's largest component meet those of others only, which then look both ways
+                number = np.unique(c, return_inverse=True)[1]
+                large = int(np.bincount(number).argmax())
+                in_large = np.flatnonzero((number == large) & f)
+                for i in np.flatnonzero(number != large).tolist():
+                    if f[i]:
+                        meet(i, others(i, i + 1, int(ends[i])))
+                    meet(i, in_large[np.searchsorted(in_large, begins[i]) : np.searchsorted(in_large, i)])
         keys = t["key"].combine_chunks()
         found = list({(a, b): s for s, a, b in best.values()}.items())
         own = t["component"].combine_chunks()
