@@ -12,7 +12,7 @@ counts after h are above 5, as nothing would be left otherwise. Each distributio
 end and the unknown word. Orders up to ORDER are counted one after the other, and a token is evaluated from the
 unigrams up.
 
-Nothing of the corpus' size is in one place. Texts become blocks of about a million tokens:
+Nothing of the corpus' size is in one place. Texts become blocks of about half a million tokens:
 
 1. The blocks' words are dealt out by hash, counted and numbered, frequent words low; each block gets its words' counts
    and numbers. Numbers are exact: from here on no words are told apart by hashes.
@@ -44,7 +44,7 @@ ORDER = 3
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a block, n-grams of a bucket, words of a bucket of words.
-BLOCK_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 1_000_000, 1_000_000, 1_000_000
+BLOCK_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 500_000, 1_000_000, 1_000_000
 #: What has 1 / FREQUENT of all tokens is dealt out by one word more. This changes no result.
 FREQUENT = 1000
 END = np.uint64(0x5BD1E9955BD1E995)

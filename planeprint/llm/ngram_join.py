@@ -7,15 +7,17 @@ sets is 0.75 or more; the result gives each document the smallest id that it rea
    Two linked documents then share a shingle among the first quarter of each set (prefix filter, Chaudhuri et al.
    2006, Xiao et al. 2008), and the smaller of them among the first seventh.
 2. These prefixes are dealt out to buckets by hash. The documents of one prefix shingle, sorted by size, are a tile;
-   a document's band of sizes there is 3/4 to 4/3 of its own. Tiles in which no two documents can link are dropped.
+   a document's band of sizes there is 3/4 to 4/3 of its own, and less if the shingle comes late in its order: of two
+   linked documents' common shingles the first leaves room for all others behind it (positional filter). Documents
+   without a possible partner leave the tile.
 3. In a tile, documents of different components meet as bitmaps: bit h mod width is the parity of the shingles there.
    Different bits are at most the size of the symmetric difference, which bounds the overlap from above (Sandes et
    al. 2020). Only the best partner of each document goes on.
-4. What the bound lets through is decided by intersecting the two sorted arrays.
-5. Verified links are united to components, and 3 and 4 are repeated for documents in different components, later
-   with all partners, until no pair is left that the bound lets through. Sets without a partner in another component
-   leave, so rounds get smaller. Every link then lies within a component, while neither pairs within a component nor
-   copies of a set are ever expanded.
+4. What the bound lets through is decided by intersecting the two sorted arrays. Verified links are united to components.
+5. A first round takes the LEAD first shingles of each order, where most links show. From then on only those members of
+   all tiles count that have a possible partner in another component, so that bitmaps of a large group aren't sent to each of
+   its tiles. 3 and 4 are repeated, later with all partners, until no pair is left that the bound lets through. Every
+   link then lies within a component, while neither pairs within a component nor copies of a set are ever expanded.
 
 Null or empty text: empty set, linked with nothing. Null id: takes part, its result is under a null id.
 Rows that repeat an id with other text are not linked by it. Other columns are ignored.
@@ -41,6 +43,8 @@ MOST_FREQUENT = 1 << 17
 BUCKET_SHINGLES = 2_000_000
 LEAST_BUCKETS = 24
 BLOCK = 1024
+#: Shingles of each order that the first round takes. This changes no result.
+LEAD = 4
 #: Bits of a bitmap for each shingle, rounded up. Unlike sets then differ in about half of them, those that may link in less
 #: than a third; more bits cost bytes in every bucket and spare little.
 WIDER = 1
@@ -57,6 +61,16 @@ def prefix_lengths(n: int, num: int = 75, den: int = 100) -> tuple[int, int]:
     return n - overlap_least(n, num, den) + 1, n - overlap_least(n, 2 * num, den + num) + 1
 
 
+def step_of(n, num: int = 75, den: int = 100):
+    """What places in the prefix of a set of n are divided by, and rounded down, to fit a byte."""
+    return np.maximum(1, -(-(n - -(-n * num // den) + 1) // 256))
+
+
+def reach_of(n: np.ndarray, place: np.ndarray, num: int = 75, den: int = 100) -> np.ndarray:
+    """The largest set that a set of n can link with if their first common shingle is at this place (by step_of)."""
+    return (n - place * step_of(n, num, den)) * (den + num) // num - n
+
+
 def width_of(n: int) -> int:
     """Bits of a set's bitmap: WIDER times its size rounded up to a power of two, 64 at least."""
     return max(64, WIDER << (n - 1).bit_length() if n > 1 else 0)
@@ -114,14 +128,14 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return np.sort(np.array([r.h for r in top.select("h").collect()], np.int64).view(np.uint64)), total
 
 
-_SIGNATURES = "doc_id long, row binary, n long, key binary, bits binary, bucket int, keys binary, sizes binary, counts binary, hashes binary, first binary"
+_SIGNATURES = "doc_id long, row binary, n long, key binary, bits binary, bucket int, keys binary, sizes binary, counts binary, hashes binary, places binary"
 
 
 def _signatures(docs: DataFrame, size: int, num: int, den: int, frequent, buckets: int) -> DataFrame:
     """Two kinds of rows. For each document doc_id, row (of docs, or null), n, key (128 bits of its set) and, for the first of equal sets of a
     batch of a task, bits. For each bucket that the prefixes of a batch reach: keys and sizes of the sets, counts of
-    their prefix shingles there, the shingles (32 bits of their hash besides those that choose the bucket), and marks
-    of those in the shorter prefix."""
+    their prefix shingles there, the shingles (32 bits of their hash besides those that choose the bucket), and their
+    places in the set's order, divided by step_of()."""
     types = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), *(pa.binary(),) * 5)
     names = [x.split()[0] for x in _SIGNATURES.split(", ")]
 
@@ -139,23 +153,23 @@ def _signatures(docs: DataFrame, size: int, num: int, den: int, frequent, bucket
                     continue
                 seen.add(key)
                 rows.append((ids[i], own_rows[i], len(s), key, bitmap(s).tobytes(), None, None, None, None, None, None))
-                probe, index = prefix_lengths(len(s), num, den)
+                probe, _ = prefix_lengths(len(s), num, den)
                 if len(last):
                     at = np.searchsorted(last, s)
                     at[at == len(last)] = 0
                     often = last[at] == s
                     s = np.concatenate([s[~often], s[often]])
-                fresh.append((key, len(s), s[:probe], index))
+                fresh.append((key, len(s), s[:probe]))
             if fresh:
                 h = np.concatenate([x[2] for x in fresh])
                 who = np.repeat(np.arange(len(fresh)), [len(x[2]) for x in fresh])
-                first = np.concatenate([np.arange(len(x[2])) < x[3] for x in fresh])
+                places = np.concatenate([np.arange(len(x[2])) // step_of(x[1], num, den) for x in fresh]).astype(np.uint8)
                 to = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 keys, sizes = np.array([x[0] for x in fresh], "V16"), np.array([x[1] for x in fresh], np.int32)
                 for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
                     own, counts = np.unique(who[part], return_counts=True)
-                    rows.append((None, None, None, None, None, int(to[part[0]]), keys[own].tobytes(), sizes[own].tobytes(), counts.astype(np.int32).tobytes(), h[part].astype(np.uint32).tobytes(), np.packbits(first[part]).tobytes()))
+                    rows.append((None, None, None, None, None, int(to[part[0]]), keys[own].tobytes(), sizes[own].tobytes(), counts.astype(np.int32).tobytes(), h[part].astype(np.uint32).tobytes(), places[part].tobytes()))
             for k in range(0, len(rows), common.ARROW_ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + common.ARROW_ROWS]), types)], names=names)
 
@@ -163,47 +177,87 @@ def _signatures(docs: DataFrame, size: int, num: int, den: int, frequent, bucket
     return docs.select(F.col("doc_id").cast("long"), "text", row).mapInArrow(common.lean(run), _SIGNATURES)
 
 
-_MEMBERS = "bucket int, key binary, n long, hashes binary, first binary"
-
-
-def _reduce(num: int, den: int):
+_MEMBERS = "lead boolean, bucket int, key binary, n long, hashes binary, places binary"
+#: Up to this many neighbours by size are looked at one by one for a possible partner in a tile.
+NEIGHBOURS = 8
+
+
+def _partnered(h: np.ndarray, n: np.ndarray, reach: np.ndarray, comp: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Marks of the prefix shingles (hash, size and reach of their set, component) whose tile may hold a partner."""
+    order = np.lexsort((n, h))
+    ho, no, reach, comp = h[order], n[order], reach[order], comp[order]
+    near = np.zeros(len(order), bool)
+    for d in range(1, min(NEIGHBOURS, len(order) - 1) + 1):
+        fits = (ho[d:] == ho[:-d]) & (no[d:] <= reach[:-d]) & (no[:-d] <= reach[d:]) & (comp[d:] != comp[:-d])
+        near[d:] |= fits
+        near[:-d] |= fits
+    cuts = np.flatnonzero(np.diff(ho)) + 1
+    first, last = np.concatenate([[0], cuts]), np.append(cuts, len(ho))
+    for k in np.flatnonzero(last - first > NEIGHBOURS + 1).tolist():  # in wider tiles, whoever has one of another component in its band
+        a, b = first[k], last[k]
+        number = np.unique(comp[a:b], return_inverse=True)[1]
+        rest = number != np.bincount(number).argmax()
+        sizes, others = no[a:b], no[a:b][rest]  # those of all components but the largest
+        low, high = np.searchsorted(others, -(-num * sizes // den)), np.searchsorted(others, reach[a:b], "right")
+        # a member of these finds at least itself; if it finds no other one there may still be one of the largest
+        near[a:b] |= (high > low) | rest
+    out = np.zeros(len(order), bool)
+    out[order] = near
+    return out
+
+
+def _members(t_bucket: int, lead: bool, keys, sizes, rows: np.ndarray, h: np.ndarray, places: np.ndarray) -> pa.Table:
+    """The members of a bucket by row: key, size, hashes and places of what is kept. rows must ascend."""
+    parts = np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows)) + 1) if len(rows) else []
+    ids = [int(rows[p[0]]) for p in parts]
+    columns = ([lead] * len(ids), [t_bucket] * len(ids), [bytes(keys[i]) for i in ids], [int(sizes[i]) for i in ids], [h[p].tobytes() for p in parts], [places[p].tobytes() for p in parts])
+    types = (pa.bool_(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table([pa.array(x, k) for x, k in zip(columns, types)], names=["lead", "bucket", "key", "n", "hashes", "places"])
+
+
+def _reduce(num: int, den: int, leads: int):
     def run(t: pa.Table) -> pa.Table:
-        """Of a bucket, the sets and shingles that share a tile with another set of their band of sizes."""
+        """Of a bucket, the sets and shingles that share a tile with another set of their band of sizes: those among the
+        first ones of the orders, and all."""
 
         def joined(name: str, kind) -> np.ndarray:
             return np.frombuffer(b"".join(t[name].to_pylist()), kind)
 
-        keys, sizes, counts, h = joined("keys", "V16"), joined("sizes", np.int32), joined("counts", np.int32), joined("hashes", np.uint32)
-        first = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(x) // 4) for f, x in zip(t["first"].to_pylist(), t["hashes"].to_pylist())]).astype(bool)
+        keys, sizes, counts, h, places = joined("keys", "V16"), joined("sizes", np.int32), joined("counts", np.int32), joined("hashes", np.uint32), joined("places", np.uint8)
         lead = np.zeros(len(keys), bool)  # equal sets of several tasks once
         lead[list({k: i for i, k in enumerate(keys.tolist())}.values())] = True
         rows = np.repeat(np.arange(len(keys)), counts)
-        use = np.flatnonzero(lead[rows])
-        order = use[np.lexsort((sizes[rows[use]], h[use]))]
-        ho, no, fo = h[order], sizes[rows[order]].astype(np.int64), first[order]
-        near = np.zeros(len(order) + 1, bool)
-        if len(order) > 1:
-            near[1:-1] = (ho[1:] == ho[:-1]) & (den * no[:-1] >= num * no[1:])
-        kept = np.sort(order[(near[:-1] | near[1:]) & _tile_has_first(ho, fo)])
-        parts = np.split(kept, np.flatnonzero(np.diff(rows[kept])) + 1) if len(kept) else []
-        ids = [int(rows[p[0]]) for p in parts]
-        return pa.table([pa.array([t["bucket"][0].as_py()] * len(ids), pa.int32()), pa.array([keys[i].tobytes() for i in ids], pa.binary()), pa.array(sizes[ids].astype(np.int64) if ids else [], pa.int64()), pa.array([h[p].tobytes() for p in parts], pa.binary()), pa.array([first[p].astype(np.uint8).tobytes() for p in parts], pa.binary())], names=["bucket", "key", "n", "hashes", "first"])
+        out = []
+        for first in (True, False):
+            use = np.flatnonzero(lead[rows] & (places < leads) if first else lead[rows])
+            n = sizes[rows[use]].astype(np.int64)
+            use = use[_partnered(h[use], n, reach_of(n, places[use].astype(np.int64), num, den), rows[use], num, den)]
+            out.append(_members(t["bucket"][0].as_py(), first, keys, sizes, rows[use], h[use], places[use]))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _flat(t: pa.Table):
-    """(row, hash, mark) of every prefix shingle of a bucket's members."""
-    at, raw = vectext.buffers(t["hashes"].combine_chunks())
-    return np.repeat(np.arange(t.num_rows), np.diff(at) // 4), np.frombuffer(raw.tobytes(), np.uint32), vectext.buffers(t["first"].combine_chunks())[1].astype(bool)
+def _open(num: int, den: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Of a bucket, the members and shingles that share a tile with a possible partner in another component."""
+        t = t.combine_chunks()
+        rows, h, reach = _flat(t, num, den)
+        comp = np.unique(np.array(t["component"].to_pylist(), object), return_inverse=True)[1]
+        n = t["n"].to_numpy()
+        keep = _partnered(h, n[rows], reach, comp[rows], num, den)
+        places = vectext.buffers(t["places"].combine_chunks())[1]
+        return _members(t["bucket"][0].as_py(), False, t["key"].to_pylist(), n, rows[keep], h[keep], places[keep])
+
+    return run
 
 
-def _tile_has_first(ho: np.ndarray, fo: np.ndarray) -> np.ndarray:
-    """Of sorted hashes, whether the tile has a set with the shingle in its shorter prefix."""
-    if not len(ho):
-        return np.zeros(0, bool)
-    tile = np.concatenate([[0], np.cumsum(ho[1:] != ho[:-1])])
-    return (np.bincount(tile, fo) > 0)[tile]
+def _flat(t: pa.Table, num: int, den: int):
+    """(row, hash, reach) of every prefix shingle of a bucket's members."""
+    at, raw = vectext.buffers(t["hashes"].combine_chunks())
+    rows = np.repeat(np.arange(t.num_rows), np.diff(at) // 4)
+    places = vectext.buffers(t["places"].combine_chunks())[1].astype(np.int64)
+    return rows, np.frombuffer(raw.tobytes(), np.uint32), reach_of(t["n"].to_numpy()[rows], places, num, den)
 
 
 _PAIRS = "a binary, b binary, score double, a_part binary, b_part binary"
@@ -219,7 +273,7 @@ def _tiles(num: int, den: int, mode: str):
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        rows, h, first = _flat(t)
+        rows, h, reaches = _flat(t, num, den)
         n = t["n"].to_numpy()
         parts, comp = np.unique(np.array(t["component"].to_pylist(), object), return_inverse=True)
         width = np.array([width_of(int(x)) // 64 for x in n])
@@ -241,16 +295,16 @@ def _tiles(num: int, den: int, mode: str):
                     best[slot] = (score, a, b)
 
         for part in np.split(order, cuts) if len(order) else []:
-            r, f = rows[part], first[part]
-            same = r.tobytes() + f.tobytes()
+            r, reach = rows[part], reaches[part]
+            same = r.tobytes() + reach.tobytes()
             if len(r) < 2 or same in done:
                 continue
             done.add(same)
             c, sizes = comp[r], n[r]
-            if (c == c[0]).all() or not f.any():
+            if (c == c[0]).all():
                 continue
-            # a set meets the larger ones of its band, if the shingle is in its shorter prefix; sizes ascend
-            ends = np.searchsorted(sizes, (den * sizes) // num, "right")
+            # a set meets the larger ones within its reach that reach it; sizes ascend
+            ends = np.searchsorted(sizes, reach, "right")
             words = width[r]
             matrix: dict[int, np.ndarray] = {}
 
@@ -289,30 +343,30 @@ def _tiles(num: int, den: int, mode: str):
                         offer(int(r[i]), int(r[own[ok[k]]]), float(score[k]))
                 return hit
 
-            def others(i: int, lo: int, hi: int) -> np.ndarray:
-                return lo + np.flatnonzero(c[lo:hi] != c[i])
+            def larger(i: int, lo: int, hi: int) -> np.ndarray:
+                return lo + np.flatnonzero((c[lo:hi] != c[i]) & (reach[lo:hi] >= sizes[i]))
 
             begins = np.searchsorted(sizes, -(-num * sizes // den))
             if mode == "block":
-                for i in np.flatnonzero(f).tolist():
+                for i in np.flatnonzero(ends > np.arange(1, len(r) + 1)).tolist():
                     hi = int(ends[i])
                     near = min(hi, (i // BLOCK + 1) * BLOCK)
-                    if not meet(i, others(i, i + 1, near)) and near < hi:
-                        meet(i, others(i, near, hi))
+                    if not meet(i, larger(i, i + 1, near)) and near < hi:
+                        meet(i, larger(i, near, hi))
                 # sets that no smaller one chose, or met, look for a smaller one themselves
                 for j in range(1, len(r)):
                     if (int(r[j]), 0) not in best:
-                        own = others(j, int(begins[j]), j)
-                        meet(j, own[f[own]])
+                        own = int(begins[j]) + np.flatnonzero((c[begins[j] : j] != c[j]) & (reach[begins[j] : j] >= sizes[j]))
+                        meet(j, own[sizes[own] <= reach[j]])
             else:
                 # sets of the tile's largest component meet those of others only, which then look both ways
                 number = np.unique(c, return_inverse=True)[1]
                 large = int(np.bincount(number).argmax())
-                in_large = np.flatnonzero((number == large) & f)
+                in_large = np.flatnonzero(number == large)
                 for i in np.flatnonzero(number != large).tolist():
-                    if f[i]:
-                        meet(i, others(i, i + 1, int(ends[i])))
-                    meet(i, in_large[np.searchsorted(in_large, begins[i]) : np.searchsorted(in_large, i)])
+                    meet(i, larger(i, i + 1, max(i + 1, int(ends[i]))))
+                    own = in_large[np.searchsorted(in_large, begins[i]) : np.searchsorted(in_large, i)]
+                    meet(i, own[(reach[own] >= sizes[i]) & (sizes[own] <= reach[i])])
         keys = t["key"].combine_chunks()
         found = list({(a, b): s for s, a, b in best.values()}.items())
         own = t["component"].combine_chunks()
@@ -373,18 +427,27 @@ def _linked(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     frequent = spark.sparkContext.broadcast(top)
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_SHINGLES))
     signatures = common.stored(_signatures(docs, size, num, den, frequent, buckets), "signatures")
-    dealt = signatures.where("bucket IS NOT NULL").select("bucket", "keys", "sizes", "counts", "hashes", "first")
+    dealt = signatures.where("bucket IS NOT NULL").select("bucket", "keys", "sizes", "counts", "hashes", "places")
     signatures = signatures.where("bucket IS NULL").select("doc_id", "row", "n", "key", "bits")
-    members = common.stored(dealt.groupBy("bucket").applyInArrow(common.lean(_reduce(num, den)), _MEMBERS), "members")
-    bits = signatures.where("bits IS NOT NULL").select("key", "bits")
-    bits = common.keep_filtered(bits, common.key_filter(members)).groupBy("key").agg(F.first("bits").alias("bits"))
-
-    links = tried = sets = parts = None
+    all_members = common.stored(dealt.groupBy("bucket").applyInArrow(common.lean(_reduce(num, den, LEAD)), _MEMBERS), "members")
+    all_bits = signatures.where("bits IS NOT NULL").select("key", "bits")
+
+    def with_part(rows: DataFrame) -> DataFrame:
+        if parts is None:
+            return rows.withColumn("component", F.col("key"))
+        rows = rows.join(parts.withColumnRenamed("node", "key"), "key", "left")
+        return rows.withColumn("component", F.coalesce("component", "key"))
+
+    def bits_of(rows: DataFrame) -> DataFrame:
+        bits = common.keep_filtered(all_bits, common.key_filter(rows)).groupBy("key").agg(F.first("bits").alias("bits"))
+        return common.stored(bits, "bits")
+
+    links = tried = parts = sets = None
+    members = all_members.where("lead")
+    bits = bits_of(members)
     mode = "block"
     while True:
-        tiles = members.join(bits, "key")
-        tiles = tiles.join(parts.withColumnRenamed("node", "key"), "key", "left") if parts is not None else tiles.withColumn("component", F.col("key"))
-        tiles = tiles.select("bucket", "key", "n", "hashes", "first", "bits", F.coalesce("component", "key").alias("component"))
+        tiles = with_part(members.join(bits, "key")).select("bucket", "key", "n", "hashes", "places", "bits", "component")
         found = tiles.groupBy("bucket").applyInArrow(common.lean(_tiles(num, den, mode)), _PAIRS)
         if mode != "block":
             found = common.stored(found, "met")
@@ -393,6 +456,8 @@ def _linked(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 break
             live = common.key_filter(live)
             members, bits = (common.stored(common.keep_filtered(x, live), name) for x, name in ((members, "members"), (bits, "bits")))
+            if sets is None:  # whoever may still have a partner has one by its bitmap
+                sets = common.stored(_sets(docs, bits, size), "sets")
             found = found.where("b IS NOT NULL")
         if mode != "all":  # over all buckets, each set's best partner; then that in each other component
             if tried is not None:
@@ -404,30 +469,26 @@ def _linked(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         else:
             found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = common.stored(found.select("a", "b").distinct(), "pairs")
-        if not found.limit(1).count():
-            if mode in ("near", "best"):
-                mode = {"near": "best", "best": "all"}[mode]  # those of each bucket have been tried: now what is left
-                continue
-            break
-        keys = found.select(F.explode(F.array("a", "b")).alias("key"))
-        if mode == "block":  # whoever may have a partner at all has met one just now: the others are done
-            met = common.key_filter(keys)
-            members, bits = (common.stored(common.keep_filtered(x, met), name) for x, name in ((members, "members"), (bits, "bits")))
-            sets = wanted = common.stored(_sets(docs, keys, size), "sets")
-        else:
-            wanted = common.keep_filtered(sets, common.key_filter(keys))
-        pairs = found if tried is None else found.join(tried, ["a", "b"], "left_anti")
-        judged = common.stored(_verify(pairs, wanted, num, den), "judged")
-        tried = judged.select("a", "b") if tried is None else tried.unionByName(judged.select("a", "b"))
-        new = judged.where("links").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        if new.limit(1).count():
-            parts = common.stored(common.components(links), "parts")
-        elif mode == "all":
-            break
-        else:
-            mode = {"block": "near", "near": "best", "best": "all"}[mode]
-        mode = "near" if mode == "block" else mode  # each set's best partner halves the components, until none is new
+        new = False
+        if found.limit(1).count():
+            pairs = found if tried is None else found.join(tried, ["a", "b"], "left_anti")
+            keys = found.select(F.explode(F.array("a", "b")).alias("key"))
+            wanted = _sets(docs, keys, size) if sets is None else common.keep_filtered(sets, common.key_filter(keys))
+            judged = common.stored(_verify(pairs, wanted, num, den), "judged")
+            tried = judged.select("a", "b") if tried is None else tried.unionByName(judged.select("a", "b"))
+            linked = judged.where("links").select("a", "b")
+            links = linked if links is None else links.unionByName(linked)
+            if new := bool(linked.limit(1).count()):
+                parts = common.stored(common.components(links), "parts")
+        if mode == "block":  # now all tiles, as far as they hold several components
+            opened = with_part(all_members.where("NOT lead")).groupBy("bucket").applyInArrow(common.lean(_open(num, den)), _MEMBERS)
+            members = common.stored(opened, "members")
+            bits = bits_of(members)
+            mode = "near"
+        elif not new:
+            if mode == "all":
+                break
+            mode = {"near": "best", "best": "all"}[mode]
 
     # equal sets share a key; a key's rows are at one component
     nodes = signatures.select("doc_id", "row", "n", "key")
