@@ -206,10 +206,50 @@ def test_licenses(spark):
 def test_license_windows_out_of_order():
     """A later hit whose window begins before an earlier one's, and a notice right before a closer one."""
     found = lambda text: [(x[0], x[3]) for x in licenses.scanner(licenses.NOTICES).find(licenses.normal(text)[0])]
-    gpl = next(i for i, (label, w, k) in enumerate(licenses.NOTICES) if w == "gnu general public license")
-    assert [x for x in found("gnu genral public license gnu general public license") if x[0] == gpl] == [(gpl, 1), (gpl, 0)]
-    bounds = licenses.pieces("gnu general public license", 3)
-    assert [x for x in found(f"gnX genXral pXblic {bounds[3][1]}") if x[0] == gpl] == [(gpl, 3)]
+    free = next(i for i, (label, w, k) in enumerate(licenses.NOTICES) if w.startswith("redistribution"))
+    one = licenses.NOTICES[free][1]
+    assert [x for x in found(one.replace("binary", "binry") + " " + one) if x[0] == free] == [(free, 1), (free, 0)]
+    bounds = licenses.pieces(one, 4)
+    changed = "".join(p if i == 4 else p[:2] + "X" + p[3:] for i, (_, p) in enumerate(bounds))
+    assert [x for x in found(changed) if x[0] == free] == [(free, 4)]
+
+
+def labels_of(text):
+    return sorted({x[4] for x in licenses.scanner(licenses.NOTICES).find(licenses.normal(text)[0])})
+
+
+def test_license_names_are_exact():
+    assert labels_of("released under the MIT license") == ["mit"] and labels_of("Relesed undr the MIT licence") == ["mit"]
+    assert labels_of("released under the GPL license") == ["gpl"] and labels_of("released under the BSD license") == ["bsd"]
+    assert labels_of("released under the new license") == [] and labels_of("small rights reserved") == [] == labels_of("overall rights reserved")
+    assert labels_of("licensed under CC BY-SA 4.0") == ["cc-by-sa"] and labels_of("licensed under CC BY-ND 4.0") == ["cc-by-nd"]
+    assert labels_of("licensed under CC BY-NC-SA 4.0") == ["cc-by-nc-sa"] and labels_of("All right reserved.") == ["proprietary"]
+    assert labels_of("GNU Lesser General Public License") == ["gpl", "lgpl"]  # the base phrase stands there as well
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_license_edits_by_brute_force():
+    """A notice without fixed words is found where some run of words is within its edits, and nowhere else."""
+    rng = random.Random(9)
+    for label, wording, k in (("x", "all rights reserved", 1), ("y", "redistribution and use in source and binary forms", 4)):
+        s = licenses.Scanner(((label, wording, k),))
+        for _ in range(150):
+            w = list(wording)
+            for _ in range(rng.randrange(k + 3)):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[], ["q"], [w[at], "z"], [" "]])
+            words, _ = licenses.normal("so " + "".join(w) + " then")
+            split = words.split()
+            runs = [" ".join(split[i:j]) for i in range(len(split)) for j in range(i + 1, len(split) + 1)]
+            assert bool(s.find(words)) == any(edit_distance(r, wording) <= k for r in runs), words
 
 
 def test_hnsw(spark, monkeypatch):
