@@ -170,6 +170,9 @@ def digest(segments: DataFrame) -> DataFrame:
         if state is not None:
             yield packed([ended()])
 
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment")
+    body = F.expr(f"substring(segment, int(loss_start) + 1, char_length(segment) - int(loss_start) - {len(CLOSE) + 1})")
+    text = F.regexp_replace(body, r"\\(?:(\\)|\.)", "$1")  # unescaped: turns that repeat a number and a role go by their texts
+    ordered = segments.withColumns({"__role": F.coalesce("role", F.lit("")), "__text": text})
+    ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "__role", "__text")
     ordered = ordered.select("conv_id", "segment", "loss_start", "loss_chars", "expanded_tokens")
     return ordered.mapInArrow(common.lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, expanded_tokens long")

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SALTS = 64
+#: Least number of salts within a length, and pieces of one length and salt, about, beyond it.
+SALTS, SALTED = 64, 100_000
 #: Distinct chunks of text whose ids a Python worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 600_000, 60
 
@@ -213,9 +214,9 @@ def _wide(ids: bytes, length: int) -> bytes:
     return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(ids) == 2 * length else ids
 
 
-def _ranked(pieces: DataFrame) -> DataFrame:
+def _ranked(pieces: DataFrame, salts: int = SALTS) -> DataFrame:
     """pieces with their rank from 0 among those of the same length: a rank within a salt, and the salts' sums before."""
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key", "start"), F.lit(SALTS)))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key", "start"), F.lit(salts)))
     sums = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     sums = sums.select(F.col("length").alias("l"), F.col("salt").alias("s"), before.alias("before"))
@@ -250,10 +251,5 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end: int = 1) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (*(long,) * 3, pa.binary(), *(long,) * 3))], names=names)
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    placed = _ranked(pieces).mapInArrow(common.lean(run), schema)
+    placed = _ranked(pieces, max(SALTS, max(counts.values(), default=0) // SALTED)).mapInArrow(common.lean(run), schema)
     return placed.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
-def filled(pieces: DataFrame) -> DataFrame:
-    """sequence_id and its tokens."""
-    return pieces.groupBy("sequence_id").agg(F.sum("length").alias("tokens"))

@@ -6,6 +6,9 @@ URL is therefore looked up under each of its parent domains with each length of
 Bloom filter has blocks of 64 bits and a size that is set, not
 grown, so what is broadcast is bounded; what passes it is joined exactly, and of the rules that fit the longest wins.
 
+A list that names one rule with several verdicts gives it the first in order, so allow goes before block. An entry without
+a path means the host's root; null entries are left out.
+
 Null, relative and malformed URLs have empty host and path and fit no rule. Equal URLs are judged once. Other
 columns of the pages are ignored; ids may be null or repeat.
 """
@@ -75,7 +78,8 @@ def _may_hold(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def best_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """url, name, verdict: of each distinct url of pages the longest rule of rules(name, verdict) that fits, if any."""
-    rules = rules.select("name", "verdict").dropDuplicates(["name"])
+    name = F.when(F.instr("name", "/") == 0, F.concat("name", F.lit("/"))).otherwise(F.col("name"))
+    rules = rules.where("name IS NOT NULL").groupBy(name.alias("name")).agg(F.min("verdict").alias("verdict"))
     path_at = F.instr("name", "/")
     lengths = [r.n for r in rules.select((F.char_length("name") - path_at + 1).alias("n")).distinct().collect()]  # of paths in the list
     if not lengths:

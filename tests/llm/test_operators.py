@@ -310,6 +310,25 @@ def test_chat(spark):
     assert got[2].n_turns == 1 and got[2].loss_chars == 0 and got[None].n_turns == 1
 
 
+def test_turns_that_tie_go_by_their_texts(spark):
+    """What is escaped doesn't change their order; null role is the empty role; nothing of an empty table; clashing columns."""
+    texts = ["a", "a!", "a\\", "a<s>", "a<", "", None, "a\n", "<s>", "<a"]
+    rows = [(1, 0, role, t, "x", 5) for t in texts for role in ("user", "", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment string, loss_start long").repartition(5)
+    got = chat.digest(chat.format_messages(chat.text_messages(df))).first()
+    order = sorted((r or "", t or "") for _, _, r, t, _, _ in rows)
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in order).encode()).hexdigest()
+    assert chat.digest(chat.format_messages(chat.text_messages(df.where("false")))).count() == 0
+
+
+def test_url_lists_that_contradict_themselves(spark):
+    rules = spark.createDataFrame([("a.org/", "block"), ("a.org/", "allow"), ("b.org", "block"), (None, "block")], "name string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.org/x", "h", "r"), (2, "http://x.b.org", "h", "r"), (3, "http://x.b.org/", "h", "r")], "page_id long, url string, host string, rule string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules, rules.where("false")).collect()}
+    assert got == {1: ("a.org/", "allow"), 2: (None, "allow"), 3: ("b.org/", "block")}
+    assert urls.judge(pages.where("false"), rules, rules).count() == 0
+
+
 def test_urls(spark):
     cases = ["http://a.example.org/es/1", "https://EXAMPLE.org/en/12?x", "http://x.com/fr/1", "http://x.com/de/", "http://xcom/fr/", None, "", "no", "ftp://com", "http://org", "http://b.net/", "http://www.cheap-pills.example.com/x", "http://org/#f", "a://b://c.org/x"]
     rules = spark.createDataFrame(list(urls.RULES), "name string, verdict string")
