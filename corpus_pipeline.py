@@ -5,7 +5,7 @@ columns of documents:
 
 1. quality rules: documents that the base rules or their host's verdict reject go;
 2. n-gram Jaccard join: of each group of near duplicates one row stays, that with the smallest id;
-3. suffix-array dedup: what repeats, in strings of 400 bytes, is taken out of the texts; emptied documents go;
+3. suffix-array dedup: what repeats, in strings of 200 bytes, is taken out of the texts; emptied documents go;
 4. mixing: the documents that the weights take of 80 % of the tokens, within one epoch, whole;
 5. packing: pieces of at most 2048 tokens, their ids and their place in sequences.
 """
@@ -24,6 +24,8 @@ from planeprint.llm.queries import tokenizer_path
 
 #: Share of the tokens that reach the mixing stage which it keeps.
 MIX_SHARE = 0.8
+#: Bytes of a string that repeats: passages of over 50 words have more, and are to go as a whole.
+PASSAGE = 200
 
 
 _scratch = common.Scratch()
@@ -53,7 +55,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @owning
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix.without_repeats(docs).where(F.coalesce("text", F.lit("")) != "")
+    return suffix.without_repeats(docs, PASSAGE).where(F.coalesce("text", F.lit("")) != "")
 
 
 @owning
