@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-import heapq
 import tempfile
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Edges that one task may hold to end a cover.
+TASK_EDGES = 200_000
+
 
 def _cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the folder that the cluster shares; only a session of one machine may leave it unset."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp())
     return df.checkpoint()
 
 
@@ -39,42 +46,58 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def greedy(edges: list[tuple[int, int]]) -> list[int]:
-    """Nodes of a vertex cover: again and again the node with most uncovered edges, of equal ones the largest id."""
+def greedy(edges: Iterable[tuple[int, int]]) -> list[int]:
+    """Nodes of the cover that takes, again and again, the node with most uncovered edges, of equal ones the largest id.
+
+    The order of taking is only fixed between neighbours: a node above all of its neighbours by (open edges, id) stays
+    above them until it is taken, as open edges only get fewer. So any such node may go next."""
     near: dict[int, set[int]] = {}
     for i, j in edges:
-        near.setdefault(i, set()).add(j)
-        near.setdefault(j, set()).add(i)
-    left = {n: len(x) for n, x in near.items()}
-    heap = [(-d, -n) for n, d in left.items()]
-    heapq.heapify(heap)
-    open_, out, gone = sum(left.values()) // 2, [], set()
-    while open_ and heap:
-        d, n = heapq.heappop(heap)
-        if -n in gone or left[-n] != -d:
+        if i != j:
+            near.setdefault(i, set()).add(j)
+            near.setdefault(j, set()).add(i)
+
+    def above(n: int) -> bool:
+        own = (len(near[n]), n)
+        return bool(near[n]) and all(own > (len(near[m]), m) for m in near[n])
+
+    ready, out = [n for n in near if above(n)], []
+    while ready:
+        n = ready.pop()
+        if not near[n]:  # taken already
             continue
-        gone.add(-n)
-        out.append(-n)
-        for m in near[-n]:
-            if m not in gone and left[m]:
-                left[m] -= 1
-                open_ -= 1
-                if left[m]:
-                    heapq.heappush(heap, (-left[m], -m))
-        left[-n] = 0
+        out.append(n)
+        around, near[n] = near[n], set()
+        for m in around:
+            near[m].discard(n)
+        # only these may have come above their neighbours
+        ready += [k for k in around.union(*(near[m] for m in around)) if above(k)]
     return out
 
 
-def greedy_cover(edges: DataFrame) -> DataFrame:
-    """id of the redundant items. The greedy order within a component doesn't depend on others, so components go apart;
-    a component is one group."""
-    parts = components(edges)
-    keyed = edges.select("i", "j").join(parts, F.col("i") == F.col("id")).select("component", "i", "j")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": greedy(list(zip(pdf["i"].tolist(), pdf["j"].tolist())))}, dtype="int64")
-
-    return keyed.groupBy("component").applyInPandas(run, "id long")
+def greedy_cover(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
+    """id of the redundant items: greedy()'s cover of edges(i, j), in rounds over all nodes at once.
+
+    Each round takes every node that is above all of its neighbours, and the edges that these cover leave. What fits one
+    task ends there; so a component of any size is spread over all tasks until little of it is left. Long chains of
+    rising ids take many rounds. Null ends and loops are no edges; repeated edges are one."""
+    left = edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i IS NOT NULL AND j IS NOT NULL AND i <> j")
+    left = _cut(left.distinct())
+    taken = left.select(F.col("i").cast("long").alias("id")).where("false")
+
+    def end(batches):
+        pdf = pd.concat([*batches, pd.DataFrame({"i": [], "j": []}, dtype="int64")])
+        yield pd.DataFrame({"id": greedy(zip(pdf["i"].tolist(), pdf["j"].tolist()))}, dtype="int64")
+
+    while left.count() > most:
+        degree = degrees(left)
+        both = left.unionByName(left.select(F.col("j").alias("i"), F.col("i").alias("j")))
+        rivals = both.join(degree, both.j == degree.id).groupBy("i").agg(F.max(F.struct("degree", "j")).alias("m"))
+        won = rivals.join(degree, rivals.i == degree.id).where("degree > m.degree OR degree = m.degree AND id > m.j")
+        won = _cut(won.select(F.col("id").cast("long").alias("id")))
+        left = _cut(left.join(won, left.i == won.id, "left_anti").join(won, F.col("j") == won.id, "left_anti"))
+        taken = taken.unionByName(won)
+    return taken.unionByName(left.repartition(1).mapInPandas(end, "id long"))
 
 
 def nearest(edges: DataFrame) -> DataFrame:

@@ -154,6 +154,19 @@ def test_greedy_covers(edges):
     assert all(i in out or j in out for i, j in edges)
 
 
+def test_greedy_takes_the_largest_first():
+    """Against the definition: again and again the node with most uncovered edges, of equal ones the largest id."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        edges = {tuple(sorted(rng.choice(12, 2, replace=False).tolist())) for _ in range(rng.integers(1, 25))}
+        left, want = set(edges), set()
+        while left:
+            n = max(range(12), key=lambda k: (sum(k in e for e in left), k))
+            want.add(n)
+            left = {e for e in left if n not in e}
+        assert set(cover.greedy(edges)) == want
+
+
 def test_greedy_order():
     assert cover.greedy([(0, 1)]) == [1]
     assert cover.greedy([(0, 1), (0, 2), (1, 2)]) == [2, 1]
@@ -179,7 +192,8 @@ def test_components_and_nearest(spark):
     e = spark.createDataFrame([(0, 1, 3), (1, 2, 1), (5, 6, 2), (4, 6, 2)], "i long, j long, dist int")
     assert {tuple(r) for r in cover.components(e).collect()} == {(0, 0), (1, 0), (2, 0), (4, 4), (5, 4), (6, 4)}
     assert {tuple(r) for r in cover.nearest(e).collect()} == {(0, 1, 3), (1, 2, 1), (2, 1, 1), (4, 6, 2), (5, 6, 2), (6, 4, 2)}
-    assert {r.id for r in cover.greedy_cover(e).collect()} == {1, 6}
+    for most in (cover.TASK_EDGES, 0):
+        assert {r.id for r in cover.greedy_cover(e, most).collect()} == {1, 6}
     assert cover.components(e.where("false")).count() == 0
 
 
