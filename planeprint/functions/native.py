@@ -19,9 +19,15 @@ def basename(path: Column) -> Column:
 def median_word(block: Column) -> Column:
     """The word of 64 coefficients: the first is set to 0, bit t is whether coefficient t is above the median."""
     c = F.transform(block, lambda x, i: F.when(i == 0, F.lit(0.0)).otherwise(x.cast("double")))
-    s = F.array_sort(c)
-    mid = (F.element_at(s, 32) + F.element_at(s, 33)) / 2
-    return F.when(F.size(block) == 64, F.aggregate(F.zip_with(c, F.sequence(F.lit(0), F.lit(63)), lambda x, t: F.when(x > mid, F.call_function("shiftleft", F.lit(1).cast("long"), t)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
+
+    def word(x: Column) -> Column:
+        mid = (F.element_at(x["s"], 32) + F.element_at(x["s"], 33)) / 2
+        bits = F.zip_with(x["c"], F.sequence(F.lit(0), F.lit(63)), lambda v, t: F.when(v > mid, F.call_function("shiftleft", F.lit(1).cast("long"), t)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, v: a.bitwiseOR(v))
+
+    # an array of one, so that the sorted array is made once and not for each coefficient
+    once = F.array(F.struct(c.alias("c"), F.array_sort(c).alias("s")))
+    return F.when(F.size(block) == 64, F.get(F.transform(once, word), F.lit(0)))
 
 
 def hash_hex(w0: Column, w1: Column, bits: int, kind: str = "lossless") -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import native
+from ..operators import similar
 from ..operators.hashing import compute_hashes
 from ..options import HashOptions
 
@@ -15,8 +16,12 @@ def hash_stream(spark: SparkSession, folder: str, schema: str, options: HashOpti
     return compute_hashes(spark.readStream.schema(schema).parquet(folder), options)
 
 
-def store_and_match(hashes: DataFrame, store: str, matches: str, checkpoint: str, threshold: int = 5, key: str = "path"):
-    """Starts a query that writes each batch's hashes to store and its pairs with stored ones, and within it, to matches."""
+def store_and_match(hashes: DataFrame, store: str, matches: str, checkpoint: str, threshold: int = 5, key: str = "path", bits: int = 64):
+    """Starts a query that writes each batch's hashes to store and its pairs with stored ones, and within it, to matches.
+
+    Pairs meet by chunks of the live bits alone: hashes of bits bits that differ in fewer than threshold agree in one."""
+    if threshold > similar.CHUNKED:
+        raise ValueError(f"the stream's join takes thresholds up to {similar.CHUNKED}")
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
@@ -29,12 +34,9 @@ def store_and_match(hashes: DataFrame, store: str, matches: str, checkpoint: str
                 raise
             return
         new = spark.read.schema(df.schema).parquet(f"{store}/batch={number}")
-        parts = [(16 * k, 16) for k in range(4)]
-        if threshold > 2 * len(parts):
-            raise ValueError("the stream's join takes thresholds up to 8")
-        cut = lambda w: [F.shiftrightunsigned(w, a).bitwiseAND(F.lit(65535).cast("long")) for a, _ in parts]
-        x = new.select("*", F.posexplode(F.array(*cut(F.col("w0")), *cut(F.col("w1")))).alias("k", "c"))
-        y = old.select("*", F.posexplode(F.array(*cut(F.col("o0")), *cut(F.col("o1")))).alias("k", "c"))
+        cut = F.posexplode(F.array(*(similar._chunk(a, n) for a, n in similar.chunks(bits, max(1, min(threshold, bits)))))).alias("k", "c")
+        x = new.select("*", cut)
+        y = old.select("old", F.col("o0").alias("w0"), F.col("o1").alias("w1"), "batch").select("*", cut).withColumnsRenamed({"w0": "o0", "w1": "o1"})
         dist = native.hamming(F.col("w0"), F.col("o0"), F.col("w1"), F.col("o1")).cast("int")
         pairs = x.join(y, ["k", "c"]).where((F.col("batch") < number) | (F.col("old") < F.col(key))).withColumn("dist", dist)
         pairs.where(F.col("dist") < threshold).select(key, "old", "dist").distinct().write.mode("overwrite").parquet(f"{matches}/batch={number}")
