@@ -90,15 +90,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     if (owner := _owner.get()) is not None:
         owner.paths.append((spark, path))
-    # shuffle files of finished jobs go when the driver's references to them are collected; a long chain of jobs
-    # would otherwise keep all of them on the executors' disks
-    gc.collect()
-    spark._jvm.System.gc()
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets shuffle files of finished jobs go, which they do when the driver's references to them are collected; a long
+    chain of jobs would otherwise keep all of them on the executors' disks.
+
+    Spark's listener threads hold the last query that ended, shuffles included, until another one does: an empty one."""
+    spark.sql("SELECT 1").collect()
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that stored() returned and that no result which is still to be computed reads."""
     for t in tables:
