@@ -47,8 +47,6 @@ DISCOUNTED = 5
 BLOCK_TOKENS, BUCKET_TOKENS, BUCKET_WORDS = 500_000, 1_000_000, 1_000_000
 #: What has 1 / FREQUENT of all tokens is dealt out by one word more. This changes no result.
 FREQUENT = 1000
-#: Orders above 2 are counted in so many parts of the buckets, one after the other, so that only a part is on its way.
-ROUNDS = 2
 END = np.uint64(0x5BD1E9955BD1E995)
 
 
@@ -397,8 +395,8 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _GRAMS = "block string, bucket int, grams binary"
 
 
-def _deal(order: int, counted: list[Counted], often: int, buckets: int, part: int = 0, parts: int = 1):
-    """Of a block, its n-grams of the order by bucket, those of one part of the buckets: histories' counts, their numbers of n-grams and the C of what they
+def _deal(order: int, counted: list[Counted], often: int, buckets: int):
+    """Of a block, its n-grams of the order by bucket: histories' counts, their numbers of n-grams and the C of what they
     are without their first word; the n-grams' last words, training counts and counts one order below; the histories."""
 
     def run(batches):
@@ -410,8 +408,6 @@ def _deal(order: int, counted: list[Counted], often: int, buckets: int, part: in
                 lower = _suffix(level, below)
                 rows = []
                 for p in level.parts:
-                    if level.to[p[0]] % parts != part:
-                        continue
                     hs, at, sizes = _runs(level.h[p])
                     den = risen(below.den[below.h[lower[p[at]]]]) if order > 2 else np.zeros(0, np.int64)
                     *others, last = (x[hs] for x in level.histories)
@@ -538,13 +534,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     counted = [Counted() for _ in range(order + 1)]
     orders: list[DataFrame] = []
     for k in range(2, order + 1):
-        made = []
-        for part in range(rounds := 1 if k == 2 else ROUNDS):
-            grams = _answered(blocks, orders).mapInArrow(common.lean(_deal(k, counted, often, buckets, part, rounds)), _GRAMS)
-            made.append(common.stored(grams.groupBy("bucket").applyInArrow(common.lean(_count(k, counted, unigrams, often)), _ANSWERS), f"order{k}"))
-        orders += made
-        for x in made:
-            for row in x.where("block IS NULL").select("answer").toLocalIterator():
-                counted[k].add(row.answer)
+        grams = _answered(blocks, orders).mapInArrow(common.lean(_deal(k, counted, often, buckets)), _GRAMS)
+        orders.append(common.stored(grams.groupBy("bucket").applyInArrow(common.lean(_count(k, counted, unigrams, often)), _ANSWERS), f"order{k}"))
+        for row in orders[-1].where("block IS NULL").select("answer").toLocalIterator():
+            counted[k].add(row.answer)
     scored = _answered(blocks, orders).mapInArrow(common.lean(_evaluate(order, counted, unigrams, often, buckets)), _SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
