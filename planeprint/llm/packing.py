@@ -32,7 +32,7 @@ from . import common
 #: Least number of salts within a length, and pieces of one length and salt, about, beyond it.
 SALTS, SALTED = 64, 100_000
 #: Distinct chunks of text whose ids a Python worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 600_000, 60
+REMEMBERED, LONGEST = 100_000, 60
 
 
 # --- tokens ---------------------------------------------------------------------------------------------
