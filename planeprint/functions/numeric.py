@@ -141,3 +141,24 @@ def bit_positions(tables: int, bits: int) -> list[list[int]]:
     """Sampled bits of each table: 32-bit Mersenne Twister, seed 12345, modulo 128, table by table."""
     drawn = np.random.RandomState(12345).randint(0, 2**32, size=tables * bits, dtype=np.uint32) % 128
     return drawn.reshape(tables, bits).tolist()
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray | None, threshold: int):
+    """(r, c, distance) arrays of all rows a[r], b[c] of signed words (k, 2) that differ in fewer than threshold bits, in
+    pieces; without b of the pairs r < c of a."""
+    u, v = a.view(np.uint64), (a if b is None else b).view(np.uint64)
+    wide = bool(u[:, 1].any() or v[:, 1].any())
+    u, v = np.ascontiguousarray(u.T), np.ascontiguousarray(v.T)
+    step = max(1, (1 << 17) // max(1, v.shape[1]))
+    for at in range(0, u.shape[1], step):
+        least = at if b is None else 0
+        d = np.bitwise_count(u[0, at : at + step, None] ^ v[0, None, least:])
+        if wide:
+            d += np.bitwise_count(u[1, at : at + step, None] ^ v[1, None, least:])
+        flat = np.flatnonzero(d < threshold)
+        r, c = np.divmod(flat, d.shape[1])
+        if b is None:
+            above = r < c
+            flat, r, c = flat[above], r[above], c[above]
+        if len(r):
+            yield r + at, c + least, d.ravel()[flat]

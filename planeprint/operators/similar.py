@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import native, numeric
 
-#: Beyond this threshold the chunks of the exact join are too short to tell hashes apart; blocks are compared instead.
+#: Beyond this threshold the chunks of the stream's join are too short to tell hashes apart.
 CHUNKED = 24
+#: The same for the exact join, where comparing all costs little a pair.
+SELECTIVE = 8
+#: Rows of a block, two of which are compared at once, and the least number of tasks that tiles are dealt to.
+BLOCK, TILE_TASKS = 4096, 48
 #: The original's least number of pairs that it enumerates of a bucket.
 LEAST_CAP = 10_000
 
@@ -41,36 +47,78 @@ def exact_pairs(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
     """i, j, dist of all pairs of hashes(id, w0, w1) with dist < threshold, i < j.
 
     Multi-index hashing (Norouzi et al. 2012): hashes that differ in fewer than threshold bits agree in one of threshold
-    chunks. Equal hashes are one while pairs are sought. A pair is kept by its first common chunk alone, so there is
-    nothing to deduplicate."""
+    chunks, so only hashes with a common chunk are compared, in tiles; beyond SELECTIVE all are. Bits are dealt to chunks
+    in turn, as neighbouring bits of a transform say much the same. A pair is kept by its first common chunk alone, so
+    there is nothing to deduplicate."""
     if threshold <= 0:
         return hashes.sparkSession.createDataFrame([], "i long, j long, dist int")
-    distinct = hashes.select("w0", "w1").distinct()
-    parts = chunks(bits, min(threshold, CHUNKED, bits))
-    exploded = distinct.select("w0", "w1", F.posexplode(F.array(*(_chunk(a, n) for a, n in parts))).alias("k", "c"))
-    a, b = exploded.alias("a"), exploded.alias("b")
-    before = F.col("a.w0") < F.col("b.w0")
-    ordered = before | ((F.col("a.w0") == F.col("b.w0")) & (F.col("a.w1") < F.col("b.w1")))
-    near = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.c") == F.col("b.c")) & ordered & _near("a", "b", threshold))
-    if threshold > len(parts):  # then some pairs agree in no chunk: compare all different hashes, in blocks
-        near = _blocks(distinct, threshold)
+    rows = hashes.select(F.col("id").cast("long").alias("id"), "w0", "w1").where("id IS NOT NULL AND w0 IS NOT NULL AND w1 IS NOT NULL")
+    count = min(max(threshold, -(-bits // 64)), bits)
+    if threshold > min(SELECTIVE, bits):
+        rows, parts = rows.withColumns({"k": F.lit(0), "c": F.lit(0).cast("long")}), None
     else:
-        near = near.select(F.col("a.w0").alias("a0"), F.col("a.w1").alias("a1"), F.col("b.w0").alias("b0"), F.col("b.w1").alias("b1")).distinct()
-    ids = hashes.select("id", "w0", "w1")
-    x, y = ids.toDF("x", "x0", "x1"), ids.toDF("y", "y0", "y1")
-    different = near.join(x, (F.col("a0") == F.col("x0")) & (F.col("a1") == F.col("x1"))).join(y, (F.col("b0") == F.col("y0")) & (F.col("b1") == F.col("y1")))
-    different = different.select("x", "y", native.hamming(F.col("a0"), F.col("b0"), F.col("a1"), F.col("b1")).alias("dist"))
-    same = x.join(y, (F.col("x0") == F.col("y0")) & (F.col("x1") == F.col("y1")) & (F.col("x") < F.col("y"))).select("x", "y", F.lit(0).alias("dist"))
-    return different.unionByName(same).select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.col("dist").cast("int"))
-
-
-def _blocks(distinct: DataFrame, threshold: int, n: int = 16) -> DataFrame:
-    block = distinct.withColumn("g", F.pmod(F.xxhash64("w0", "w1"), F.lit(n)))
-    left = block.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).alias("a")
-    right = block.alias("b")
-    ordered = (F.col("a.w0") < F.col("b.w0")) | ((F.col("a.w0") == F.col("b.w0")) & (F.col("a.w1") < F.col("b.w1")))
-    near = left.join(right, (F.col("a.h") == F.col("b.g")) & ordered & _near("a", "b", threshold))
-    return near.select(F.col("a.w0").alias("a0"), F.col("a.w1").alias("a1"), F.col("b.w0").alias("b0"), F.col("b.w1").alias("b1"))
+        parts = [list(range(k, bits, count)) for k in range(count)]
+        rows = rows.select("*", F.posexplode(F.array(*(native.lsh_key(F.col("w0"), F.col("w1"), p) for p in parts))).alias("k", "c"))
+    sizes = rows.groupBy("k", "c").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = rows.join(sizes, ["k", "c"]).withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int"))
+    return tiles(rows.withColumn("g", F.pmod(F.xxhash64("id", "w0"), F.col("n")).cast("int")), threshold, parts)
+
+
+def tiles(rows: DataFrame, threshold: int, parts: list[list[int]] | None = None) -> DataFrame:
+    """i, j, dist of the pairs i < j within each bucket (k, c) of rows(k, c, g, n, id, w0, w1) with dist < threshold. A
+    bucket is cut into n blocks g of about BLOCK rows; every two blocks, and each by itself, are a tile, compared at once
+    in numpy. So no bucket is too large for a task, and a hash is sent once to each tile of its block.
+
+    With parts, bit positions by k, a pair is left out that agrees in a part before k. With a column rank only pairs of
+    ranks r < s <= 2 r + 1 count."""
+    ranked = "rank" in rows.columns
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("h")
+    out = rows.select("k", "c", "g", "id", "w0", "w1", (F.col("rank") if ranked else F.lit(0)).cast("long").alias("rank"), other)
+    out = out.select("k", "c", F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y"), (F.col("g") <= F.col("h")).alias("left"), "id", "w0", "w1", "rank")
+    if ranked:  # a block has ranks from g * BLOCK
+        out = out.where((F.col("y") * BLOCK) <= 2 * (F.col("x") * BLOCK + BLOCK - 1) + 1)
+    masks = [[np.int64(sum(1 << (p % 64) for p in part if p // 64 == w) - (1 << 64 if 63 + 64 * w in part else 0)) for w in (0, 1)] for part in parts or []]
+
+    def tile(k, x, y, left, ids, words, rank):
+        a, b = (np.flatnonzero(left), np.flatnonzero(~left)) if x != y else (np.arange(len(ids)), None)
+        for r, c, d in numeric.near_pairs(words[a], None if b is None else words[b], threshold):
+            r, c = a[r], (a if b is None else b)[c]
+            keep = ids[r] != ids[c]
+            if ranked:
+                low, high = np.minimum(rank[r], rank[c]), np.maximum(rank[r], rank[c])
+                keep &= high <= 2 * low + 1
+            if k and masks:
+                differ = words[r] ^ words[c]
+                for m, n in masks[:k]:
+                    keep &= ((differ[:, 0] & m) | (differ[:, 1] & n)) != 0
+            if keep.any():
+                r, c = ids[r[keep]], ids[c[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(r, c)), pa.array(np.maximum(r, c)), pa.array(d[keep].astype(np.int32))], names=["i", "j", "dist"])
+
+    def run(batches):
+        """Tiles come one after the other; the last of a batch may go on in the next."""
+        held = None
+        for batch in batches:
+            new = [column.to_numpy(zero_copy_only=False) for column in batch.columns]
+            held = new if held is None else [np.concatenate(z) for z in zip(held, new)]
+            if not len(held[0]):
+                continue
+            cuts = np.flatnonzero(np.any([z[1:] != z[:-1] for z in held[:4]], axis=0)) + 1
+            yield from each(held, [0, *cuts.tolist()])
+            held = [z[cuts[-1] if len(cuts) else 0 :] for z in held]
+        if held is not None and len(held[0]):
+            yield from each(held, [0, len(held[0])])
+
+    def each(held, cuts):
+        k, _, x, y, left, ids, w0, w1, rank = held
+        words = np.stack([w0, w1], axis=1)
+        for s, e in zip(cuts, cuts[1:]):
+            if e - s > 1:
+                yield from tile(int(k[s]), x[s], y[s], left[s:e], ids[s:e], words[s:e], rank[s:e])
+
+    keys = ["k", "c", "x", "y"]
+    number = max(TILE_TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return out.repartition(number, *keys).sortWithinPartitions(*keys).mapInArrow(run, "i long, j long, dist int")
 
 
 def lsh_keys(hashes: DataFrame, tables: int = 32, bits: int = 8) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import math
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -140,6 +141,34 @@ def test_pairs(spark):
     assert ref <= lsh <= brute(rows, 5)
 
 
+def test_pairs_of_blocks_wide_hashes_and_repeated_ids(spark, monkeypatch):
+    """As SQL has it, i < j: two rows of one id are no pair."""
+    rng = random.Random(5)
+    base = [(rng.getrandbits(64), rng.getrandbits(57)) for _ in range(4)]
+    rows = [(5, 0, 0), (5, 1, 0)]
+    for i in range(150):
+        a, b = rng.choice(base)
+        for _ in range(rng.randrange(7)):
+            a, b = (a ^ 1 << rng.randrange(64), b) if rng.random() < 0.5 else (a, b ^ 1 << rng.randrange(57))
+        rows.append((i, signed(a), b))
+    df = spark.createDataFrame([*rows, (None, 0, 0), (999, None, 0)], "id long, w0 long, w1 long")
+    monkeypatch.setattr(similar, "BLOCK", 20)
+    for tau in (1, 5, 9):
+        want = sorted(x for x in ((*sorted((p[0], q[0])), ((p[1] ^ q[1]) & (2**64 - 1)).bit_count(), (p[2] ^ q[2]).bit_count()) for p, q in itertools.combinations(rows, 2)) if x[0] < x[1] and x[2] + x[3] < tau)
+        assert sorted(tuple(r) for r in similar.exact_pairs(df, tau, 121).collect()) == [(i, j, c + d) for i, j, c, d in want]
+
+
+def test_pairs_of_many_hashes(spark):
+    """All 450 million pairs of 30000 hashes are compared: rows of a join took minutes for that."""
+    w = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 30_000)
+    df = spark.createDataFrame(list(zip(range(30_000), w.tolist())), "id long, w0 long").withColumn("w1", F.lit(0).cast("long"))
+    began = time.time()
+    got = similar.exact_pairs(df, 18).count()
+    assert time.time() - began < 40
+    u = w.view(np.uint64)
+    assert got == sum(int((np.bitwise_count(u[i] ^ u[i + 1 :]) < 18).sum()) for i in range(len(u)))
+
+
 def test_capped_enumeration(spark):
     df = spark.createDataFrame([(i, 0, 0) for i in range(10)], "id long, w0 long, w1 long")
     assert similar.lsh_reference_pairs(df, 5, 1, 8, cap=5).count() <= 5
