@@ -83,10 +83,11 @@ def tiles(rows: DataFrame, threshold: int, parts: list[list[int]] | None = None)
         a, b = (np.flatnonzero(left), np.flatnonzero(~left)) if x != y else (np.arange(len(ids)), None)
         for r, c, d in numeric.near_pairs(words[a], None if b is None else words[b], threshold):
             r, c = a[r], (a if b is None else b)[c]
-            keep = ids[r] != ids[c]
             if ranked:
                 low, high = np.minimum(rank[r], rank[c]), np.maximum(rank[r], rank[c])
-                keep &= high <= 2 * low + 1
+                keep = high <= 2 * low + 1
+            else:
+                keep = ids[r] != ids[c]
             if k and masks:
                 differ = words[r] ^ words[c]
                 for m, n in masks[:k]:
@@ -146,13 +147,21 @@ def lsh_reference_pairs(hashes: DataFrame, threshold: int, tables: int = 32, bit
     """The pairs that the original's enumeration reaches: of a bucket of s, index p = 0, step, 2 step ... below s(s-1)/2, with
     step the number of indexes by cap, is the pair of ranks (i, p - i(i+1)/2 + i + 1), i being the root of p.
 
-    cap, unless given, is the original's: a tenth of the number of hashes, LEAST_CAP at least."""
+    Of a bucket with no more pairs than cap these are the ranks i < j <= 2 i + 1, which are compared in tiles; of others
+    the indexes are made, cap of them. cap, unless given, is the original's: a tenth of the number of hashes, LEAST_CAP at
+    least."""
     if cap is None:
         cap = max(LEAST_CAP, hashes.count() // 10)
-    ranked = lsh_buckets(lsh_keys(hashes, tables, bits))
-    pairs = F.col("size") * (F.col("size") - 1) / 2
-    sizes = ranked.where("size > 1").select("tbl", "key", "size").distinct().withColumn("total", pairs.cast("long"))
-    sizes = sizes.withColumn("n", F.least("total", F.lit(cap))).withColumn("step", F.floor(F.col("total") / F.col("n")))
+    hashes = hashes.where("id IS NOT NULL AND w0 IS NOT NULL AND w1 IS NOT NULL")
+    keys = lsh_keys(hashes, tables, bits)
+    total = (F.col("size") * (F.col("size") - 1) / 2).cast("long")
+    ranked = lsh_buckets(keys).where("size > 1").withColumn("total", total)
+    whole = ranked.where(F.col("total") <= cap).select(F.col("tbl").alias("k"), F.col("key").alias("c"), F.floor(F.col("rank") / BLOCK).cast("int").alias("g"), F.ceil(F.col("size") / BLOCK).cast("int").alias("n"), F.col("id").cast("long").alias("id"), "w0", "w1", "rank")
+    found = tiles(whole, threshold)
+    sizes = keys.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("size")).withColumn("total", total).where(F.col("total") > cap)
+    if sizes.isEmpty():
+        return found.distinct()
+    sizes = sizes.withColumn("n", F.lit(cap).cast("long")).withColumn("step", F.floor(F.col("total") / F.col("n")))
     at = sizes.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("p", F.col("q") * F.col("step"))
     root = F.floor((F.sqrt(8.0 * F.col("p") + 1) - 1) / 2)
     root = root - F.when(root * (root + 1) / 2 > F.col("p"), 1).otherwise(0) + F.when((root + 1) * (root + 2) / 2 <= F.col("p"), 1).otherwise(0)
@@ -161,7 +170,7 @@ def lsh_reference_pairs(hashes: DataFrame, threshold: int, tables: int = 32, bit
     y = ranked.select("tbl", "key", F.col("rank").alias("rj"), F.col("id").alias("y"), F.col("w0").alias("y0"), F.col("w1").alias("y1"))
     dist = native.hamming(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).cast("int")
     near = at.join(x, ["tbl", "key", "ri"]).join(y, ["tbl", "key", "rj"]).withColumn("dist", dist).where(F.col("dist") < threshold)
-    return near.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "dist").distinct()
+    return near.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "dist").unionByName(found).distinct()
 
 
 def find_pairs(hashes: DataFrame, threshold: int = 5, pairs: str = "exact", bits: int = 64, tables: int = 32, bits_per_table: int = 8) -> DataFrame:

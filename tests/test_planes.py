@@ -176,6 +176,26 @@ def test_capped_enumeration(spark):
     assert got == {(i, j) for i in range(10) for j in range(10) if i < j <= min(2 * i + 1, 9)}
 
 
+def test_reference_pairs_of_large_buckets(spark, monkeypatch):
+    """Without a cap the 100 million pairs of the buckets of 8000 hashes are compared, not made as rows of a join."""
+    w = np.random.default_rng(8).integers(-(2**63), 2**63 - 1, 8000)
+    df = spark.createDataFrame(list(zip(range(8000), w.tolist())), "id long, w0 long").withColumn("w1", F.lit(0).cast("long"))
+    monkeypatch.setattr(similar, "BLOCK", 512)
+    began = time.time()
+    got = sorted(tuple(r) for r in similar.lsh_reference_pairs(df, 18, cap=1 << 40).collect())
+    assert time.time() - began < 40
+    u, want = w.view(np.uint64), set()
+    for positions in numeric.bit_positions(32, 8):
+        key = sum(((u >> np.uint64(p)) & np.uint64(1)) << np.uint64(b) for b, p in enumerate(positions) if p < 64)
+        for k in np.unique(key):
+            own = np.flatnonzero(key == k)
+            for r in range(len(own)):
+                c = own[r + 1 : 2 * r + 2]
+                d = np.bitwise_count(u[own[r]] ^ u[c])
+                want |= {(int(own[r]), int(j), int(x)) for j, x in zip(c[d < 18], d[d < 18])}
+    assert got == sorted(want) and got
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.sets(st.tuples(st.integers(0, 12), st.integers(0, 12)).filter(lambda e: e[0] < e[1]), max_size=30))
 def test_greedy_covers(edges):
