@@ -102,8 +102,9 @@ def greedy_cover(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
 
 def nearest(edges: DataFrame) -> DataFrame:
     """id, neighbour, dist: the nearest neighbour of each node, of equally near ones the smallest id."""
-    both = edges.select(F.col("i").alias("id"), F.col("j").alias("n"), "dist").unionByName(edges.select(F.col("j").alias("id"), F.col("i").alias("n"), "dist"))
-    return both.groupBy("id").agg(F.min(F.struct("dist", "n")).alias("m")).select("id", F.col("m.n").alias("neighbour"), "m.dist")
+    ends = F.array(*(F.struct(F.col(a).alias("id"), F.col("dist"), F.col(b).alias("n")) for a, b in ("ij", "ji")))
+    both = edges.select(F.explode(ends).alias("e")).where("e.id IS NOT NULL")
+    return both.groupBy("e.id").agg(F.min(F.struct("e.dist", "e.n")).alias("m")).select("id", F.col("m.n").alias("neighbour"), "m.dist")
 
 
 def find_similar(hashes: DataFrame, threshold: int = 5, pairs: str = "exact", bits: int = 64, tables: int = 32, bits_per_table: int = 8) -> DataFrame:

@@ -246,6 +246,12 @@ def test_components_and_nearest(spark):
     assert cover.components(e.where("false")).count() == 0
 
 
+def test_nearest_reads_its_edges_once(spark):
+    e = spark.range(100).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"), F.lit(1).alias("dist"))
+    plan = cover.nearest(e)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1
+
+
 def test_relational_hash(spark):
     rng = np.random.default_rng(5)
     planes = rng.integers(0, 256, (3, 32, 32)).astype(np.uint8)
