@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edges that one task may hold to end a cover.
-TASK_EDGES = 200_000
+#: Edges that one task may hold to end a cover or components, and those that a task collects before it shrinks them.
+TASK_EDGES, HELD = 8_000_000, 1_000_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -28,10 +30,33 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("i", "j")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, component (smallest id) of every node of edges(i, j): stars around the smallest neighbour, large and small in
-    turn (Kiveris et al. 2014), until nothing changes."""
-    stars = _cut(edges.select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).where("a <> b").distinct())
+def components(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
+    """id, component (smallest id) of every node of edges(i, j). Every task first shrinks its edges to stars, one edge for
+    each node but the roots. What fits one task (most edges) ends there; else stars around the smallest neighbour, large
+    and small in turn (Kiveris et al. 2014), until nothing changes."""
+
+    def shrink(batches):
+        held, new, most = [], 0, HELD
+        for batch in batches:
+            held.append([column.to_numpy() for column in batch.columns])
+            new += batch.num_rows
+            if new > most:
+                held = [stars_of(*(np.concatenate(z) for z in zip(*held)))]
+                new, most = 0, max(HELD, len(held[0][0]))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in stars_of(*(np.concatenate(z) for z in zip(*held)))], names=["a", "b"])
+
+    stars = edges.select(F.greatest("i", "j").cast("long").alias("a"), F.least("i", "j").cast("long").alias("b")).where("i IS NOT NULL AND j IS NOT NULL AND i <> j")
+    stars = _cut(stars.mapInArrow(shrink, "a long, b long"))
+    if stars.count() <= most:
+        stars = _cut(stars.repartition(1).mapInArrow(shrink, "a long, b long"))
+    else:
+        stars = _stars_in_rounds(_cut(stars.distinct()))
+    roots = stars.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
+    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+
+
+def _stars_in_rounds(stars: DataFrame) -> DataFrame:
     while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -40,10 +65,25 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = _cut(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         if not new.exceptAll(stars).limit(1).count() and not stars.exceptAll(new).limit(1).count():
-            break
+            return stars
         stars = new
-    roots = stars.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
-    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+
+
+def stars_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (a, b) that aren't the smallest of their component, and the smallest."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while True:
+        a, b = root[a], root[b]
+        open_ = a != b
+        if not open_.any():
+            break
+        a, b = a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (above := root[root])).any():
+            root = above
+    own = np.flatnonzero(root != np.arange(len(root)))
+    return names[own], names[root[own]]
 
 
 def greedy(edges: Iterable[tuple[int, int]]) -> list[int]:
@@ -75,7 +115,7 @@ def greedy(edges: Iterable[tuple[int, int]]) -> list[int]:
     return out
 
 
-def greedy_cover(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
+def greedy_cover(edges: DataFrame, most: int = 200_000) -> DataFrame:
     """id of the redundant items: greedy()'s cover of edges(i, j), in rounds over all nodes at once.
 
     Each round takes every node that is above all of its neighbours, and the edges that these cover leave. What fits one

@@ -252,6 +252,20 @@ def test_nearest_reads_its_edges_once(spark):
     assert plan.count("Range (") == 1
 
 
+def test_components_by_either_end(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(cover, "HELD", 50)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 400, (350, 2))]
+    e = spark.createDataFrame([*pairs, (None, 3), (4, None)], "i long, j long").repartition(3)
+    root = {k: k for p in pairs if p[0] != p[1] for k in p}
+    for _ in range(400):
+        for i, j in pairs:
+            if i != j:
+                root[i] = root[j] = min(root[i], root[j])
+    for most in (cover.TASK_EDGES, 0):
+        assert sorted(tuple(r) for r in cover.components(e, most).collect()) == sorted(root.items())
+
+
 def test_relational_hash(spark):
     rng = np.random.default_rng(5)
     planes = rng.integers(0, 256, (3, 32, 32)).astype(np.uint8)
