@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,47 +87,57 @@ def stars_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def greedy(edges: Iterable[tuple[int, int]]) -> list[int]:
-    """Nodes of the cover that takes, again and again, the node with most uncovered edges, of equal ones the largest id.
-
-    The order of taking is only fixed between neighbours: a node above all of its neighbours by (open edges, id) stays
-    above them until it is taken, as open edges only get fewer. So any such node may go next."""
-    near: dict[int, set[int]] = {}
-    for i, j in edges:
-        if i != j:
-            near.setdefault(i, set()).add(j)
-            near.setdefault(j, set()).add(i)
-
-    def above(n: int) -> bool:
-        own = (len(near[n]), n)
-        return bool(near[n]) and all(own > (len(near[m]), m) for m in near[n])
-
-    ready, out = [n for n in near if above(n)], []
-    while ready:
-        n = ready.pop()
-        if not near[n]:  # taken already
+    """Nodes of the cover that takes, again and again, the node with most uncovered edges, of equal ones the largest id."""
+    both = np.array(list(edges), dtype=np.int64).reshape(-1, 2)
+    return _greedy(both[:, 0], both[:, 1]).tolist()
+
+
+def _greedy(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """greedy() of arrays. Open edges only get fewer, so a node's last entry in the heap never ranks it too low: an entry
+    that has come down is put back with what it has now."""
+    names, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    n = len(names)
+    a, b = at[: len(i)], at[len(i) :]
+    code = np.unique((np.minimum(a, b) * n + np.maximum(a, b))[a != b])
+    a, b = (z.astype(np.int32) for z in np.divmod(code, max(n, 1)))
+    del at, code
+    degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    near = np.concatenate([b, a])[np.argsort(np.concatenate([a, b]), kind="stable")]
+    first = np.concatenate([[0], np.cumsum(degree)]).tolist()
+    heap = (-(degree * n + np.arange(n))[degree > 0]).tolist()
+    heapq.heapify(heap)
+    taken, out = np.zeros(n, bool), []
+    while heap:
+        had, k = divmod(-heap[0], n)
+        has = int(degree[k])
+        if has != had:
+            if has:
+                heapq.heapreplace(heap, -(has * n + k))
+            else:
+                heapq.heappop(heap)
             continue
-        out.append(n)
-        around, near[n] = near[n], set()
-        for m in around:
-            near[m].discard(n)
-        # only these may have come above their neighbours
-        ready += [k for k in around.union(*(near[m] for m in around)) if above(k)]
-    return out
+        heapq.heappop(heap)
+        out.append(k)
+        taken[k] = True
+        around = near[first[k] : first[k + 1]]
+        degree[around[~taken[around]]] -= 1
+    return names[np.array(out, dtype=np.int64)]
 
 
-def greedy_cover(edges: DataFrame, most: int = 200_000) -> DataFrame:
+def greedy_cover(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
     """id of the redundant items: greedy()'s cover of edges(i, j), in rounds over all nodes at once.
 
     Each round takes every node that is above all of its neighbours, and the edges that these cover leave. What fits one
-    task ends there; so a component of any size is spread over all tasks until little of it is left. Long chains of
-    rising ids take many rounds. Null ends and loops are no edges; repeated edges are one."""
-    left = edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i IS NOT NULL AND j IS NOT NULL AND i <> j")
+    task ends there; larger graphs are spread over all tasks until little of them is left. Long chains of rising ids, and
+    dense graphs, in which few nodes are above their neighbours, take many rounds. Null ends and loops are no edges; repeated edges are one."""
+    left = edges.select(F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j")).where("i IS NOT NULL AND j IS NOT NULL AND i <> j")
     left = _cut(left.distinct())
     taken = left.select(F.col("i").cast("long").alias("id")).where("false")
 
     def end(batches):
-        pdf = pd.concat([*batches, pd.DataFrame({"i": [], "j": []}, dtype="int64")])
-        yield pd.DataFrame({"id": greedy(zip(pdf["i"].tolist(), pdf["j"].tolist()))}, dtype="int64")
+        held = [[column.to_numpy() for column in batch.columns] for batch in batches]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(_greedy(*(np.concatenate(z) for z in zip(*held))))], names=["id"])
 
     while left.count() > most:
         degree = degrees(left)
@@ -137,7 +147,7 @@ def greedy_cover(edges: DataFrame, most: int = 200_000) -> DataFrame:
         won = _cut(won.select(F.col("id").cast("long").alias("id")))
         left = _cut(left.join(won, left.i == won.id, "left_anti").join(won, F.col("j") == won.id, "left_anti"))
         taken = taken.unionByName(won)
-    return taken.unionByName(left.repartition(1).mapInPandas(end, "id long"))
+    return taken.unionByName(left.repartition(1).mapInArrow(end, "id long"))
 
 
 def nearest(edges: DataFrame) -> DataFrame:

@@ -266,6 +266,27 @@ def test_components_by_either_end(spark, monkeypatch):
         assert sorted(tuple(r) for r in cover.components(e, most).collect()) == sorted(root.items())
 
 
+def test_cover_of_a_dense_graph(spark):
+    """300000 edges among 3000 nodes: each round found a few nodes above their neighbours, so there were hundreds."""
+    rng = np.random.default_rng(13)
+    pairs = np.unique(np.sort(rng.integers(0, 3000, (320_000, 2)), axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+    e = spark.createDataFrame(pairs.tolist(), "i long, j long")
+    began = time.time()
+    got = {r.id for r in cover.greedy_cover(e).collect()}
+    assert len(pairs) > 200_000 and time.time() - began < 30
+    near = np.zeros((3000, 3000), bool)
+    near[pairs[:, 0], pairs[:, 1]] = near[pairs[:, 1], pairs[:, 0]] = True
+    want, degree = set(), near.sum(axis=1)
+    while degree.max():
+        n = 2999 - int(degree[::-1].argmax())
+        want.add(n)
+        degree[near[n]] -= 1
+        near[n] = near[:, n] = False
+        degree[n] = 0
+    assert got == want
+
+
 def test_relational_hash(spark):
     rng = np.random.default_rng(5)
     planes = rng.integers(0, 256, (3, 32, 32)).astype(np.uint8)
