@@ -169,6 +169,25 @@ def test_pairs_of_many_hashes(spark):
     assert got == sum(int((np.bitwise_count(u[i] ^ u[i + 1 :]) < 18).sum()) for i in range(len(u)))
 
 
+def test_degrees_of_many_embeddings(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from planeprint import plans
+
+    e = np.random.default_rng(16).normal(size=(25_000, 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(25_000), "embedding": list(e)}), tmp_path / "embeddings.parquet")
+    began = time.time()
+    got = {r.id: r.degree for r in plans.edge_degree(spark, str(tmp_path)).collect()}
+    assert time.time() - began < 40
+    c = e.astype(float)
+    c[:, 0] = 0
+    u, want = numeric.words(c)[:, 0].copy().view(np.uint64), np.zeros(25_000, int)
+    for i in range(len(u)):
+        want[i] = (np.bitwise_count(u[i] ^ u) < plans.TAU).sum() - 1
+    assert got == {i: int(n) for i, n in enumerate(want) if n}
+
+
 def test_capped_enumeration(spark):
     df = spark.createDataFrame([(i, 0, 0) for i in range(10)], "id long, w0 long, w1 long")
     assert similar.lsh_reference_pairs(df, 5, 1, 8, cap=5).count() <= 5
