@@ -188,6 +188,18 @@ def test_degrees_of_many_embeddings(spark, tmp_path):
     assert got == {i: int(n) for i, n in enumerate(want) if n}
 
 
+def test_pairs_of_hashes_that_share_their_low_bits(spark):
+    """As hashes of documents do; two of five chunks of neighbouring bits told none of these apart."""
+    w = np.random.default_rng(14).integers(0, 2**39, 30_000) << 25
+    w[15_000:] = w[:15_000] ^ (1 << np.random.default_rng(15).integers(0, 63, 15_000))
+    df = spark.createDataFrame(list(zip(range(30_000), w.tolist())), "id long, w0 long").withColumn("w1", F.lit(0).cast("long"))
+    began = time.time()
+    got = similar.exact_pairs(df, 5).count()
+    assert time.time() - began < 40
+    u = w.view(np.uint64)
+    assert got == sum(int((np.bitwise_count(u[i] ^ u[i + 1 :]) < 5).sum()) for i in range(len(u))) >= 15_000
+
+
 def test_capped_enumeration(spark):
     df = spark.createDataFrame([(i, 0, 0) for i in range(10)], "id long, w0 long, w1 long")
     assert similar.lsh_reference_pairs(df, 5, 1, 8, cap=5).count() <= 5
