@@ -200,6 +200,15 @@ def test_pairs_of_hashes_that_share_their_low_bits(spark):
     assert got == sum(int((np.bitwise_count(u[i] ^ u[i + 1 :]) < 5).sum()) for i in range(len(u))) >= 15_000
 
 
+def test_report_of_a_large_class(spark):
+    """700 copies, any two of them an edge: each round of the cover took one."""
+    df = spark.range(700).select("id", F.col("id").cast("string").alias("path"), F.lit(7).cast("long").alias("w0"), F.lit(0).cast("long").alias("w1"))
+    began = time.time()
+    got = {r.id: (r.similar_to, r.dist) for r in cover.find_similar(df).collect()}
+    assert time.time() - began < 30
+    assert got == {k: ("0", 0) for k in range(1, 700)}
+
+
 def test_capped_enumeration(spark):
     df = spark.createDataFrame([(i, 0, 0) for i in range(10)], "id long, w0 long, w1 long")
     assert similar.lsh_reference_pairs(df, 5, 1, 8, cap=5).count() <= 5
