@@ -95,12 +95,18 @@ def greedy(edges: Iterable[tuple[int, int]]) -> list[int]:
 def _greedy(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """greedy() of arrays. Open edges only get fewer, so a node's last entry in the heap never ranks it too low: an entry
     that has come down is put back with what it has now."""
-    names, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    names = np.unique(np.concatenate([np.unique(i), np.unique(j)]))
     n = len(names)
-    a, b = at[: len(i)], at[len(i) :]
-    code = np.unique((np.minimum(a, b) * n + np.maximum(a, b))[a != b])
-    a, b = (z.astype(np.int32) for z in np.divmod(code, max(n, 1)))
-    del at, code
+    a, b = (np.searchsorted(names, z).astype(np.int32) for z in (i, j))
+    code = np.minimum(a, b).astype(np.int64)
+    code *= n
+    code += np.maximum(a, b)
+    code = code[a != b]
+    code.sort()
+    code = code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
+    a = (code // max(n, 1)).astype(np.int32)
+    b = (code % max(n, 1)).astype(np.int32)
+    del code
     degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
     near = np.concatenate([b, a])[np.argsort(np.concatenate([a, b]), kind="stable")]
     first = np.concatenate([[0], np.cumsum(degree)]).tolist()
