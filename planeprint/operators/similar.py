@@ -52,25 +52,55 @@ def exact_pairs(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
     there is nothing to deduplicate."""
     if threshold <= 0:
         return hashes.sparkSession.createDataFrame([], "i long, j long, dist int")
+    return tiles(*_buckets(hashes, threshold, bits))
+
+
+def exact_degrees(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
+    """id, degree: of exact_pairs() how many an id is in, where that is any; counted in the tiles, so pairs are not rows."""
+    if threshold <= 0:
+        return hashes.sparkSession.createDataFrame([], "id long, degree long")
+    counts = tiles(*_buckets(hashes, threshold, bits), degrees=True)
+    return counts.groupBy("id").agg(F.sum("degree").alias("degree"))
+
+
+def classes(hashes: DataFrame) -> DataFrame:
+    """id, rep, w0, w1 of the distinct rows of hashes(id, w0, w1) without nulls: rep is the smallest id with the same hash,
+    so those with id = rep stand for their class. An id with several hashes has a class of its own, with all of them."""
+    rows = hashes.select(F.col("id").cast("long").alias("id"), "w0", "w1").where("id IS NOT NULL AND w0 IS NOT NULL AND w1 IS NOT NULL").distinct()
+    several = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.col("id").alias("own"))
+    rows = rows.join(several, "id", "left")
+    reps = rows.groupBy("w0", "w1", "own").agg(F.min("id").alias("rep")).select(F.col("w0").alias("v0"), F.col("w1").alias("v1"), F.col("own").alias("o"), "rep")
+    same = (F.col("w0") == F.col("v0")) & (F.col("w1") == F.col("v1")) & F.col("own").eqNullSafe(F.col("o"))
+    return rows.join(reps, same).select("id", "rep", "w0", "w1")
+
+
+def class_pairs(members: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
+    """exact_pairs() of the representatives of members(id, rep, w0, w1), as classes() gives them."""
+    return exact_pairs(members.where("id = rep").select("id", "w0", "w1"), threshold, bits)
+
+
+def _buckets(hashes: DataFrame, threshold: int, bits: int) -> tuple[DataFrame, int, list[list[int]] | None]:
+    """What tiles() takes, for exact_pairs()."""
     rows = hashes.select(F.col("id").cast("long").alias("id"), "w0", "w1").where("id IS NOT NULL AND w0 IS NOT NULL AND w1 IS NOT NULL")
     count = min(max(threshold, -(-bits // 64)), bits)
+    block = F.pmod(F.xxhash64("id", "w0"), F.col("n")).cast("int")
     if threshold > min(SELECTIVE, bits):
-        rows, parts = rows.withColumns({"k": F.lit(0), "c": F.lit(0).cast("long")}), None
-    else:
-        parts = [list(range(k, bits, count)) for k in range(count)]
-        rows = rows.select("*", F.posexplode(F.array(*(native.lsh_key(F.col("w0"), F.col("w1"), p) for p in parts))).alias("k", "c"))
+        n = max(1, -(-rows.count() // BLOCK))
+        return rows.withColumns({"k": F.lit(0), "c": F.lit(0).cast("long"), "n": F.lit(n)}).withColumn("g", block), threshold, None
+    parts = [list(range(k, bits, count)) for k in range(count)]
+    rows = rows.select("*", F.posexplode(F.array(*(native.lsh_key(F.col("w0"), F.col("w1"), p) for p in parts))).alias("k", "c"))
     sizes = rows.groupBy("k", "c").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = rows.join(sizes, ["k", "c"]).withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int"))
-    return tiles(rows.withColumn("g", F.pmod(F.xxhash64("id", "w0"), F.col("n")).cast("int")), threshold, parts)
+    return rows.withColumn("g", block), threshold, parts
 
 
-def tiles(rows: DataFrame, threshold: int, parts: list[list[int]] | None = None) -> DataFrame:
+def tiles(rows: DataFrame, threshold: int, parts: list[list[int]] | None = None, degrees: bool = False) -> DataFrame:
     """i, j, dist of the pairs i < j within each bucket (k, c) of rows(k, c, g, n, id, w0, w1) with dist < threshold. A
     bucket is cut into n blocks g of about BLOCK rows; every two blocks, and each by itself, are a tile, compared at once
     in numpy. So no bucket is too large for a task, and a hash is sent once to each tile of its block.
 
     With parts, bit positions by k, a pair is left out that agrees in a part before k. With a column rank only pairs of
-    ranks r < s <= 2 r + 1 count."""
+    ranks r < s <= 2 r + 1 count. With degrees the result is id, degree instead: in how many of a tile's pairs a row is."""
     ranked = "rank" in rows.columns
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("h")
     out = rows.select("k", "c", "g", "id", "w0", "w1", (F.col("rank") if ranked else F.lit(0)).cast("long").alias("rank"), other)
@@ -81,6 +111,7 @@ def tiles(rows: DataFrame, threshold: int, parts: list[list[int]] | None = None)
 
     def tile(k, x, y, left, ids, words, rank):
         a, b = (np.flatnonzero(left), np.flatnonzero(~left)) if x != y else (np.arange(len(ids)), None)
+        number, ends = np.zeros(len(ids) if degrees else 0, np.int64), []
         for r, c, d in numeric.near_pairs(words[a], None if b is None else words[b], threshold):
             r, c = a[r], (a if b is None else b)[c]
             if ranked:
@@ -92,9 +123,18 @@ def tiles(rows: DataFrame, threshold: int, parts: list[list[int]] | None = None)
                 differ = words[r] ^ words[c]
                 for m, n in masks[:k]:
                     keep &= ((differ[:, 0] & m) | (differ[:, 1] & n)) != 0
-            if keep.any():
+            if degrees:
+                ends += [r[keep], c[keep]]
+                if len(r) > BLOCK:
+                    number, ends = number + np.bincount(np.concatenate(ends), minlength=len(ids)), []
+            elif keep.any():
                 r, c = ids[r[keep]], ids[c[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(r, c)), pa.array(np.maximum(r, c)), pa.array(d[keep].astype(np.int32))], names=["i", "j", "dist"])
+        if ends:
+            number += np.bincount(np.concatenate(ends), minlength=len(ids))
+        if number.any():
+            own = np.flatnonzero(number)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(number[own])], names=["id", "degree"])
 
     def run(batches):
         """Tiles come one after the other; the last of a batch may go on in the next."""
@@ -119,7 +159,7 @@ def tiles(rows: DataFrame, threshold: int, parts: list[list[int]] | None = None)
 
     keys = ["k", "c", "x", "y"]
     number = max(TILE_TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return out.repartition(number, *keys).sortWithinPartitions(*keys).mapInArrow(run, "i long, j long, dist int")
+    return out.repartition(number, *keys).sortWithinPartitions(*keys).mapInArrow(run, "id long, degree long" if degrees else "i long, j long, dist int")
 
 
 def lsh_keys(hashes: DataFrame, tables: int = 32, bits: int = 8) -> DataFrame:

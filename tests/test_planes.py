@@ -188,6 +188,26 @@ def test_degrees_of_many_embeddings(spark, tmp_path):
     assert got == {i: int(n) for i, n in enumerate(want) if n}
 
 
+def test_degrees_are_counted_in_tiles(spark, monkeypatch):
+    """As the degrees of the pairs, with blocks, parts, nulls and repeated ids; of 30000 copies no pair is a row."""
+    from planeprint import plans
+
+    rng = random.Random(6)
+    rows = [(5, 0, 0), (5, 1, 0), (7, 1, 0), *((i, signed(rng.getrandbits(4) << 60 | rng.getrandbits(6)), 0) for i in range(120))]
+    df = spark.createDataFrame([*rows, (None, 0, 0), (999, None, 0)], "id long, w0 long, w1 long")
+    with monkeypatch.context() as m:
+        m.setattr(similar, "BLOCK", 20)
+        for tau in (0, 1, 5, 9):
+            want = {r.id: r.degree for r in cover.degrees(similar.exact_pairs(df, tau)).collect()}
+            assert {r.id: r.degree for r in similar.exact_degrees(df, tau).collect()} == want and bool(want) == bool(tau)
+    copies = spark.range(30_000).select("id", F.lit(7).cast("long").alias("w0"), F.lit(0).cast("long").alias("w1"))
+    began = time.time()
+    assert [tuple(r) for r in similar.exact_degrees(copies, 20).groupBy("degree").count().collect()] == [(29_999, 30_000)]
+    assert time.time() - began < 40
+    plan = plans.edge_degree(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "explode(array(i" not in plan
+
+
 def test_pairs_of_hashes_that_share_their_low_bits(spark):
     """As hashes of documents do; two of five chunks of neighbouring bits told none of these apart."""
     w = np.random.default_rng(14).integers(0, 2**39, 30_000) << 25
