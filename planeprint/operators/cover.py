@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edges that one task may hold to end a cover or components, and those that a task collects before it shrinks them.
-TASK_EDGES, HELD = 8_000_000, 1_000_000
+#: Edges that one task may hold to end components, or a cover, and those that a task collects before it shrinks them.
+TASK_EDGES, COVER_EDGES, HELD = 8_000_000, 16_000_000, 1_000_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -89,71 +89,133 @@ def stars_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def greedy(edges: Iterable[tuple[int, int]]) -> list[int]:
     """Nodes of the cover that takes, again and again, the node with most uncovered edges, of equal ones the largest id."""
     both = np.array(list(edges), dtype=np.int64).reshape(-1, 2)
-    return _greedy(both[:, 0], both[:, 1]).tolist()
+    return _greedy([(both[:, 0], both[:, 1])]).tolist()
 
 
-def _greedy(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """greedy() of arrays. Open edges only get fewer, so a node's last entry in the heap never ranks it too low: an entry
-    that has come down is put back with what it has now."""
-    names = np.unique(np.concatenate([np.unique(i), np.unique(j)]))
+def _greedy(parts: list[tuple[np.ndarray, np.ndarray]], rep=(), member=()) -> np.ndarray:
+    """greedy() of arrays, which go from parts on the way. Nodes may stand for classes: rep[k] for member[k], or else for
+    themselves; any two of a class have an edge, and all of one have one with all of the other if their nodes have.
+
+    Of a class the largest id goes first. Open edges only get fewer, so a class's entry in the heap never ranks it too
+    low: an entry that has come down is put back with what it has now."""
+    rep, member = np.asarray(rep, np.int64), np.asarray(member, np.int64)
+    names = np.unique(np.concatenate([rep, *(np.unique(z) for ends in parts for z in ends)]))
     n = len(names)
-    a, b = (np.searchsorted(names, z).astype(np.int32) for z in (i, j))
-    code = np.minimum(a, b).astype(np.int64)
-    code *= n
-    code += np.maximum(a, b)
-    code = code[a != b]
+    code, at = np.empty(2 * sum(len(i) for i, _ in parts), np.int64), 0
+    while parts:
+        a, b = (np.searchsorted(names, z) for z in parts.pop())
+        a, b = a[a != b], b[a != b]
+        np.add(a * n, b, out=code[at : at + len(a)])
+        np.add(b * n, a, out=code[at + len(a) : at + 2 * len(a)])
+        at += 2 * len(a)
+    code = code[:at]
     code.sort()
-    code = code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
-    a = (code // max(n, 1)).astype(np.int32)
-    b = (code % max(n, 1)).astype(np.int32)
+    if (code[1:] == code[:-1]).any():
+        code = code[np.concatenate([[True], code[1:] != code[:-1]])]
+    first = np.searchsorted(code, np.arange(n + 1) * n)
+    near = np.empty(len(code), np.int32)
+    for at in range(0, len(code), HELD):
+        near[at : at + HELD] = code[at : at + HELD] % n
     del code
-    degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
-    near = np.concatenate([b, a])[np.argsort(np.concatenate([a, b]), kind="stable")]
-    first = np.concatenate([[0], np.cumsum(degree)]).tolist()
-    heap = (-(degree * n + np.arange(n))[degree > 0]).tolist()
+    own = np.setdiff1d(names, rep)
+    kind, ids = np.searchsorted(names, np.concatenate([rep, own])), np.concatenate([member, own])
+    order = np.lexsort((ids, kind))
+    kind, ids = kind[order], ids[order]
+    once = np.concatenate([[True], (kind[1:] != kind[:-1]) | (ids[1:] != ids[:-1])]) if len(ids) else np.zeros(0, bool)
+    kind, ids = kind[once], ids[once]  # members by class, the largest last
+    size = np.bincount(kind, minlength=n).astype(np.int32)
+    degree, some = size.astype(np.int64) - 1, np.flatnonzero(np.diff(first))
+    for k in range(0, len(some), 10_000):
+        few = some[k : k + 10_000]
+        degree[few] += np.add.reduceat(size[near[first[few[0]] : first[few[-1] + 1]]], first[few] - first[few[0]], dtype=np.int64)
+    above, rank = np.unique(ids, return_inverse=True)
+    ends, start, m = np.cumsum(size).tolist(), (np.cumsum(size) - size).tolist(), max(1, len(above))
+    of = np.zeros(m, np.int64)
+    of[rank] = kind
+    first, rank, of = first.tolist(), rank.tolist(), of.tolist()
+    heap = [-(d * m + rank[ends[k] - 1]) for k, d in enumerate(degree.tolist()) if d > 0]
     heapq.heapify(heap)
-    taken, out = np.zeros(n, bool), []
+    out = []
     while heap:
-        had, k = divmod(-heap[0], n)
-        has = int(degree[k])
-        if has != had:
-            if has:
-                heapq.heapreplace(heap, -(has * n + k))
-            else:
-                heapq.heappop(heap)
-            continue
-        heapq.heappop(heap)
-        out.append(k)
-        taken[k] = True
-        around = near[first[k] : first[k + 1]]
-        degree[around[~taken[around]]] -= 1
-    return names[np.array(out, dtype=np.int64)]
-
-
-def greedy_cover(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
+        k = of[-heap[0] % m]
+        now = -(int(degree[k]) * m + rank[ends[k] - 1])
+        if now == heap[0]:
+            ends[k] -= 1
+            out.append(rank[ends[k]])
+            degree[k] -= 1
+            degree[near[first[k] : first[k + 1]]] -= 1
+            now = -(int(degree[k]) * m + rank[ends[k] - 1])
+        if ends[k] > start[k] and degree[k] > 0:
+            heapq.heapreplace(heap, now)
+        else:
+            heapq.heappop(heap)
+    return above[np.array(out, dtype=np.int64)]
+
+
+def greedy_cover(edges: DataFrame, most: int | None = None, members: DataFrame | None = None) -> DataFrame:
     """id of the redundant items: greedy()'s cover of edges(i, j), in rounds over all nodes at once.
 
     Each round takes every node that is above all of its neighbours, and the edges that these cover leave. What fits one
     task ends there; larger graphs are spread over all tasks until little of them is left. Long chains of rising ids, and
-    dense graphs, in which few nodes are above their neighbours, take many rounds. Null ends and loops are no edges; repeated edges are one."""
+    dense graphs, in which few nodes are above their neighbours, take many rounds. Null ends and loops are no edges; repeated edges are one.
+
+    With members(id, rep), edges are those of classes, named by rep, and stand for all between their members; any two of
+    a class have an edge too. The cover is that of all these edges, which are not made."""
+    most = COVER_EDGES if most is None else most
     left = edges.select(F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j")).where("i IS NOT NULL AND j IS NOT NULL AND i <> j")
-    left = _cut(left.distinct())
-    taken = left.select(F.col("i").cast("long").alias("id")).where("false")
+    return _cover(_cut(left), most, members)
+
+
+def _cover(left: DataFrame, most: int, members: DataFrame | None) -> DataFrame:
+    """greedy_cover() of stored edges without nulls and loops, i < j."""
+    taken = left.select(F.col("i").alias("id")).where("false")
+    counted, rounds = left.count(), 0
+    if members is not None:
+        members = members.select(F.col("id").cast("long").alias("id"), F.col("rep").cast("long").alias("rep")).where("id IS NOT NULL AND rep IS NOT NULL").distinct()
+    elif counted > most:
+        members = left.select(F.explode(F.array("i", "j")).alias("id")).distinct().withColumn("rep", F.col("id"))
+    if counted > most:
+        members, left = _cut(members), _cut(left.select("i", "j").distinct())
+    while counted > most:
+        size = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+        both = left.unionByName(left.select(F.col("j").alias("i"), F.col("i").alias("j")))
+        sums = both.join(size, both.j == size.rep).groupBy("i").agg(F.sum("n").alias("s"))
+        rank = _cut(size.join(sums, size.rep == sums.i).select("rep", F.struct((F.col("s") + F.col("n")).alias("d"), "top").alias("own")))
+        rivals = both.join(rank, both.j == rank.rep).groupBy("i").agg(F.max("own").alias("m"))
+        won = rivals.join(rank, rivals.i == rank.rep).where("own > m").select("rep", F.when(F.col("own.d") == F.col("m.d"), F.col("m.top")).alias("below"))
+        gone = _cut(members.join(won, "rep").where("below IS NULL OR id > below").select("id", "rep"))
+        members = _cut(members.join(gone, ["id", "rep"], "left_anti"))
+        empty = _cut(gone.select("rep").distinct().join(members, "rep", "left_anti"))
+        left = _cut(left.join(empty, left.i == empty.rep, "left_anti").join(empty, F.col("j") == empty.rep, "left_anti"))
+        taken = taken.unionByName(gone.select("id"))
+        counted, rounds = left.count(), rounds + 1
+    rows = left.select("i", "j", F.lit(False).alias("copy"))
+    if members is not None:
+        sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"))
+        if rounds:  # classes without edges to others end apart
+            linked = left.select(F.explode(F.array("i", "j")).alias("rep")).distinct()
+            alone = members.join(linked, "rep", "left_anti").join(sizes, "rep").where("id > low")
+            taken, members = taken.unionByName(alone.select("id")), members.join(linked, "rep", "left_semi")
+        else:  # a class of one that stands for itself needs no row
+            members = members.join(sizes.where("n > 1 OR low <> rep"), "rep", "left_semi")
+        rows = rows.unionByName(members.select(F.col("rep").alias("i"), F.col("id").alias("j"), F.lit(True).alias("copy")))
 
     def end(batches):
-        held = [[column.to_numpy() for column in batch.columns] for batch in batches]
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(_greedy(*(np.concatenate(z) for z in zip(*held))))], names=["id"])
+        parts, held, new, own = [], [], 0, []
+        for batch in batches:
+            i, j, copy = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+            own.append((i[copy], j[copy]))
+            held.append((i[~copy], j[~copy]))
+            new += len(i)
+            if new > HELD:
+                parts.append(tuple(np.concatenate(z) for z in zip(*held)))
+                held, new = [], 0
+        parts += held
+        if parts:
+            rep, ids = (np.concatenate(z) for z in zip(*own))
+            yield pa.RecordBatch.from_arrays([pa.array(_greedy(parts, rep, ids))], names=["id"])
 
-    while left.count() > most:
-        degree = degrees(left)
-        both = left.unionByName(left.select(F.col("j").alias("i"), F.col("i").alias("j")))
-        rivals = both.join(degree, both.j == degree.id).groupBy("i").agg(F.max(F.struct("degree", "j")).alias("m"))
-        won = rivals.join(degree, rivals.i == degree.id).where("degree > m.degree OR degree = m.degree AND id > m.j")
-        won = _cut(won.select(F.col("id").cast("long").alias("id")))
-        left = _cut(left.join(won, left.i == won.id, "left_anti").join(won, F.col("j") == won.id, "left_anti"))
-        taken = taken.unionByName(won)
-    return taken.unionByName(left.repartition(1).mapInArrow(end, "id long"))
+    return taken.unionByName(rows.repartition(1).mapInArrow(end, "id long"))
 
 
 def nearest(edges: DataFrame) -> DataFrame:
@@ -166,10 +228,23 @@ def nearest(edges: DataFrame) -> DataFrame:
 def find_similar(hashes: DataFrame, threshold: int = 5, pairs: str = "exact", bits: int = 64, tables: int = 32, bits_per_table: int = 8) -> DataFrame:
     """id, path, similar_to, dist (and file_size) of what can go from hashes(id, path, w0, w1): every pair under the
     threshold loses at least one of its two."""
-    from .similar import find_pairs
+    from . import similar
 
-    edges = _cut(find_pairs(hashes, threshold, pairs, bits, tables, bits_per_table))
     keep = [c for c in ("file_size",) if c in hashes.columns]
+    if pairs == "exact" and threshold > 0:
+        # equal hashes are a class, whose members have the same neighbours, so only pairs of classes are made
+        members = _cut(similar.classes(hashes))
+        edges = _cut(similar.class_pairs(members, threshold, bits))
+        mates = members.groupBy("rep").agg(F.min(F.when(F.col("id") != F.col("rep"), F.col("id"))).alias("mate"))
+        near = nearest(edges).select(F.col("id").alias("rep"), F.struct("dist", F.col("neighbour").alias("n")).alias("other"))
+        mate = F.when(F.col("id") != F.col("rep"), F.col("rep")).otherwise(F.col("mate"))
+        own = F.when(mate.isNotNull(), F.struct(F.lit(0).alias("dist"), mate.alias("n")))
+        best = members.join(mates, "rep").join(near, "rep", "left").groupBy("id").agg(F.min(F.least(own, "other")).alias("m"))
+        best = best.select("id", F.col("m.n").alias("neighbour"), F.col("m.dist").alias("dist"))
+        gone = _cover(edges, COVER_EDGES, members)
+    else:
+        edges = _cut(similar.find_pairs(hashes, threshold, pairs, bits, tables, bits_per_table))
+        best, gone = nearest(edges), greedy_cover(edges)
     other = hashes.select(F.col("id").alias("neighbour"), F.col("path").alias("similar_to"))
-    out = greedy_cover(edges).join(nearest(edges), "id").join(hashes.select("id", "path", *keep), "id").join(other, "neighbour", "left")
+    out = gone.join(best, "id").join(hashes.select("id", "path", *keep), "id").join(other, "neighbour", "left")
     return out.select("id", "path", "similar_to", "dist", *keep)

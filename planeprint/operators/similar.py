@@ -66,9 +66,10 @@ def exact_degrees(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFram
 def classes(hashes: DataFrame) -> DataFrame:
     """id, rep, w0, w1 of the distinct rows of hashes(id, w0, w1) without nulls: rep is the smallest id with the same hash,
     so those with id = rep stand for their class. An id with several hashes has a class of its own, with all of them."""
-    rows = hashes.select(F.col("id").cast("long").alias("id"), "w0", "w1").where("id IS NOT NULL AND w0 IS NOT NULL AND w1 IS NOT NULL").distinct()
-    several = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.col("id").alias("own"))
-    rows = rows.join(several, "id", "left")
+    rows = hashes.select(F.col("id").cast("long").alias("id"), "w0", "w1").where("id IS NOT NULL AND w0 IS NOT NULL AND w1 IS NOT NULL")
+    same_id, word = Window.partitionBy("id"), F.struct("w0", "w1")
+    rows = rows.withColumn("own", F.when(F.min(word).over(same_id) != F.max(word).over(same_id), F.col("id")))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("id", "w0", "w1").orderBy("id"))).where("k = 1").drop("k")
     reps = rows.groupBy("w0", "w1", "own").agg(F.min("id").alias("rep")).select(F.col("w0").alias("v0"), F.col("w1").alias("v1"), F.col("own").alias("o"), "rep")
     same = (F.col("w0") == F.col("v0")) & (F.col("w1") == F.col("v1")) & F.col("own").eqNullSafe(F.col("o"))
     return rows.join(reps, same).select("id", "rep", "w0", "w1")

@@ -390,6 +390,39 @@ def test_cover_of_a_dense_graph(spark):
     assert got == want
 
 
+def test_cover_of_classes(spark):
+    """A cover of classes is that of all their pairs, in one task and in rounds."""
+    rng = random.Random(9)
+    for _ in range(60):
+        ids = rng.sample(range(100), 14)
+        classes = [sorted(ids[a:b]) for a, b in zip((0, 1, 3, 4, 9), (1, 3, 4, 9, 14))]
+        links = [(p, q) for p, q in itertools.combinations(classes, 2) if rng.random() < 0.5]
+        pairs = [x for own in classes for x in itertools.combinations(own, 2)] + [x for p, q in links for x in itertools.product(p, q)]
+        rep, member = zip(*((own[0], k) for own in classes for k in own))
+        ends = np.array([(p[0], q[0]) for p, q in links], dtype=np.int64).reshape(-1, 2)
+        assert sorted(cover._greedy([(ends[:, 0], ends[:, 1])], rep, member).tolist()) == sorted(cover.greedy(pairs))
+    e = spark.createDataFrame([(p[0], q[0]) for p, q in links], "i long, j long")
+    members = spark.createDataFrame(list(zip(member, rep)), "id long, rep long")
+    for most in (None, 1, 0):
+        assert sorted(r.id for r in cover.greedy_cover(e, most, members).collect()) == sorted(cover.greedy(pairs))
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_report_of_classes(spark, monkeypatch, most):
+    """find_similar() makes no pairs of equal hashes, and gives what its pairs would."""
+    rng = random.Random(10)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    rows = [(3, "3", signed(base[0]), 0), (3, "3", signed(base[1]), 0), *((i, str(i), signed(rng.choice(base) ^ (1 << rng.randrange(64) if i % 2 else 0)), 0) for i in range(10, 60))]
+    df = spark.createDataFrame(rows, "id long, path string, w0 long, w1 long")
+    edges = similar.exact_pairs(df, 5)
+    near = {r.id: (str(r.neighbour), r.dist) for r in cover.nearest(edges).collect()}
+    want = {k: near[k] for k in cover.greedy({(r.i, r.j) for r in edges.collect()})}
+    if most is not None:
+        monkeypatch.setattr(cover, "COVER_EDGES", most)
+    monkeypatch.setattr(similar, "find_pairs", None)
+    assert {r.id: (r.similar_to, r.dist) for r in cover.find_similar(df).collect()} == want
+
+
 def test_relational_hash(spark):
     rng = np.random.default_rng(5)
     planes = rng.integers(0, 256, (3, 32, 32)).astype(np.uint8)
