@@ -31,8 +31,10 @@ from . import common
 
 #: Least number of salts within a length, and pieces of one length and salt, about, beyond it.
 SALTS, SALTED = 64, 100_000
-#: Distinct chunks of text whose ids a Python worker remembers, and the longest of them.
+#: Distinct words whose ids a Python worker remembers, and the longest of them, where it goes by words.
 REMEMBERED, LONGEST = 100_000, 60
+#: Characters that tiktoken gets at once, about.
+AT_ONCE = 1_000_000
 
 
 # --- tokens ---------------------------------------------------------------------------------------------
@@ -61,10 +63,11 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder(dict):
-    """The ids that tokenizers gives, by the words of a text that follow a space; forgets all when full.
+    """The ids that tokenizers gives. Texts are merged by tiktoken, with ranks from the same file, if its ids are in the
+    order of its merges and its splitting is that of the byte-level pattern.
 
-    Words it doesn't hold are merged by tiktoken, with ranks from the same file, if its ids are in the order of its
-    merges and its splitting is that of the byte-level pattern; else, and for words with special tokens, by tokenizers."""
+    Others, and texts with special tokens, go by the words that follow a space, whose ids are remembered; all are forgotten
+    when full. Of these words, those that tiktoken may not merge are left to tokenizers."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -105,6 +108,16 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self.fast is not None and not any(x in text for x in self.special):
+            if len(text) <= AT_ONCE:
+                return id_bytes(self.fast(text))
+            out, at = [], 0
+            while at < len(text):
+                cut = _CUT.search(text, at + AT_ONCE)
+                end = cut.start() if cut else len(text)
+                out.append(id_bytes(self.fast(text[at:end])))
+                at = end
+            return b"".join(out)
         if "  " in text or _ODD.search(text):
             return b"".join([self[x[1:]] if x[0] == " " else self.part(x) for x in _CUT.split(text) if x])
         words = text.split(" ")

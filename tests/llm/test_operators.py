@@ -456,6 +456,24 @@ def test_packing(spark, docs):
     assert packing.pack(docs.where("false"), path).count() == 0
 
 
+def test_texts_are_encoded_at_once(monkeypatch):
+    """Ids are those of tokenizers, also of texts that are cut; what tiktoken merges is not split into words before."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    monkeypatch.setattr(packing, "AT_ONCE", 7)
+    rng = random.Random(4)
+    odd = ["a", "word", " ", "  ", "\n", "'s", "75", "é", ".", "\x1c", "\xa0", "\u3000", "日本"]
+    for _ in range(1000):
+        t = "".join(rng.choice(odd) for _ in range(rng.randrange(40)))
+        assert encoder.encode(t) == packing.id_bytes(tokenizer.encode(t, add_special_tokens=False).ids)
+    assert not len(encoder)
+    t = "two words<|endoftext|> and  more"
+    assert encoder.encode(t) == packing.id_bytes(tokenizer.encode(t, add_special_tokens=False).ids) and len(encoder)
+
+
 def test_packed_sequences_can_be_read(spark, docs):
     """From the pieces alone: every sequence, and every document, token by token."""
     public = pytest.importorskip("public_tokenizers")
