@@ -162,3 +162,30 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, threshold: int):
             flat, r, c = flat[above], r[above], c[above]
         if len(r):
             yield r + at, c + least, d.ravel()[flat]
+
+
+def packed(i: np.ndarray, j: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, ...]:
+    """ids, best, count, near, dist of the edges (i, j): each node, its nearest neighbour (of equally near ones the smallest
+    id), its number of neighbours, these as places in ids, one node after the other, and the distance of the nearest."""
+    ids, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    own, m = at.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), len(i)
+    order = np.argsort(own, kind="stable")
+    near, count = np.concatenate([own[m:], own[:m]])[order], np.bincount(own, minlength=len(ids))
+    key = np.concatenate([dist, dist]).astype(np.int64)[order] << 32 | near
+    key = np.minimum.reduceat(key, np.cumsum(count) - count) if m else key
+    return ids, ids[key & 0xFFFFFFFF], count.astype(np.int32), near, (key >> 32).astype(np.int32)
+
+
+def to_bytes(arrays: tuple[np.ndarray, ...]) -> bytes:
+    head = [len(arrays), *(x for a in arrays for x in (len(a), ord(a.dtype.char)))]
+    return b"".join([np.array(head, np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+
+
+def from_bytes(data: bytes) -> list[np.ndarray]:
+    """The arrays of to_bytes(), which are read only."""
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    head, at, out = np.frombuffer(data, np.int64, 2 * n, 8).tolist(), 8 + 16 * n, []
+    for size, kind in zip(head[::2], head[1::2]):
+        out.append(np.frombuffer(data, chr(kind), size, at))
+        at += out[-1].nbytes
+    return out

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import heapq
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edges that one task may hold to end components, or a cover, and those that a task collects before it shrinks them.
-TASK_EDGES, COVER_EDGES, HELD = 8_000_000, 16_000_000, 1_000_000
+from ..functions import numeric
+from . import similar
+
+#: Edges that one task may hold to end components, that it may have on its disk to end a cover, and those that a task
+#: collects before it shrinks them.
+TASK_EDGES, COVER_EDGES, HELD = 8_000_000, 500_000_000, 1_000_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -93,30 +97,67 @@ def greedy(edges: Iterable[tuple[int, int]]) -> list[int]:
 
 
 def _greedy(parts: list[tuple[np.ndarray, np.ndarray]], rep=(), member=()) -> np.ndarray:
-    """greedy() of arrays, which go from parts on the way. Nodes may stand for classes: rep[k] for member[k], or else for
-    themselves; any two of a class have an edge, and all of one have one with all of the other if their nodes have.
+    """_greedy_packed() of arrays of edges."""
+    parts = [(i[i != j], j[i != j]) for i, j in parts]
+    return _greedy_packed([(np.asarray(rep, np.int64), np.asarray(member, np.int64)), *(numeric.packed(i, j, np.zeros(len(i), np.int32)) for i, j in parts)])
+
+
+def _greedy_packed(packs: Iterable[Sequence[np.ndarray]]) -> np.ndarray:
+    """greedy() of packs: edges as numeric.packed() gives them, and (rep, member). Nodes may stand for classes: rep[k] for
+    member[k], or else for themselves; any two of a class have an edge, and all of one have one with all of the other if
+    their nodes have.
 
     Of a class the largest id goes first. Open edges only get fewer, so a class's entry in the heap never ranks it too
-    low: an entry that has come down is put back with what it has now."""
-    rep, member = np.asarray(rep, np.int64), np.asarray(member, np.int64)
-    names = np.unique(np.concatenate([rep, *(np.unique(z) for ends in parts for z in ends)]))
+    low: an entry that has come down is put back with what it has now. Edges are in files without names, which end with
+    the task; only what is of nodes is held in memory."""
+    with tempfile.TemporaryFile() as flat:
+        return _taken(*_neighbours(packs, flat))
+
+
+def _neighbours(packs: Iterable[Sequence[np.ndarray]], flat) -> tuple[np.ndarray, ...]:
+    """names, first, near, rep, member of packs: the nodes, and at first[k] to first[k + 1] in near the neighbours of the
+    k-th, as places in names, in order and each once. near is in the file flat."""
+    tables, none = [], np.zeros(0, np.int64)
+    own = [(none, none)]
+    with tempfile.TemporaryFile() as raw:
+        for arrays in packs:
+            if len(arrays) == 2:
+                own.append(arrays)
+            else:
+                ids, _, count, near, _ = arrays
+                raw.write(near)
+                tables.append((ids.copy(), count.copy(), near.dtype))
+        rep, member = (np.concatenate(z) for z in zip(*own))
+        names = np.unique(np.concatenate([rep, *(ids for ids, _, _ in tables)]))
+        first = np.zeros(len(names) + 1, np.int64)
+        tables = [(np.searchsorted(names, ids).astype(np.int32), count, kind) for ids, count, kind in tables]
+        for code, count, _ in tables:
+            first[code + 1] += count
+        first = np.cumsum(first)
+        near = np.asarray(np.memmap(flat, np.int32, "w+", shape=(int(first[-1]),))) if first[-1] else none.astype(np.int32)
+        free = first[:-1].copy()
+        raw.seek(0)
+        for code, count, kind in tables:
+            part = np.frombuffer(raw.read(int(count.sum()) * kind.itemsize), kind)
+            near[np.repeat(free[code] - (np.cumsum(count) - count), count) + np.arange(len(part))] = code[part]
+            free[code] += count
+    ends, again = first.tolist(), []
+    for s, e in zip(ends, ends[1:]):
+        if e - s > 1:
+            near[s:e].sort()
+    for at in range(0, len(near), HELD):
+        few = near[at : at + HELD + 1]
+        same = np.flatnonzero(few[1:] == few[:-1]) + at + 1
+        again.append(same[first[np.searchsorted(first, same)] != same])
+    again = np.concatenate([none, *again])
+    if len(again):
+        first, near = first - np.searchsorted(again, first), np.delete(near, again)
+    return names, first, near, rep, member
+
+
+def _taken(names: np.ndarray, first: np.ndarray, near: np.ndarray, rep: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """What _greedy_packed() takes, from what _neighbours() gives."""
     n = len(names)
-    code, at = np.empty(2 * sum(len(i) for i, _ in parts), np.int64), 0
-    while parts:
-        a, b = (np.searchsorted(names, z) for z in parts.pop())
-        a, b = a[a != b], b[a != b]
-        np.add(a * n, b, out=code[at : at + len(a)])
-        np.add(b * n, a, out=code[at + len(a) : at + 2 * len(a)])
-        at += 2 * len(a)
-    code = code[:at]
-    code.sort()
-    if (code[1:] == code[:-1]).any():
-        code = code[np.concatenate([[True], code[1:] != code[:-1]])]
-    first = np.searchsorted(code, np.arange(n + 1) * n)
-    near = np.empty(len(code), np.int32)
-    for at in range(0, len(code), HELD):
-        near[at : at + HELD] = code[at : at + HELD] % n
-    del code
     own = np.setdiff1d(names, rep)
     kind, ids = np.searchsorted(names, np.concatenate([rep, own])), np.concatenate([member, own])
     order = np.lexsort((ids, kind))
@@ -125,8 +166,10 @@ def _greedy(parts: list[tuple[np.ndarray, np.ndarray]], rep=(), member=()) -> np
     kind, ids = kind[once], ids[once]  # members by class, the largest last
     size = np.bincount(kind, minlength=n).astype(np.int32)
     degree, some = size.astype(np.int64) - 1, np.flatnonzero(np.diff(first))
-    for k in range(0, len(some), 10_000):
-        few = some[k : k + 10_000]
+    k, upto = 0, first[some + 1]
+    while k < len(some):
+        few = some[k : max(k + 1, np.searchsorted(upto, first[some[k]] + HELD))]
+        k += len(few)
         degree[few] += np.add.reduceat(size[near[first[few[0]] : first[few[-1] + 1]]], first[few] - first[few[0]], dtype=np.int64)
     above, rank = np.unique(ids, return_inverse=True)
     ends, start, m = np.cumsum(size).tolist(), (np.cumsum(size) - size).tolist(), max(1, len(above))
@@ -155,27 +198,42 @@ def _greedy(parts: list[tuple[np.ndarray, np.ndarray]], rep=(), member=()) -> np
 def greedy_cover(edges: DataFrame, most: int | None = None, members: DataFrame | None = None) -> DataFrame:
     """id of the redundant items: greedy()'s cover of edges(i, j), in rounds over all nodes at once.
 
-    Each round takes every node that is above all of its neighbours, and the edges that these cover leave. What fits one
-    task ends there; larger graphs are spread over all tasks until little of them is left. Long chains of rising ids, and
+    Each round takes every node that is above all of its neighbours, and the edges that these cover leave. What one task may
+    have on its disk (most edges, of 12 bytes) ends there; larger graphs are spread over all tasks until little of them is left. Long chains of rising ids, and
     dense graphs, in which few nodes are above their neighbours, take many rounds. Null ends and loops are no edges; repeated edges are one.
 
     With members(id, rep), edges are those of classes, named by rep, and stand for all between their members; any two of
     a class have an edge too. The cover is that of all these edges, which are not made."""
-    most = COVER_EDGES if most is None else most
-    left = edges.select(F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j")).where("i IS NOT NULL AND j IS NOT NULL AND i <> j")
-    return _cover(_cut(left), most, members)
+    left = edges.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).where("i IS NOT NULL AND j IS NOT NULL AND i <> j")
+    return _cover(_cut(_packed(left)), COVER_EDGES if most is None else most, members)
+
+
+def _packed(edges: DataFrame) -> DataFrame:
+    def run(batches):
+        ends = ([column.to_numpy() for column in batch.columns] for batch in batches)
+        return similar.pack_edges((i, j, np.zeros(len(i), np.int32)) for i, j in ends)
+
+    return edges.select("i", "j").mapInArrow(run, similar.PIECES)
+
+
+def _cover(packs: DataFrame, most: int, members: DataFrame | None) -> DataFrame:
+    """greedy_cover() of stored packs of edges without nulls and loops."""
 
+    def pack_members(batches):
+        return similar.pieces((0, tuple(column.to_numpy() for column in batch.columns)) for batch in batches)
 
-def _cover(left: DataFrame, most: int, members: DataFrame | None) -> DataFrame:
-    """greedy_cover() of stored edges without nulls and loops, i < j."""
-    taken = left.select(F.col("i").alias("id")).where("false")
-    counted, rounds = left.count(), 0
+    def end(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(_greedy_packed(similar.read_packs(batches)))], names=["id"])
+
+    taken, left, rounds = packs.sparkSession.createDataFrame([], "id long"), None, 0
+    counted = packs.agg(F.sum("edges")).first()[0] or 0
     if members is not None:
         members = members.select(F.col("id").cast("long").alias("id"), F.col("rep").cast("long").alias("rep")).where("id IS NOT NULL AND rep IS NOT NULL").distinct()
-    elif counted > most:
-        members = left.select(F.explode(F.array("i", "j")).alias("id")).distinct().withColumn("rep", F.col("id"))
     if counted > most:
-        members, left = _cut(members), _cut(left.select("i", "j").distinct())
+        left = _cut(similar.unpacked(packs).distinct())
+        if members is None:
+            members = left.select(F.explode(F.array("i", "j")).alias("id")).distinct().withColumn("rep", F.col("id"))
+        members = _cut(members)
     while counted > most:
         size = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
         both = left.unionByName(left.select(F.col("j").alias("i"), F.col("i").alias("j")))
@@ -189,7 +247,6 @@ def _cover(left: DataFrame, most: int, members: DataFrame | None) -> DataFrame:
         left = _cut(left.join(empty, left.i == empty.rep, "left_anti").join(empty, F.col("j") == empty.rep, "left_anti"))
         taken = taken.unionByName(gone.select("id"))
         counted, rounds = left.count(), rounds + 1
-    rows = left.select("i", "j", F.lit(False).alias("copy"))
     if members is not None:
         sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"))
         if rounds:  # classes without edges to others end apart
@@ -198,24 +255,11 @@ def _cover(left: DataFrame, most: int, members: DataFrame | None) -> DataFrame:
             taken, members = taken.unionByName(alone.select("id")), members.join(linked, "rep", "left_semi")
         else:  # a class of one that stands for itself needs no row
             members = members.join(sizes.where("n > 1 OR low <> rep"), "rep", "left_semi")
-        rows = rows.unionByName(members.select(F.col("rep").alias("i"), F.col("id").alias("j"), F.lit(True).alias("copy")))
 
-    def end(batches):
-        parts, held, new, own = [], [], 0, []
-        for batch in batches:
-            i, j, copy = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
-            own.append((i[copy], j[copy]))
-            held.append((i[~copy], j[~copy]))
-            new += len(i)
-            if new > HELD:
-                parts.append(tuple(np.concatenate(z) for z in zip(*held)))
-                held, new = [], 0
-        parts += held
-        if parts:
-            rep, ids = (np.concatenate(z) for z in zip(*own))
-            yield pa.RecordBatch.from_arrays([pa.array(_greedy(parts, rep, ids))], names=["id"])
-
-    return taken.unionByName(rows.repartition(1).mapInArrow(end, "id long"))
+    packs = packs if left is None else _cut(_packed(left))
+    if members is not None:
+        packs = packs.unionByName(_cut(members.select("rep", "id").mapInArrow(pack_members, similar.PIECES)))
+    return taken.unionByName(packs.coalesce(1).mapInArrow(end, "id long"))
 
 
 def nearest(edges: DataFrame) -> DataFrame:
@@ -228,20 +272,18 @@ def nearest(edges: DataFrame) -> DataFrame:
 def find_similar(hashes: DataFrame, threshold: int = 5, pairs: str = "exact", bits: int = 64, tables: int = 32, bits_per_table: int = 8) -> DataFrame:
     """id, path, similar_to, dist (and file_size) of what can go from hashes(id, path, w0, w1): every pair under the
     threshold loses at least one of its two."""
-    from . import similar
-
     keep = [c for c in ("file_size",) if c in hashes.columns]
     if pairs == "exact" and threshold > 0:
         # equal hashes are a class, whose members have the same neighbours, so only pairs of classes are made
         members = _cut(similar.classes(hashes))
-        edges = _cut(similar.class_pairs(members, threshold, bits))
+        packs = _cut(similar.class_packs(members, threshold, bits))
         mates = members.groupBy("rep").agg(F.min(F.when(F.col("id") != F.col("rep"), F.col("id"))).alias("mate"))
-        near = nearest(edges).select(F.col("id").alias("rep"), F.struct("dist", F.col("neighbour").alias("n")).alias("other"))
+        near = similar.nearest_packed(packs).select(F.col("id").alias("rep"), F.struct("dist", F.col("neighbour").alias("n")).alias("other"))
         mate = F.when(F.col("id") != F.col("rep"), F.col("rep")).otherwise(F.col("mate"))
         own = F.when(mate.isNotNull(), F.struct(F.lit(0).alias("dist"), mate.alias("n")))
         best = members.join(mates, "rep").join(near, "rep", "left").groupBy("id").agg(F.min(F.least(own, "other")).alias("m"))
         best = best.select("id", F.col("m.n").alias("neighbour"), F.col("m.dist").alias("dist"))
-        gone = _cover(edges, COVER_EDGES, members)
+        gone = _cover(packs, COVER_EDGES, members)
     else:
         edges = _cut(similar.find_pairs(hashes, threshold, pairs, bits, tables, bits_per_table))
         best, gone = nearest(edges), greedy_cover(edges)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ CHUNKED = 24
 SELECTIVE = 8
 #: Rows of a block, two of which are compared at once, and the least number of tasks that tiles are dealt to.
 BLOCK, TILE_TASKS = 4096, 48
+#: Edges of a pack, and bytes of its pieces, of which Spark hands over thousands at once.
+PACK, PIECE = 1 << 18, 4096
+PIECES = "pack long, seq int, edges long, data binary"
 #: The original's least number of pairs that it enumerates of a bucket.
 LEAST_CAP = 10_000
 
@@ -80,6 +86,79 @@ def class_pairs(members: DataFrame, threshold: int, bits: int = 64) -> DataFrame
     return exact_pairs(members.where("id = rep").select("id", "w0", "w1"), threshold, bits)
 
 
+def class_packs(members: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
+    """The pairs of class_pairs(), in packs."""
+    hashes = members.where("id = rep").select("id", "w0", "w1")
+    if threshold <= 0:
+        return hashes.sparkSession.createDataFrame([], PIECES)
+    return tiles(*_buckets(hashes, threshold, bits), packs=True)
+
+
+def pieces(packs: Iterable[tuple[int, tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
+    """Rows of PIECES for a task's packs, (number of edges, arrays): a pack's bytes in rows that follow each other."""
+    for k, (edges, arrays) in enumerate(packs):
+        data = numeric.to_bytes(arrays)
+        own = [data[at : at + PIECE] for at in range(0, len(data), PIECE)]
+        name, first = (TaskContext.get().partitionId() << 32) + k, [edges] + [0] * (len(own) - 1)
+        columns = (pa.array([name] * len(own), pa.int64()), pa.array(range(len(own)), pa.int32()), pa.array(first, pa.int64()), pa.array(own, pa.binary()))
+        yield pa.RecordBatch.from_arrays(list(columns), names=["pack", "seq", "edges", "data"])
+
+
+def read_packs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The arrays of pieces(), whose rows must have kept their order."""
+    name, own = None, []
+    for batch in batches:
+        for pack, seq, data in zip(*(batch.column(c).to_pylist() for c in ("pack", "seq", "data"))):
+            if seq == 0:
+                if own:
+                    yield numeric.from_bytes(b"".join(own))
+                name, own = pack, []
+            if pack != name or seq != len(own):
+                raise ValueError("pieces of a pack are out of order")
+            own.append(data)
+    if own:
+        yield numeric.from_bytes(b"".join(own))
+
+
+def pack_edges(found: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """pieces() of edges (i, j, dist), which come in arrays of any length."""
+
+    def packs():
+        held, n = [], 0
+        for edges in found:
+            held.append(edges)
+            n += len(edges[0])
+            if n >= PACK:
+                yield n, numeric.packed(*(np.concatenate(z) for z in zip(*held)))
+                held, n = [], 0
+        if n:
+            yield n, numeric.packed(*(np.concatenate(z) for z in zip(*held)))
+
+    return pieces(packs())
+
+
+def unpacked(packs: DataFrame) -> DataFrame:
+    """i, j of the edges of packs, i < j."""
+
+    def run(batches):
+        for ids, _, count, near, _ in read_packs(batches):
+            i, j = np.repeat(ids, count), ids[near]
+            yield pa.RecordBatch.from_arrays([pa.array(i[i < j]), pa.array(j[i < j])], names=["i", "j"])
+
+    return packs.mapInArrow(run, "i long, j long")
+
+
+def nearest_packed(packs: DataFrame) -> DataFrame:
+    """cover.nearest() of the edges of packs: each pack knows the nearest that it has of a node."""
+
+    def run(batches):
+        for ids, best, _, _, dist in read_packs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(best), pa.array(dist)], names=["id", "n", "dist"])
+
+    rows = packs.mapInArrow(run, "id long, n long, dist int")
+    return rows.groupBy("id").agg(F.min(F.struct("dist", "n")).alias("m")).select("id", F.col("m.n").alias("neighbour"), "m.dist")
+
+
 def _buckets(hashes: DataFrame, threshold: int, bits: int) -> tuple[DataFrame, int, list[list[int]] | None]:
     """What tiles() takes, for exact_pairs()."""
     rows = hashes.select(F.col("id").cast("long").alias("id"), "w0", "w1").where("id IS NOT NULL AND w0 IS NOT NULL AND w1 IS NOT NULL")
@@ -95,13 +174,14 @@ def _buckets(hashes: DataFrame, threshold: int, bits: int) -> tuple[DataFrame, i
     return rows.withColumn("g", block), threshold, parts
 
 
-def tiles(rows: DataFrame, threshold: int, parts: list[list[int]] | None = None, degrees: bool = False) -> DataFrame:
+def tiles(rows: DataFrame, threshold: int, parts: list[list[int]] | None = None, degrees: bool = False, packs: bool = False) -> DataFrame:
     """i, j, dist of the pairs i < j within each bucket (k, c) of rows(k, c, g, n, id, w0, w1) with dist < threshold. A
     bucket is cut into n blocks g of about BLOCK rows; every two blocks, and each by itself, are a tile, compared at once
     in numpy. So no bucket is too large for a task, and a hash is sent once to each tile of its block.
 
     With parts, bit positions by k, a pair is left out that agrees in a part before k. With a column rank only pairs of
-    ranks r < s <= 2 r + 1 count. With degrees the result is id, degree instead: in how many of a tile's pairs a row is."""
+    ranks r < s <= 2 r + 1 count. With degrees the result is id, degree instead: in how many of a tile's pairs a row is.
+    With packs it is packs of the pairs, which are never rows."""
     ranked = "rank" in rows.columns
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("h")
     out = rows.select("k", "c", "g", "id", "w0", "w1", (F.col("rank") if ranked else F.lit(0)).cast("long").alias("rank"), other)
@@ -129,8 +209,11 @@ def tiles(rows: DataFrame, threshold: int, parts: list[list[int]] | None = None,
                 if len(r) > BLOCK:
                     number, ends = number + np.bincount(np.concatenate(ends), minlength=len(ids)), []
             elif keep.any():
-                r, c = ids[r[keep]], ids[c[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(r, c)), pa.array(np.maximum(r, c)), pa.array(d[keep].astype(np.int32))], names=["i", "j", "dist"])
+                r, c, d = ids[r[keep]], ids[c[keep]], d[keep].astype(np.int32)
+                if packs:
+                    yield r, c, d
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(r, c)), pa.array(np.maximum(r, c)), pa.array(d)], names=["i", "j", "dist"])
         if ends:
             number += np.bincount(np.concatenate(ends), minlength=len(ids))
         if number.any():
@@ -160,7 +243,10 @@ def tiles(rows: DataFrame, threshold: int, parts: list[list[int]] | None = None,
 
     keys = ["k", "c", "x", "y"]
     number = max(TILE_TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return out.repartition(number, *keys).sortWithinPartitions(*keys).mapInArrow(run, "id long, degree long" if degrees else "i long, j long, dist int")
+    out = out.repartition(number, *keys).sortWithinPartitions(*keys)
+    if packs:
+        return out.mapInArrow(lambda batches: pack_edges(run(batches)), PIECES)
+    return out.mapInArrow(run, "id long, degree long" if degrees else "i long, j long, dist int")
 
 
 def lsh_keys(hashes: DataFrame, tables: int = 32, bits: int = 8) -> DataFrame:

@@ -390,6 +390,40 @@ def test_cover_of_a_dense_graph(spark):
     assert got == want
 
 
+def test_cover_of_more_edges_than_memory_was_set_aside_for(spark):
+    """All 16242150 pairs of 5700 nodes: beyond 16 million edges the cover went in rounds, each of which took one node here."""
+    ids = spark.range(5700)
+    e = ids.select(F.col("id").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") - 1)).alias("i")).where("i >= 0 AND i < j")
+    began = time.time()
+    got = sorted(r.id for r in cover.greedy_cover(e).collect())
+    assert got == list(range(1, 5700)) and time.time() - began < 120
+
+
+def test_cover_of_packs(monkeypatch):
+    """Edges in many packs, in both directions and more than once, are those of one."""
+    monkeypatch.setattr(cover, "HELD", 7)
+    rng = np.random.default_rng(14)
+    for n in (5, 40, 300):
+        edges = rng.integers(0, n, (3 * n, 2)) * 1_000_003 - 7
+        i, j = edges.T
+        parts = [(i[k::5], j[k::5]) for k in range(5)] + [(j[::3], i[::3])]
+        want = cover.greedy({(a, b) for a, b in np.sort(edges, axis=1).tolist() if a != b})
+        assert cover._greedy(parts).tolist() == cover._greedy([(i, j)]).tolist() == want
+
+
+def test_packs_keep_their_edges():
+    rng = np.random.default_rng(15)
+    for n, m in ((4, 1), (30, 60), (200_000, 300_000)):
+        i, j, d = rng.integers(0, n, m) * 3, rng.integers(0, n, m) * 3 + 1, rng.integers(0, 5, m).astype(np.int32)
+        ids, best, count, near, dist = numeric.from_bytes(numeric.to_bytes(numeric.packed(i, j, d)))
+        ends = np.stack([np.repeat(ids, count), ids[near]])
+        assert np.array_equal(*(z[:, np.lexsort(z)] for z in (ends, np.stack([np.concatenate([i, j]), np.concatenate([j, i])]))))
+        want: dict[int, tuple[int, int]] = {}
+        for a, b, c in zip(i.tolist(), j.tolist(), d.tolist()):
+            want[a], want[b] = min(want.get(a, (9, 0)), (c, b)), min(want.get(b, (9, 0)), (c, a))
+        assert {k: (x, y) for k, x, y in zip(ids.tolist(), dist.tolist(), best.tolist())} == want
+
+
 def test_cover_of_classes(spark):
     """A cover of classes is that of all their pairs, in one task and in rounds."""
     rng = random.Random(9)
