@@ -107,8 +107,8 @@ def _greedy_packed(packs: Iterable[Sequence[np.ndarray]]) -> np.ndarray:
     member[k], or else for themselves; any two of a class have an edge, and all of one have one with all of the other if
     their nodes have.
 
-    Of a class the largest id goes first. Open edges only get fewer, so a class's entry in the heap never ranks it too
-    low: an entry that has come down is put back with what it has now. Edges are in files without names, which end with
+    Classes lie by the number of their open edges, of a class the largest id. Numbers only fall, so none comes to those with
+    most while these are gone through by id, and who has come down meanwhile is put where it belongs. Edges are in files without names, which end with
     the task; only what is of nodes is held in memory."""
     with tempfile.TemporaryFile() as flat:
         return _taken(*_neighbours(packs, flat))
@@ -172,26 +172,38 @@ def _taken(names: np.ndarray, first: np.ndarray, near: np.ndarray, rep: np.ndarr
         k += len(few)
         degree[few] += np.add.reduceat(size[near[first[few[0]] : first[few[-1] + 1]]], first[few] - first[few[0]], dtype=np.int64)
     above, rank = np.unique(ids, return_inverse=True)
-    ends, start, m = np.cumsum(size).tolist(), (np.cumsum(size) - size).tolist(), max(1, len(above))
-    of = np.zeros(m, np.int64)
-    of[rank] = kind
-    first, rank, of = first.tolist(), rank.tolist(), of.tolist()
-    heap = [-(d * m + rank[ends[k] - 1]) for k, d in enumerate(degree.tolist()) if d > 0]
-    heapq.heapify(heap)
-    out = []
-    while heap:
-        k = of[-heap[0] % m]
-        now = -(int(degree[k]) * m + rank[ends[k] - 1])
-        if now == heap[0]:
-            ends[k] -= 1
-            out.append(rank[ends[k]])
-            degree[k] -= 1
-            degree[near[first[k] : first[k + 1]]] -= 1
-            now = -(int(degree[k]) * m + rank[ends[k] - 1])
-        if ends[k] > start[k] and degree[k] > 0:
-            heapq.heapreplace(heap, now)
-        else:
-            heapq.heappop(heap)
+    end, start = np.cumsum(size), (np.cumsum(size) - size).tolist()
+    ends = first.tolist()
+    open_ = np.flatnonzero(degree > 0)
+    order = open_[np.argsort(degree[open_])]
+    cuts = [0, *(np.flatnonzero(np.diff(degree[order])) + 1).tolist(), len(order)]
+    with_ = {int(degree[order[s]]): order[s:e].tolist() for s, e in zip(cuts, cuts[1:]) if e > s}
+    left, out = [-d for d in with_], []
+    heapq.heapify(left)
+
+    def put(k, d):
+        if d in with_:
+            with_[d].append(k)
+        elif d > 0:
+            with_[d] = [k]
+            heapq.heappush(left, -d)
+
+    while left:
+        d = -heapq.heappop(left)
+        own = np.array(with_.pop(d))
+        now = degree[own]
+        for k, x in zip(own[now < d].tolist(), now[now < d].tolist()):
+            put(k, x)
+        own = own[now == d]
+        for k in own[np.argsort(-rank[end[own] - 1])].tolist():
+            if degree.item(k) == d:
+                end[k] -= 1
+                out.append(rank.item(end.item(k)))
+                degree[k] -= 1
+                degree[near[ends[k] : ends[k + 1]]] -= 1
+                if end.item(k) == start[k]:
+                    continue
+            put(k, degree.item(k))
     return above[np.array(out, dtype=np.int64)]
 
 

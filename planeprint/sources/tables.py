@@ -12,5 +12,5 @@ def text_planes(rows: DataFrame, key: str, text: str, width: int = 64, *also: st
     n = F.octet_length(data)
     w = F.least(F.lit(width), n)
     h = F.when(n > 0, F.ceil(n / w)).otherwise(F.lit(0)).cast("int")
-    full = F.unhex(F.rpad(F.hex(data), F.when(n > 0, 2 * w * h).otherwise(F.lit(0)).cast("int"), F.lit("0")))
+    full = F.rpad(data, F.when(n > 0, w * h).otherwise(F.lit(0)).cast("int"), F.lit(b"\0"))
     return rows.select(F.lpad(F.col(key).cast("string"), 12, "0").alias("path"), full.alias("luma"), w.cast("int").alias("width"), h.alias("height"), *also)
